@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def rows() -> Column:
-    return F.count(F.lit(1))
+    return F.expr("count(1)")
 
 
 def exact_mean(value: Column | str) -> Column:
@@ -76,11 +75,9 @@ def ordered_mean(order: Column | str, value: Column | str) -> Column:
 
 def as_output(df: DataFrame) -> DataFrame:
     """Exact decimals become doubles where a result leaves the library."""
-    return df.select(
-        *[
-            F.col(field.name).cast("double").alias(field.name)
-            if isinstance(field.dataType, T.DecimalType)
-            else F.col(field.name)
-            for field in df.schema
-        ]
+    decimals = {name for name, kind in df.dtypes if kind.startswith("decimal")}
+    if not decimals:
+        return df
+    return df.selectExpr(
+        *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" if c in decimals else f"`{c}`" for c in df.columns]
     )

@@ -50,9 +50,13 @@ class Period:
     def covers(self, other: Period) -> bool:
         return self.start <= other.start and other.end <= self.end
 
-    def contains(self, day: Column | str) -> Column:
-        day = F.col(day) if isinstance(day, str) else day
-        return day.between(F.lit(self.start), F.lit(self.end))
+    @property
+    def sql(self) -> str:
+        """Both ends, as the operands of BETWEEN."""
+        return f"DATE'{self.start}' AND DATE'{self.end}'"
+
+    def contains(self, day: str) -> Column:
+        return F.expr(f"{day} BETWEEN {self.sql}")
 
 
 @dataclass(frozen=True)
@@ -88,13 +92,13 @@ NO_FILTERS = Filters()
 
 def placed() -> Column:
     """Orders past processing; cancelled ones still count."""
-    return F.col("order_status") != "Processing"
+    return F.expr("order_status <> 'Processing'")
 
 
 def settled() -> Column:
     """Orders that are neither cancelled nor in processing."""
-    return ~F.col("order_status").isin("Cancelled", "Processing")
+    return F.expr("order_status NOT IN ('Cancelled', 'Processing')")
 
 
 def is_status(status: str) -> Column:
-    return F.col("order_status") == status
+    return F.expr(f"order_status = '{status}'")

@@ -124,22 +124,17 @@ def schema_catalog(store: OpsStore) -> DataFrame:
 
 def _columns_of(store, table):
     df = store.read(table.name)
-    types = dict(df.dtypes)
-    counted = df.agg(
-        F.count(F.lit(1)).alias("all_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in table.columns],
+    counted = df.selectExpr(
+        "count(1) AS total_rows", *[f"count_if({c} IS NULL) AS {c}" for c in table.columns]
     )
     lines = [
-        F.struct(
-            F.lit(table.name).alias("table_name"),
-            F.lit(position).alias("position"),
-            F.lit(column).alias("column_name"),
-            F.lit(types[column]).alias("data_type"),
-            F.lit(int(column in table.required)).alias("not_null"),
-            F.lit(int(column == table.primary_key)).alias("primary_key"),
-            F.col(column).alias("null_rows"),
-            F.col("all_rows").alias("total_rows"),
-        )
-        for position, column in enumerate(table.columns)
+        f"{position}, '{column}', '{kind}', {int(column in table.required)}, "
+        f"{int(column == table.primary_key)}, {column}"
+        for position, (column, kind) in enumerate(df.dtypes)
     ]
-    return counted.select(F.inline(F.array(*lines)))
+    return counted.selectExpr(
+        f"'{table.name}' AS table_name",
+        "total_rows",
+        f"stack({len(lines)}, {', '.join(lines)}) AS "
+        "(position, column_name, data_type, not_null, primary_key, null_rows)",
+    )

@@ -307,9 +307,8 @@ def cohort_retention_matrix(
         .na.fill(0.0)
         .orderBy("cohort_month")
     )
-    return wide.select(
-        F.date_format("cohort_month", "MMM yyyy").alias("cohort"),
-        *[F.col(f"`{k}`").alias(f"M+{k}") for k in periods],
+    return wide.withColumn("cohort_month", F.date_format("cohort_month", "MMM yyyy")).toDF(
+        "cohort", *[f"M+{k}" for k in periods]
     )
 
 

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.measures import delta, percent, ratio, zero_if_null
-from tillwise.operators.selection import NO_FILTERS, Filters, Period, is_status, placed
+from tillwise.functions.measures import delta
+from tillwise.operators.selection import NO_FILTERS, Filters, Period, placed
 from tillwise.sources.store import OpsStore
 
 WINDOWS = ("current", "prior")
-ORDER_SUMS = ("gmv", "total_discount", "total_gst", "delivery_days")
-ORDER_COUNTS = ("orders", "amounts", "deliveries", "returned", "cancelled")
-TICKET_COUNTS = ("tickets", "ratings", "resolved")
 
 SUMMARY = [
     "gmv",
@@ -79,22 +76,26 @@ def _both_windows(store: OpsStore, period: Period, filters: Filters) -> DataFram
     )
     orders = _orders_by_customer(store, period, filters).join(known, "customer_id")
     tickets = _tickets_by_customer(store, period, filters).join(known, "customer_id")
-    buyers = [
-        F.count_if(F.col(f"orders_{w}") > 0).alias(f"customers_{w}") for w in WINDOWS
-    ]
-    order_totals = orders.agg(*_totals(ORDER_SUMS + ORDER_COUNTS), *buyers)
-    ticket_totals = tickets.agg(*_totals(("csat_sum",) + TICKET_COUNTS))
+    buyers = [f"count_if(orders_{w} > 0) AS customers_{w}" for w in WINDOWS]
+    order_totals = orders.selectExpr(*_totals(orders), *buyers)
+    ticket_totals = tickets.selectExpr(*_totals(tickets))
     # Both are one row; put together by a union, each column has one value.
     merged = order_totals.unionByName(ticket_totals, allowMissingColumns=True)
-    return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
+    return merged.selectExpr(*[f"max({c}) AS {c}" for c in merged.columns])
 
 
-def _totals(names: tuple[str, ...]) -> list[Column]:
-    return [F.sum(f"{n}_{w}").alias(f"{n}_{w}") for w in WINDOWS for n in names]
+def _totals(by_customer: DataFrame) -> list[str]:
+    return [f"sum({c}) AS {c}" for c in by_customer.columns if c != "customer_id"]
 
 
-def _windowed(day: str, period: Period, w: str) -> Column:
-    return (period if w == "current" else period.prior()).contains(day)
+def _in_windows(day: str, period: Period, measures: dict[str, str]) -> list[Column]:
+    """Each aggregate of ``measures`` over the rows of each window."""
+    spans = {"current": period, "prior": period.prior()}
+    return [
+        F.expr(f"{aggregate} FILTER (WHERE {day} BETWEEN {span.sql})").alias(f"{name}_{w}")
+        for w, span in spans.items()
+        for name, aggregate in measures.items()
+    ]
 
 
 def _orders_by_customer(store: OpsStore, period: Period, filters: Filters) -> DataFrame:
@@ -110,25 +111,18 @@ def _orders_by_customer(store: OpsStore, period: Period, filters: Filters) -> Da
         *filters.active(*chosen),
         period=period.with_prior(),
     ).where(placed() & filters.on(*chosen))
-    aggregates = []
-    for w in WINDOWS:
-        inside = _windowed("order_date", period, w)
-        for name, column in (
-            ("gmv", "final_amount"),
-            ("total_discount", "discount"),
-            ("total_gst", "gst_amount"),
-            ("delivery_days", "delivery_days"),
-        ):
-            aggregates.append(F.sum(F.when(inside, F.col(column))).alias(f"{name}_{w}"))
-        for name, condition in (
-            ("orders", inside),
-            ("amounts", inside & F.col("final_amount").isNotNull()),
-            ("deliveries", inside & F.col("delivery_days").isNotNull()),
-            ("returned", inside & is_status("Returned")),
-            ("cancelled", inside & is_status("Cancelled")),
-        ):
-            aggregates.append(F.count_if(condition).alias(f"{name}_{w}"))
-    return orders.groupBy("customer_id").agg(*aggregates)
+    measures = {
+        "gmv": "sum(final_amount)",
+        "total_discount": "sum(discount)",
+        "total_gst": "sum(gst_amount)",
+        "delivery_days": "sum(delivery_days)",
+        "orders": "count(1)",
+        "amounts": "count(final_amount)",
+        "deliveries": "count(delivery_days)",
+        "returned": "count_if(order_status = 'Returned')",
+        "cancelled": "count_if(order_status = 'Cancelled')",
+    }
+    return orders.groupBy("customer_id").agg(*_in_windows("order_date", period, measures))
 
 
 def _tickets_by_customer(store: OpsStore, period: Period, filters: Filters) -> DataFrame:
@@ -141,40 +135,33 @@ def _tickets_by_customer(store: OpsStore, period: Period, filters: Filters) -> D
         *filters.active("state"),
         period=period.with_prior(),
     ).where(filters.on("state"))
-    aggregates = []
-    for w in WINDOWS:
-        inside = _windowed("created_date", period, w)
-        rated = inside & F.col("csat_score").isNotNull()
-        solved = inside & (F.col("status") == "Resolved")
-        aggregates += [
-            F.sum(F.when(inside, F.col("csat_score"))).alias(f"csat_sum_{w}"),
-            F.count_if(inside).alias(f"tickets_{w}"),
-            F.count_if(rated).alias(f"ratings_{w}"),
-            F.count_if(solved).alias(f"resolved_{w}"),
-        ]
-    return tickets.groupBy("customer_id").agg(*aggregates)
+    measures = {
+        "csat_sum": "sum(csat_score)",
+        "tickets": "count(1)",
+        "ratings": "count(csat_score)",
+        "resolved": "count_if(status = 'Resolved')",
+    }
+    return tickets.groupBy("customer_id").agg(*_in_windows("created_date", period, measures))
 
 
 def _figures(w: str) -> dict[str, Column]:
-    def col(name):
-        return F.col(f"{name}_{w}")
-
-    def count(name):
-        return F.coalesce(col(name), F.lit(0).cast("bigint"))
+    def mean(total, number):
+        return f"coalesce(try_divide(CAST({total}_{w} AS DOUBLE), {number}_{w}), 0D)"
 
     def share(part, whole):
-        return zero_if_null(percent(col(part), col(whole)))
-
-    return {
-        "gmv": zero_if_null(col("gmv").cast("double")),
-        "orders": count("orders"),
-        "customers": count("customers"),
-        "aov": zero_if_null(ratio(col("gmv"), col("amounts"))),
-        "csat": zero_if_null(ratio(col("csat_sum"), col("ratings"))),
+        return f"coalesce(try_divide({part}_{w} * 100D, {whole}_{w}), 0D)"
+
+    figures = {
+        "gmv": f"coalesce(CAST(gmv_{w} AS DOUBLE), 0D)",
+        "orders": f"coalesce(orders_{w}, 0L)",
+        "customers": f"coalesce(customers_{w}, 0L)",
+        "aov": mean("gmv", "amounts"),
+        "csat": mean("csat_sum", "ratings"),
         "resolution": share("resolved", "tickets"),
-        "avg_delivery": zero_if_null(ratio(col("delivery_days"), col("deliveries"))),
+        "avg_delivery": mean("delivery_days", "deliveries"),
         "return_rate": share("returned", "orders"),
         "cancel_rate": share("cancelled", "orders"),
-        "total_discount": zero_if_null(col("total_discount").cast("double")),
-        "total_gst": zero_if_null(col("total_gst").cast("double")),
+        "total_discount": f"coalesce(CAST(total_discount_{w} AS DOUBLE), 0D)",
+        "total_gst": f"coalesce(CAST(total_gst_{w} AS DOUBLE), 0D)",
     }
+    return {name: F.expr(sql) for name, sql in figures.items()}

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # Recording the call site of every column expression costs more than the
+    # analysis of the plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # One order, customer or part may own a large share of the rows. AQE cuts such

@@ -5,41 +5,148 @@ are left joins on a unique key, so leaving one out never changes the rows. No jo
 carries a broadcast hint: Spark broadcasts a side when its known size is below
 ``spark.sql.autoBroadcastJoinThreshold`` and sorts and merges otherwise, and AQE
 splits a join partition that a hot key has made too large.
+
+Derived columns are SQL text: one expression is one call to the JVM, and only the
+wanted ones are selected.
 """
 
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions import rules
 from tillwise.operators.selection import Period
-from tillwise.sources.schemas import MONEY
 from tillwise.sources.store import OpsStore
 
 # --- Fixed values of the mapping --------------------------------------------------
 
+RAW_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+    "c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+    "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, "
+    "o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+    "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+    "value DOUBLE, props STRING",
+}
+
 TIER_THRESHOLDS = {"Platinum": 500000, "Gold": 200000, "Silver": 80000, "Bronze": 0}
-AGE_GROUPS = ["18-25", "26-35", "36-45", "46-60", "60+"]
 FIRST_DAY = date(1995, 1, 1)
 FIRST_EVENT = datetime(2024, 1, 1)
 EVENT_SECONDS_PER_DAY = 1080
-AGENTS = 10
+RETURN_DAYS = (1, 7)
 
 PLACE = {"city", "state", "zone"}
 PRODUCT = {"category", "product_name"}
 
-
-def _event_time(day: date) -> Column:
+# --- Derived columns --------------------------------------------------------------
+
+
+def _hundredths(column: str) -> str:
+    return f"floor({column} * 100 + 0.5D)"
+
+
+def _money(hundredths: str) -> str:
+    """Whole hundredths as an exact decimal, without going through text."""
+    return f"CAST(CAST({hundredths} AS DECIMAL(12,0)) * 0.01BD AS DECIMAL(12,2))"
+
+
+_PRICE = _hundredths("l_extendedprice")
+_GST = f"(({_PRICE} * {_hundredths('l_tax')} + 50) DIV 100)"
+_DISCOUNT = f"(({_PRICE} * {_hundredths('l_discount')} + 50) DIV 100)"
+_DELIVERY_DAYS = "CAST(2 + (l_orderkey + l_linenumber) % 13 AS INT)"
+_STATUS = """CASE WHEN l_returnflag = 'R' THEN 'Returned'
+    WHEN o_orderstatus = 'P' THEN 'Processing'
+    WHEN l_returnflag = 'A' AND l_linestatus = 'O' THEN 'Cancelled'
+    WHEN l_linestatus = 'F' THEN 'Delivered'
+    ELSE 'Shipped' END"""
+
+HEADER_COLUMNS = {
+    "customer_id": "o_custkey",
+    "order_date": "CAST(o_orderdate AS DATE)",
+    "payment_method": "o_orderpriority",
+}
+ORDER_COLUMNS = {
+    "order_id": "l_orderkey",
+    "delivery_date": f"date_add(order_date, {_DELIVERY_DAYS})",
+    "amount": _money(_PRICE),
+    "gst_amount": _money(_GST),
+    "discount": _money(_DISCOUNT),
+    "final_amount": _money(f"({_PRICE} + {_GST} - {_DISCOUNT})"),
+    "category": "p_type",
+    "product_name": "p_name",
+    "order_status": _STATUS,
+    "delivery_days": _DELIVERY_DAYS,
+    "is_returned": "CAST(l_returnflag = 'R' AS INT)",
+}
+RETURN_COLUMNS = {
+    "return_id": "format_string('RET%d-%d', l_orderkey, l_linenumber)",
+    "order_id": "l_orderkey",
+    "return_date": "date_add(order_date, CAST(1 + l_orderkey % 7 AS INT))",
+    "reason": "concat('Reason-', l_partkey % 8)",
+    "refund_amount": _money(f"(({_PRICE} * (85 + l_suppkey % 16) + 50) DIV 100)"),
+    "refund_status": """CASE WHEN l_partkey % 100 < 70 THEN 'Completed'
+        WHEN l_partkey % 100 < 88 THEN 'Pending' ELSE 'Processing' END""",
+}
+
+_OPENED = f"TIMESTAMP_NTZ'{FIRST_EVENT}'"
+_K = "CAST(get_json_object(props, '$.k') AS INT)"
+_MIX = f"((7 * {_K} + event_id) % 100)"
+
+TICKET_COLUMNS = {
+    "ticket_id": "event_id",
+    "customer_id": "user_id",
+    "agent_id": "event_id % 10",
+    "created_date": f"date_add(DATE'{FIRST_DAY}', CAST(timestampdiff(SECOND, {_OPENED}, ts) "
+    f"DIV {EVENT_SECONDS_PER_DAY} AS INT))",
+    "ticket_category": "event_type",
+    "priority": f"""CASE WHEN {_K} < 25 THEN 'Low' WHEN {_K} < 70 THEN 'Medium'
+        WHEN {_K} < 90 THEN 'High' ELSE 'Critical' END""",
+    "status": f"""CASE WHEN {_MIX} < 68 THEN 'Resolved' WHEN {_MIX} < 80 THEN 'Open'
+        WHEN {_MIX} < 90 THEN 'Escalated' ELSE 'Pending' END""",
+    "csat_score": "CAST(CAST(10 + (event_id * 13) % 41 AS DECIMAL(3,0)) * 0.1BD AS DECIMAL(3,1))",
+    "resolution_hours": _money(_hundredths("value")),
+    "first_response_h": f"CAST({_money(_hundredths('value'))} * 0.25BD AS DECIMAL(14,4))",
+    "is_repeat": "CAST(event_id % 11 < 2 AS INT)",
+}
+CUSTOMER_COLUMNS = {
+    "customer_id": "c_custkey",
+    "full_name": "c_name",
+    "city": "concat(state, '-', c_custkey % 5)",
+    "segment": "c_mktsegment",
+    "join_date": f"date_add(DATE'{FIRST_DAY}', CAST(c_custkey * 37 % 2190 AS INT))",
+    "status": """CASE c_custkey % 7 WHEN 0 THEN 'Churned' WHEN 1 THEN 'At-Risk'
+        ELSE 'Active' END""",
+    "age_group": """CASE c_custkey % 5 WHEN 0 THEN '18-25' WHEN 1 THEN '26-35'
+        WHEN 2 THEN '36-45' WHEN 3 THEN '46-60' ELSE '60+' END""",
+}
+AGENT_COLUMNS = {
+    "agent_id": "s_suppkey",
+    "agent_name": "s_name",
+    "team": "concat('Team-', s_suppkey % 5)",
+    "shift": "concat('Shift-', s_suppkey % 3)",
+}
+
+
+def _pick(columns: dict[str, str], wanted) -> list[str]:
+    """Select items for the wanted columns; others are taken as they are."""
+    return [f"{columns[name]} AS {name}" if name in columns else name for name in wanted]
+
+
+def _event_time(day: date) -> str:
     """The event time at which a ticket day starts."""
     passed = timedelta(seconds=(day - FIRST_DAY).days * EVENT_SECONDS_PER_DAY)
-    return F.lit(str(FIRST_EVENT + passed)).cast("timestamp_ntz")
-
-
-def _city(customer: Column) -> Column:
-    return F.concat(F.col("state"), F.lit("-"), (customer % 5).cast("string"))
+    return f"TIMESTAMP_NTZ'{FIRST_EVENT + passed}'"
 
 
 class StarStore(OpsStore):
@@ -49,200 +156,106 @@ class StarStore(OpsStore):
         self.spark, self.root, self.tier_thresholds = spark, root, tier_thresholds
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        schema = RAW_SCHEMAS[name]
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}.parquet")
 
     def table(self, name, columns, period):
-        return getattr(self, f"_{name}")(set(columns), period).select(*columns)
+        return getattr(self, f"_{name}")(columns, period)
 
     # Places: the nation and region of a customer or supplier.
 
     def states(self) -> DataFrame:
-        regions = self.raw("region")
-        return (
-            self.raw("nation")
-            .join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-            .select("n_nationkey", F.col("n_name").alias("state"), F.col("r_name").alias("zone"))
+        return self._states(("zone",))
+
+    def _states(self, wanted) -> DataFrame:
+        nations = self.raw("nation")
+        if "zone" not in wanted:
+            return nations.selectExpr("n_nationkey", "n_name AS state")
+        zones = self.raw("region")
+        return nations.join(zones, F.expr("n_regionkey = r_regionkey"), "left").selectExpr(
+            "n_nationkey", "n_name AS state", "r_name AS zone"
         )
 
-    def _located(self, people: DataFrame, nation: str) -> DataFrame:
-        return people.join(self.states(), F.col(nation) == F.col("n_nationkey"), "left")
+    def _located(self, people: DataFrame, nation: str, wanted) -> DataFrame:
+        if not PLACE & set(wanted):
+            return people
+        return people.join(self._states(wanted), F.expr(f"{nation} = n_nationkey"), "left")
 
-    def _places(self) -> DataFrame:
-        people = self.raw("customer").select("c_custkey", "c_nationkey")
-        return self._located(people, "c_nationkey").select(
-            F.col("c_custkey").alias("place_of"),
-            _city(F.col("c_custkey")).alias("city"),
-            "state",
-            "zone",
-        )
-
-    def _with_place(self, df: DataFrame, wanted: set[str]) -> DataFrame:
-        if not PLACE & wanted:
+    def _with_place(self, df: DataFrame, customer: str, wanted) -> DataFrame:
+        if not PLACE & set(wanted):
             return df
-        return df.join(self._places(), F.col("customer_id") == F.col("place_of"), "left")
+        places = self._located(self.raw("customer"), "c_nationkey", wanted).selectExpr(
+            "c_custkey", *_pick(CUSTOMER_COLUMNS, sorted(PLACE & set(wanted)))
+        )
+        return df.join(places, F.expr(f"{customer} = c_custkey"), "left")
 
     # Facts.
 
-    def _order_lines(self, wanted: set[str], period: Period | None) -> DataFrame:
+    def _order_lines(self, wanted, period: Period | None) -> DataFrame:
         """Order lines with their header, and with place and product if wanted.
 
         The header is filtered and given its place first: it has fewer rows than the
         lines, which are then shuffled once.
         """
-        header = self.raw("orders").select(
+        header = self._with_place(self.raw("orders"), "o_custkey", wanted)
+        header = header.selectExpr(
             "o_orderkey",
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            F.col("o_orderpriority").alias("payment_method"),
             "o_orderstatus",
+            *_pick(HEADER_COLUMNS, HEADER_COLUMNS),
+            *sorted(PLACE & set(wanted)),
         )
         if period is not None:
             header = header.where(period.contains("order_date"))
-        header = self._with_place(header, wanted)
-        lines = self.raw("lineitem").join(header, F.col("l_orderkey") == F.col("o_orderkey"))
-        if PRODUCT & wanted:
-            parts = self.raw("part").select(
-                "p_partkey",
-                F.col("p_type").alias("category"),
-                F.col("p_name").alias("product_name"),
-            )
-            lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-        amount = F.col("l_extendedprice").cast(MONEY)
-        gst = F.round(amount * F.col("l_tax").cast("decimal(4,2)"), 2).cast(MONEY)
-        discount = F.round(amount * F.col("l_discount").cast("decimal(4,2)"), 2).cast(MONEY)
-        status = (
-            F.when(F.col("l_returnflag") == "R", "Returned")
-            .when(F.col("o_orderstatus") == "P", "Processing")
-            .when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), "Cancelled")
-            .when(F.col("l_linestatus") == "F", "Delivered")
-            .otherwise("Shipped")
-        )
-        days = (F.lit(2) + (F.col("l_orderkey") + F.col("l_linenumber")) % 13).cast("int")
-        return lines.select(
-            "*",
-            F.col("l_orderkey").alias("order_id"),
-            amount.alias("amount"),
-            gst.alias("gst_amount"),
-            discount.alias("discount"),
-            (amount + gst - discount).cast(MONEY).alias("final_amount"),
-            status.alias("order_status"),
-            days.alias("delivery_days"),
-            F.date_add("order_date", days).alias("delivery_date"),
-            (F.col("l_returnflag") == "R").cast("int").alias("is_returned"),
-        )
+        lines = self.raw("lineitem").join(header, F.expr("l_orderkey = o_orderkey"))
+        if PRODUCT & set(wanted):
+            lines = lines.join(self.raw("part"), F.expr("l_partkey = p_partkey"), "left")
+        return lines
 
-    def _orders(self, wanted, period):
-        return self._order_lines(wanted, period)
-
-    def _returns(self, wanted, period):
-        # A return comes 1 to 7 days after its order, so the period also bounds the
-        # order date, and that bound reaches the scan.
-        ordered = period.shifted(-7, -1) if period else None
-        returned = self._order_lines(wanted, ordered).where(F.col("l_returnflag") == "R")
-        bucket = F.col("l_partkey") % 100
-        returns = returned.select(
-            F.format_string("RET%d-%d", "order_id", "l_linenumber").alias("return_id"),
-            "order_id",
-            "customer_id",
-            F.date_add("order_date", (F.lit(1) + F.col("order_id") % 7).cast("int")).alias("return_date"),
-            F.concat(F.lit("Reason-"), (F.col("l_partkey") % 8).cast("string")).alias("reason"),
-            F.round(
-                F.col("amount") * (F.lit(85) + F.col("l_suppkey") % 16).cast("decimal(3,0)") / 100, 2
-            ).cast(MONEY).alias("refund_amount"),
-            F.when(bucket < 70, "Completed")
-            .when(bucket < 88, "Pending")
-            .otherwise("Processing")
-            .alias("refund_status"),
-            *(["state"] if "state" in wanted else []),
-        )
-        return returns.where(period.contains("return_date")) if period else returns
+    def _orders(self, columns, period):
+        return self._order_lines(columns, period).selectExpr(*_pick(ORDER_COLUMNS, columns))
 
-    def _tickets(self, wanted, period):
-        events = self.raw("events")
+    def _returns(self, columns, period):
         if period is not None:
-            # Days are stretches of event time, so the period also bounds ``ts``.
-            after = period.end + timedelta(days=1)
-            events = events.where(
-                (F.col("ts") >= _event_time(period.start)) & (F.col("ts") < _event_time(after))
+            # The period also bounds the order date, and that bound reaches the scan.
+            first, last = RETURN_DAYS
+            ordered = period.shifted(-last, -first)
+            lines = self._order_lines(columns, ordered).where(
+                f"{RETURN_COLUMNS['return_date']} BETWEEN {period.sql}"
             )
-        seconds = F.timestamp_diff("SECOND", _event_time(FIRST_DAY), F.col("ts"))
-        day = F.floor(seconds / F.lit(EVENT_SECONDS_PER_DAY)).cast("int")
-        k = F.get_json_object("props", "$.k").cast("int")
-        mix = (k * 7 + F.col("event_id")) % 100
-        tenths = F.lit(10) + (F.col("event_id") * 13) % 41
-        tickets = events.select(
-            F.col("event_id").alias("ticket_id"),
-            F.col("user_id").alias("customer_id"),
-            (F.col("event_id") % AGENTS).alias("agent_id"),
-            F.date_add(F.lit(FIRST_DAY), day).alias("created_date"),
-            F.col("event_type").alias("ticket_category"),
-            F.when(k < 25, "Low")
-            .when(k < 70, "Medium")
-            .when(k < 90, "High")
-            .otherwise("Critical")
-            .alias("priority"),
-            F.when(mix < 68, "Resolved")
-            .when(mix < 80, "Open")
-            .when(mix < 90, "Escalated")
-            .otherwise("Pending")
-            .alias("status"),
-            (tenths.cast("decimal(3,0)") / 10).cast("decimal(3,1)").alias("csat_score"),
-            F.col("value").cast("decimal(12,2)").alias("resolution_hours"),
-            (F.col("value").cast("decimal(12,2)") * F.lit("0.25").cast("decimal(2,2)"))
-            .cast("decimal(14,4)")
-            .alias("first_response_h"),
-            (F.col("event_id") % 11 < 2).cast("int").alias("is_repeat"),
-        )
-        return self._with_place(tickets, wanted)
+        else:
+            lines = self._order_lines(columns, None)
+        return lines.where("l_returnflag = 'R'").selectExpr(*_pick(RETURN_COLUMNS, columns))
+
+    def _tickets(self, columns, period):
+        events = self.raw("events")
+        if period is not None:
+            # Days are stretches of event time, so a period is a range of ``ts``.
+            start, after = _event_time(period.start), _event_time(period.end + timedelta(days=1))
+            events = events.where(f"ts >= {start} AND ts < {after}")
+        events = self._with_place(events, "user_id", columns)
+        return events.selectExpr(*_pick(TICKET_COLUMNS, columns))
 
     # Dimensions.
 
-    def _customers(self, wanted, period):
-        key = F.col("c_custkey")
-        join_day = ((key * 37) % 2190).cast("int")
-        people = self.raw("customer")
-        if PLACE & wanted:
-            people = self._located(people, "c_nationkey").withColumn("city", _city(key))
-        customers = people.select(
-            "*",
-            key.alias("customer_id"),
-            F.col("c_name").alias("full_name"),
-            F.col("c_mktsegment").alias("segment"),
-            F.date_add(F.lit(FIRST_DAY), join_day).alias("join_date"),
-            F.when(key % 7 == 0, "Churned")
-            .when(key % 7 == 1, "At-Risk")
-            .otherwise("Active")
-            .alias("status"),
-            F.element_at(F.array(*[F.lit(a) for a in AGE_GROUPS]), (key % 5 + 1).cast("int")).alias(
-                "age_group"
-            ),
-        )
-        if "tier" in wanted:
+    def _customers(self, columns, period):
+        people = self._located(self.raw("customer"), "c_nationkey", columns)
+        if "tier" in columns:
             spend = delivered_spend(self).withColumnRenamed("customer_id", "spender")
-            spent = F.coalesce(F.col("spent"), F.lit(0))
-            customers = customers.join(spend, F.col("customer_id") == F.col("spender"), "left")
-            customers = customers.withColumn("tier", rules.tier_of(spent, self.tier_thresholds))
-        return customers
-
-    def _agents(self, wanted, period):
-        agents = self.raw("supplier")
-        if "state" in wanted:
-            agents = self._located(agents, "s_nationkey")
-        key = F.col("s_suppkey")
-        return agents.select(
-            "*",
-            key.alias("agent_id"),
-            F.col("s_name").alias("agent_name"),
-            F.concat(F.lit("Team-"), (key % 5).cast("string")).alias("team"),
-            F.concat(F.lit("Shift-"), (key % 3).cast("string")).alias("shift"),
-        )
+            people = people.join(spend, F.expr("c_custkey = spender"), "left").withColumn(
+                "tier", rules.tier_of(F.expr("coalesce(spent, 0)"), self.tier_thresholds)
+            )
+        return people.selectExpr(*_pick(CUSTOMER_COLUMNS, columns))
+
+    def _agents(self, columns, period):
+        agents = self._located(self.raw("supplier"), "s_nationkey", columns)
+        return agents.selectExpr(*_pick(AGENT_COLUMNS, columns))
 
 
 def delivered_spend(store: OpsStore) -> DataFrame:
     """Delivered spend of each customer who has any."""
     return (
         store.orders("customer_id", "final_amount", "order_status")
-        .where(F.col("order_status") == "Delivered")
+        .where("order_status = 'Delivered'")
         .groupBy("customer_id")
         .agg(F.sum("final_amount").alias("spent"))
     )

@@ -78,6 +78,8 @@ class Warehouse(OpsStore):
     def table(self, name: str, columns: tuple[str, ...], period: Period | None) -> DataFrame:
         df = self.spark.read.schema(self._schema(name)).parquet(self.path(name))
         if period is not None:
-            months = (F.lit(f"{day:%Y-%m}") for day in (period.start, period.end))
-            df = df.where(F.col(MONTH).between(*months) & period.contains(TABLES[name].date))
+            df = df.where(
+                F.col(MONTH).between(f"{period.start:%Y-%m}", f"{period.end:%Y-%m}")
+                & period.contains(TABLES[name].date)
+            )
         return df.select(*columns)
