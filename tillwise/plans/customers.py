@@ -317,7 +317,8 @@ def cohort_retention_matrix(
 PROFILE = ("full_name", "city", "state", "tier", "segment", "age_group")
 
 
-def _buyers(store, period, filters):
+def _spend(store: OpsStore, period: Period, filters: Filters) -> DataFrame:
+    """Orders, spend and mean order value of the chosen customers who bought."""
     spend = (
         _settled(store, "order_id", "final_amount", period=period)
         .groupBy("customer_id")
@@ -327,22 +328,30 @@ def _buyers(store, period, filters):
             exact_mean("final_amount").alias("aov"),
         )
     )
-    return _customers(store, filters, *PROFILE).join(spend, "customer_id")
+    return spend.join(_customers(store, filters).select("customer_id"), "customer_id")
 
 
-def _ratings(tickets: DataFrame) -> DataFrame:
-    return tickets.groupBy("customer_id").agg(
-        rows().alias("ticket_count"), exact_mean("csat_score").alias("csat")
+def _ratings(store: OpsStore, period: Period) -> DataFrame:
+    return (
+        store.tickets("customer_id", "csat_score", period=period)
+        .groupBy("customer_id")
+        .agg(rows().alias("ticket_count"), exact_mean("csat_score").alias("csat"))
     )
 
 
-def _as_top(df: DataFrame) -> DataFrame:
-    return df.select(
-        *PROFILE,
-        "orders",
-        "lifetime_value",
-        "aov",
-        zero_if_null(F.col("csat")).alias("csat_avg"),
+def _with_profile(store: OpsStore, best: DataFrame) -> DataFrame:
+    """The few ranked customers with their profile, in rank order."""
+    profiles = store.customers("customer_id", *PROFILE)
+    return (
+        best.join(profiles, "customer_id")
+        .orderBy(F.desc("lifetime_value"), "customer_id")
+        .select(
+            *PROFILE,
+            "orders",
+            "lifetime_value",
+            "aov",
+            zero_if_null(F.col("csat")).alias("csat_avg"),
+        )
     )
 
 
@@ -350,14 +359,11 @@ def top_customers(
     store: OpsStore, period: Period, filters: Filters = NO_FILTERS, limit: int = 20
 ) -> DataFrame:
     """The customers with the largest settled spend in the period, with their mean
-    ticket rating (0 without tickets)."""
-    best = top(_buyers(store, period, filters), limit, "lifetime_value", "customer_id")
-    # Only the chosen customers' tickets are rated.
-    chosen = best.select("customer_id")
-    tickets = store.tickets("customer_id", "csat_score", period=period)
-    rated = _ratings(tickets.join(chosen, "customer_id", "left_semi"))
-    ranked = best.join(rated, "customer_id", "left")
-    return _as_top(ranked.orderBy(F.desc("lifetime_value"), "customer_id"))
+    ticket rating (0 without tickets). Only keys and sums are ranked; the profile is
+    looked up for the rows that remain."""
+    best = top(_spend(store, period, filters), limit, "lifetime_value", "customer_id")
+    rated = best.join(_ratings(store, period), "customer_id", "left")
+    return _with_profile(store, rated)
 
 
 def top_customers_fanout(
@@ -367,10 +373,9 @@ def top_customers_fanout(
     customer: the spend is multiplied by the ticket count, while means and distinct
     counts stay. It is computed from the per-customer figures, without the repeats.
     """
-    rated = _ratings(store.tickets("customer_id", "csat_score", period=period))
-    repeats = F.greatest(F.coalesce(F.col("ticket_count"), F.lit(1)), F.lit(1))
-    repeated = _buyers(store, period, filters).join(rated, "customer_id", "left")
-    repeated = repeated.withColumn(
-        "lifetime_value", F.col("lifetime_value") * repeats.cast("decimal(12,0)")
+    rated = _spend(store, period, filters).join(_ratings(store, period), "customer_id", "left")
+    repeated = rated.withColumn(
+        "lifetime_value",
+        F.col("lifetime_value") * F.expr("CAST(coalesce(ticket_count, 1) AS DECIMAL(12,0))"),
     )
-    return _as_top(top(repeated, limit, "lifetime_value", "customer_id"))
+    return _with_profile(store, top(repeated, limit, "lifetime_value", "customer_id"))
