@@ -3,8 +3,8 @@
 Joins happen only for the columns a plan asks for. Attribute joins (place, product)
 are left joins on a unique key, so leaving one out never changes the rows. No join
 carries a broadcast hint: Spark broadcasts a side when its known size is below
-``spark.sql.autoBroadcastJoinThreshold`` and sorts and merges otherwise, and AQE
-splits a join partition that a hot key has made too large.
+``spark.sql.autoBroadcastJoinThreshold`` and sorts and merges otherwise. AQE splits a
+join partition that a hot key has made too large.
 
 Derived columns are SQL text: one expression is one call to the JVM, and only the
 wanted ones are selected.
@@ -119,10 +119,10 @@ TICKET_COLUMNS = {
     "first_response_h": f"CAST({_money(_hundredths('value'))} * 0.25BD AS DECIMAL(14,4))",
     "is_repeat": "CAST(event_id % 11 < 2 AS INT)",
 }
+PLACE_COLUMNS = {"city": "concat(state, '-', c_custkey % 5)"}
 CUSTOMER_COLUMNS = {
     "customer_id": "c_custkey",
     "full_name": "c_name",
-    "city": "concat(state, '-', c_custkey % 5)",
     "segment": "c_mktsegment",
     "join_date": f"date_add(DATE'{FIRST_DAY}', CAST(c_custkey * 37 % 2190 AS INT))",
     "status": """CASE c_custkey % 7 WHEN 0 THEN 'Churned' WHEN 1 THEN 'At-Risk'
@@ -182,12 +182,14 @@ class StarStore(OpsStore):
         return people.join(self._states(wanted), F.expr(f"{nation} = n_nationkey"), "left")
 
     def _with_place(self, df: DataFrame, customer: str, wanted) -> DataFrame:
+        """Add ``customer``'s place. Only the nation's number is joined by customer;
+        the names come from the nations afterwards."""
         if not PLACE & set(wanted):
             return df
-        places = self._located(self.raw("customer"), "c_nationkey", wanted).selectExpr(
-            "c_custkey", *_pick(CUSTOMER_COLUMNS, sorted(PLACE & set(wanted)))
+        homes = self.raw("customer").select("c_custkey", "c_nationkey")
+        return self._located(
+            df.join(homes, F.expr(f"{customer} = c_custkey"), "left"), "c_nationkey", wanted
         )
-        return df.join(places, F.expr(f"{customer} = c_custkey"), "left")
 
     # Facts.
 
@@ -202,11 +204,16 @@ class StarStore(OpsStore):
             "o_orderkey",
             "o_orderstatus",
             *_pick(HEADER_COLUMNS, HEADER_COLUMNS),
-            *sorted(PLACE & set(wanted)),
+            *_pick(PLACE_COLUMNS, sorted(PLACE & set(wanted))),
         )
         if period is not None:
             header = header.where(period.contains("order_date"))
-        lines = self.raw("lineitem").join(header, F.expr("l_orderkey = o_orderkey"))
+        lines = self.raw("lineitem")
+        if PLACE & set(wanted):
+            # Spark multiplies the sizes of joined inputs, so it would take this header
+            # for huge and broadcast the lines, a fact, while they fit the limit.
+            lines = lines.hint("merge")
+        lines = lines.join(header, F.expr("l_orderkey = o_orderkey"))
         if PRODUCT & set(wanted):
             lines = lines.join(self.raw("part"), F.expr("l_partkey = p_partkey"), "left")
         return lines
@@ -233,7 +240,7 @@ class StarStore(OpsStore):
             start, after = _event_time(period.start), _event_time(period.end + timedelta(days=1))
             events = events.where(f"ts >= {start} AND ts < {after}")
         events = self._with_place(events, "user_id", columns)
-        return events.selectExpr(*_pick(TICKET_COLUMNS, columns))
+        return events.selectExpr(*_pick(TICKET_COLUMNS | PLACE_COLUMNS, columns))
 
     # Dimensions.
 
@@ -244,7 +251,7 @@ class StarStore(OpsStore):
             people = people.join(spend, F.expr("c_custkey = spender"), "left").withColumn(
                 "tier", rules.tier_of(F.expr("coalesce(spent, 0)"), self.tier_thresholds)
             )
-        return people.selectExpr(*_pick(CUSTOMER_COLUMNS, columns))
+        return people.selectExpr(*_pick(CUSTOMER_COLUMNS | PLACE_COLUMNS, columns))
 
     def _agents(self, columns, period):
         agents = self._located(self.raw("supplier"), "s_nationkey", columns)
