@@ -181,3 +181,14 @@ def test_csv_export_is_ordered(spark, star, tmp_path):
     assert len(lines) == star.orders("order_id", period=YEAR).count()
     days = [line.split(",")[0] for line in lines]
     assert days == sorted(days, reverse=True)
+
+
+def test_kept_results_are_released(spark):
+    from tillwise.session import forget_all, kept
+
+    with kept(spark.range(5)) as df:
+        assert df.count() == 5 and df.is_cached
+    assert not df.is_cached
+    spark.range(3).cache().count()
+    forget_all(spark)
+    assert not spark.range(3).is_cached

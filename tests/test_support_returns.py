@@ -137,3 +137,19 @@ def test_rating_is_kept_in_range(spark, raw, kept):
 
     value = F.lit(raw).cast("decimal(6,2)")
     assert spark.range(1).select(enrichment.kept_rating(value)).first()[0] == kept
+
+
+def test_concentration(store):
+    def states(*revenues):
+        return store(
+            orders=[
+                {"state": f"S{i}", "final_amount": r, "order_date": "2024-02-01", "order_status": "Delivered"}
+                for i, r in enumerate(revenues)
+            ]
+        )
+
+    assert rows(report.top3_concentration(states(50, 30, 10, 6, 4), YEAR)) == [(90.0, "S3")]
+    assert rows(report.top3_concentration(states(50, 30), YEAR)) == [(100.0, "other states")]
+    assert rows(report.top3_concentration(states(), YEAR)) == [(None, "other states")]
+    bars = rows(report.state_share(states(*range(10, 110, 10)), YEAR))
+    assert len(bars) == 8 and bars[0][2] == 100.0 and bars[1][2] == 90.0

@@ -142,6 +142,38 @@ def payment_display(
     )
 
 
+def state_display(
+    store: OpsStore, period: Period, filters: Filters = NO_FILTERS
+) -> DataFrame:
+    """The state table as display text."""
+    return sales.state_performance(store, period, filters).select(
+        "state",
+        text.money_text(F.col("revenue")).alias("revenue"),
+        "orders",
+        "customers",
+        text.suffixed(F.col("avg_delivery"), 1, "d").alias("avg_delivery"),
+        text.suffixed(F.col("return_rate"), 1, "%").alias("return_rate"),
+    )
+
+
+def top_customers_display(
+    store: OpsStore, period: Period, filters: Filters = NO_FILTERS, limit: int = 20
+) -> DataFrame:
+    """The table of top customers as display text."""
+    return customers.top_customers(store, period, filters, limit).select(
+        F.col("full_name").alias("name"),
+        "city",
+        "state",
+        "tier",
+        "segment",
+        "age_group",
+        "orders",
+        text.money_text(F.col("lifetime_value")).alias("lifetime_value"),
+        text.money_text(F.col("aov")).alias("avg_order"),
+        text.plain(F.col("csat_avg"), 2).alias("csat"),
+    )
+
+
 def agent_scorecard(
     store: OpsStore, period: Period, filters: Filters = NO_FILTERS
 ) -> DataFrame:

@@ -137,6 +137,8 @@ PLANS: dict[str, Callable[[OpsStore], DataFrame]] = {
     "report_weekly_12": lambda s: report.weekly_totals(s, PERIOD),
     "report_return_benchmark": lambda s: report.return_benchmark(s, PERIOD),
     "payment_display": lambda s: report.payment_display(s, PERIOD),
+    "state_display": lambda s: report.state_display(s, PERIOD),
+    "top_customers_display": lambda s: report.top_customers_display(s, PERIOD),
     "agent_scorecard": lambda s: report.agent_scorecard(s, PERIOD),
     # Enrichment
     "order_enrichment": lambda s: enrichment.order_enrichment(

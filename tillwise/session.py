@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -14,6 +18,8 @@ SETTINGS = {
     # One order, customer or part may own a large share of the rows. AQE cuts such
     # a join partition by map blocks, so the hot key is read by many tasks.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Cut it even where a later aggregation by the same key then needs a shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
@@ -31,6 +37,22 @@ def build_session(
     return builder.getOrCreate()
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a result that several queries read, for the length of a ``with`` block.
+    Lost parts are computed again; what does not fit in memory goes to disk."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Drop every kept result."""
+    spark.catalog.clearCache()
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 

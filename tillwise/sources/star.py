@@ -99,7 +99,11 @@ RETURN_COLUMNS = {
         WHEN l_partkey % 100 < 88 THEN 'Pending' ELSE 'Processing' END""",
 }
 
-_OPENED = f"TIMESTAMP_NTZ'{FIRST_EVENT}'"
+# Whole seconds of event time, from the parts of the time and so in no time zone.
+_SECONDS = (
+    f"(datediff(CAST(ts AS DATE), DATE'{FIRST_EVENT:%Y-%m-%d}') * 86400L "
+    "+ hour(ts) * 3600 + minute(ts) * 60 + second(ts))"
+)
 _K = "CAST(get_json_object(props, '$.k') AS INT)"
 _MIX = f"((7 * {_K} + event_id) % 100)"
 
@@ -107,8 +111,8 @@ TICKET_COLUMNS = {
     "ticket_id": "event_id",
     "customer_id": "user_id",
     "agent_id": "event_id % 10",
-    "created_date": f"date_add(DATE'{FIRST_DAY}', CAST(timestampdiff(SECOND, {_OPENED}, ts) "
-    f"DIV {EVENT_SECONDS_PER_DAY} AS INT))",
+    "created_date": f"date_add(DATE'{FIRST_DAY}', "
+    f"CAST({_SECONDS} DIV {EVENT_SECONDS_PER_DAY} AS INT))",
     "ticket_category": "event_type",
     "priority": f"""CASE WHEN {_K} < 25 THEN 'Low' WHEN {_K} < 70 THEN 'Medium'
         WHEN {_K} < 90 THEN 'High' ELSE 'Critical' END""",
