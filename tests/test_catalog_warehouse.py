@@ -118,12 +118,46 @@ def test_period_prunes_months(warehouse):
     assert "PartitionFilters: [isnotnull(year_month" in plan
 
 
+def test_lookup_columns_have_bloom_filters(spark, tmp_path):
+    """Parquet writes them where a column has outgrown its dictionary."""
+    known = {
+        "ticket_id": F.col("id"),
+        "agent_id": F.xxhash64("id"),
+        "created_date": F.to_date(F.lit("2024-05-01")),
+    }
+    columns = TABLES["tickets"].columns
+    house = Warehouse(spark, str(tmp_path))
+    house.append(
+        "tickets",
+        spark.range(0, 300000, 1, 1).select(
+            *[known.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()]
+        ),
+    )
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(house.tickets("agent_id").inputFiles()[0])
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(
+        path, spark._jsc.hadoopConfiguration()
+    )
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    chunks = reader.getFooter().getBlocks()[0].getColumns()
+    filtered = {c.getPath().toDotString(): c.getBloomFilterOffset() > 0 for c in chunks}
+    reader.close()
+    assert filtered["agent_id"] and not filtered["ticket_id"]
+    assert house.tickets().where("agent_id = xxhash64(7L)").count() == 1
+
+
 def test_create_is_done_once(spark, star, warehouse):
     before = sorted(glob.glob(f"{warehouse.root}/**/*.parquet", recursive=True))
     assert warehouse.create_missing(star) == []
     assert sorted(glob.glob(f"{warehouse.root}/**/*.parquet", recursive=True)) == before
 
 
+def test_unfinished_table_is_refused(spark, star, tmp_path):
+    (tmp_path / "agents" / "_temporary").mkdir(parents=True)
+    with pytest.raises(RuntimeError, match="did not finish"):
+        Warehouse(spark, str(tmp_path)).create_missing(star)
+
+
 def test_append_and_rewrite(spark, store, tmp_path, frame):
     first = store(customers=[{"customer_id": 1, "full_name": "a", "tier": "Bronze"}])
     base = Warehouse(spark, str(tmp_path / "v1"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions import text
@@ -63,8 +63,8 @@ def trend_alerts(weekly_ops: DataFrame, weekly_csat: DataFrame) -> DataFrame:
     ticket metrics does not. Fewer than four weeks of orders give no alerts at all,
     fewer than four weeks of tickets none on tickets.
     """
-    ops = _newest_week(weekly_ops, OPS_RULES, -5, -2, 0)
-    csat = _newest_week(weekly_csat, CSAT_RULES, -4, -1, len(OPS_RULES))
+    ops = _newest_week(weekly_ops, OPS_RULES, 5, 2, 0)
+    csat = _newest_week(weekly_csat, CSAT_RULES, 4, 1, len(OPS_RULES))
     compared = (
         ops.unionByName(csat)
         .withColumn("has_ops", F.min("position").over(whole()) < len(OPS_RULES))
@@ -91,31 +91,24 @@ def trend_alerts(weekly_ops: DataFrame, weekly_csat: DataFrame) -> DataFrame:
 
 
 def _newest_week(weekly, rules, first, last, offset):
-    earlier = Window.orderBy("week").rowsBetween(first, last)
-    measured = weekly.select(
-        "week",
-        (F.max("week").over(whole()) == F.col("week")).alias("newest"),
-        F.count(F.lit(1)).over(whole()).alias("weeks"),
-        *[F.col(r.column).cast("double").alias(f"current_{r.column}") for r in rules],
-        *[
-            F.avg(F.col(r.column).cast("double")).over(earlier).alias(f"baseline_{r.column}")
-            for r in rules
-        ],
+    """The newest week's value and baseline of each rule, one row per rule."""
+    frame = f"ORDER BY week ROWS BETWEEN {first} PRECEDING AND {last} PRECEDING"
+    columns = [r.column for r in rules]
+    measured = weekly.selectExpr(
+        "max(week) OVER () = week AS newest",
+        "count(1) OVER () AS weeks",
+        *[f"CAST({c} AS DOUBLE) AS current_{c}" for c in columns],
+        *[f"avg(CAST({c} AS DOUBLE)) OVER ({frame}) AS baseline_{c}" for c in columns],
     )
     lines = [
-        F.struct(
-            F.lit(offset + i).alias("position"),
-            F.lit(r.metric).alias("metric"),
-            F.lit(r.unit).alias("unit"),
-            F.lit(r.higher_better).alias("higher_better"),
-            F.lit(r.threshold).alias("threshold"),
-            F.col(f"current_{r.column}").alias("current"),
-            F.col(f"baseline_{r.column}").alias("baseline"),
-        )
-        for i, r in enumerate(rules)
+        f"{position}, '{r.metric}', '{r.unit}', {r.higher_better}, {r.threshold}D, "
+        f"current_{r.column}, baseline_{r.column}"
+        for position, r in enumerate(rules, offset)
     ]
-    kept = measured.where(F.col("newest") & (F.col("weeks") >= MIN_WEEKS))
-    return kept.select(F.inline(F.array(*lines)))
+    return measured.where(f"newest AND weeks >= {MIN_WEEKS}").selectExpr(
+        f"stack({len(lines)}, {', '.join(lines)}) AS "
+        "(position, metric, unit, higher_better, threshold, current, baseline)"
+    )
 
 
 def severity(pct: Column, higher_better: Column, threshold: Column) -> Column:

@@ -18,6 +18,8 @@ class Table:
     date: str | None = None
     references: dict[str, str] = field(default_factory=dict)
     required: tuple[str, ...] = ()
+    # Columns that rows are looked up by, besides the date.
+    lookups: tuple[str, ...] = ()
 
     @property
     def struct(self) -> T.StructType:
@@ -66,6 +68,7 @@ ORDERS = Table(
     primary_key="order_id",
     date="order_date",
     references={"customer_id": "customers"},
+    lookups=("customer_id", "state"),
 )
 
 TICKETS = Table(
@@ -87,6 +90,7 @@ TICKETS = Table(
     primary_key="ticket_id",
     date="created_date",
     references={"customer_id": "customers"},
+    lookups=("agent_id",),
 )
 
 AGENTS = Table(

@@ -1,13 +1,13 @@
 """The operations tables as Parquet, written once and read by every plan.
 
 Facts are laid out by month of their date, so a period prunes directories, and
-sorted by date inside each file, so it prunes row groups as well. The orders table
-is denormalised here: after that no plan repeats the star-schema joins.
+sorted by date inside each file, so it prunes row groups as well. Bloom filters on the
+lookup columns (customer, state, agent) prune row groups for an equality filter. The
+orders table is denormalised here: after that no plan repeats the star-schema joins.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,17 +27,22 @@ class Warehouse(OpsStore):
         return f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
-        try:
-            self.spark.read.schema(self._schema(name)).parquet(self.path(name))
-        except AnalysisException:
+        """Whether the table was written in full. A folder that a failed job left
+        without its success mark is an error: it must not pass for the table."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(self.path(name))
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
             return False
+        if not files.exists(hadoop.Path(folder, "_SUCCESS")):
+            raise RuntimeError(f"{folder} has no _SUCCESS mark: its write did not finish")
         return True
 
     def create_missing(self, source: OpsStore) -> list[str]:
         """Write the tables that are not there yet; returns their names."""
         missing = [name for name in TABLES if not self.exists(name)]
         for name in missing:
-            self._write(name, source.read(name), "ignore")
+            self._write(name, source.read(name), "errorifexists")
         return missing
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -71,9 +76,11 @@ class Warehouse(OpsStore):
         # Rebalancing gathers a month into few files and splits a large month, or a
         # hot one, into several, by map blocks rather than by value.
         rows = rows.withColumn(MONTH, F.date_format(day, "yyyy-MM")).hint("rebalance", MONTH)
-        rows.sortWithinPartitions(MONTH, day).write.mode(mode).partitionBy(MONTH).parquet(
-            self.path(name)
-        )
+        writer = rows.sortWithinPartitions(MONTH, day).write.mode(mode).partitionBy(MONTH)
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+        for column in TABLES[name].lookups:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(self.path(name))
 
     def table(self, name: str, columns: tuple[str, ...], period: Period | None) -> DataFrame:
         df = self.spark.read.schema(self._schema(name)).parquet(self.path(name))
