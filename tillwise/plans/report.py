@@ -13,6 +13,25 @@ from tillwise.plans import alerts, customers, kpis, returns, sales, support
 from tillwise.session import stage
 from tillwise.sources.store import FrameStore, OpsStore
 
+# --- Fixed values: the executive figures ------------------------------------------
+# label, figure, its change, prefix, decimals, thousands separators, suffix
+
+SHEET = [
+    ("Gross Merchandise Value", f"gmv / {text.LAKH}D", "gmv_delta", "₹", 1, False, "L"),
+    ("Total Orders", "orders", "orders_delta", "", 0, True, ""),
+    ("Active Customers", "customers", "customers_delta", "", 0, True, ""),
+    ("Avg Order Value", "aov", "aov_delta", "₹", 0, True, ""),
+    ("CSAT Score", "csat", "csat_delta", "", 2, False, ""),
+    ("Resolution Rate", "resolution", "resolution_delta", "", 0, False, "%"),
+    ("Return Rate", "return_rate", None, "", 1, False, "%"),
+    ("Avg Delivery Days", "avg_delivery", None, "", 1, False, "d"),
+    ("Total GST Collected", "total_gst", None, "₹", 0, True, ""),
+    ("Total Discounts Given", "total_discount", None, "₹", 0, True, ""),
+    ("Cancellation Rate", "cancel_rate", None, "", 1, False, "%"),
+]
+
+# --- Datasets ---------------------------------------------------------------------
+
 
 def top_states(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
     ranked = top(sales.state_performance(store, period, filters), 5, "revenue", "state")
@@ -84,43 +103,29 @@ def return_benchmark(
 
 def kpi_sheet(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
     """The executive figures, one per row: number, change and display text."""
-
-    def line(position, label, value, shown, change=None):
-        none = F.lit(None).cast("double")
-        return F.struct(
-            F.lit(position).alias("position"),
-            F.lit(label).alias("label"),
-            value.cast("double").alias("value"),
-            shown.alias("shown"),
-            (F.col(change) if change else none).alias("delta"),
-            (text.signed_percent(F.col(change)) if change else F.lit(None).cast("string")).alias(
-                "delta_shown"
-            ),
-        )
-
-    def money(name):
-        return text.money_text(F.col(name))
-
-    def col(name):
-        return F.col(name)
-
     lines = [
-        line(1, "Gross Merchandise Value", col("gmv") / text.LAKH, text.lakh_text(col("gmv")), "gmv_delta"),
-        line(2, "Total Orders", col("orders"), text.grouped(col("orders")), "orders_delta"),
-        line(3, "Active Customers", col("customers"), text.grouped(col("customers")), "customers_delta"),
-        line(4, "Avg Order Value", col("aov"), money("aov"), "aov_delta"),
-        line(5, "CSAT Score", col("csat"), text.plain(col("csat"), 2), "csat_delta"),
-        line(6, "Resolution Rate", col("resolution"), text.suffixed(col("resolution"), 0, "%"), "resolution_delta"),
-        line(7, "Return Rate", col("return_rate"), text.suffixed(col("return_rate"), 1, "%")),
-        line(8, "Avg Delivery Days", col("avg_delivery"), text.suffixed(col("avg_delivery"), 1, "d")),
-        line(9, "Total GST Collected", col("total_gst"), money("total_gst")),
-        line(10, "Total Discounts Given", col("total_discount"), money("total_discount")),
-        line(11, "Cancellation Rate", col("cancel_rate"), text.suffixed(col("cancel_rate"), 1, "%")),
+        f"{place}, '{label}', CAST({value} AS DOUBLE), {change or 'CAST(NULL AS DOUBLE)'}, "
+        f"'{prefix}', {digits}, {grouped}, '{suffix}'"
+        for place, (label, value, change, prefix, digits, grouped, suffix) in enumerate(SHEET, 1)
     ]
     return (
         kpis.kpi_summary(store, period, filters)
-        .select(F.inline(F.array(*lines)))
-        .withColumn("filters", filters.summary(separator=" | "))
+        .selectExpr(
+            f"stack({len(lines)}, {', '.join(lines)}) AS "
+            "(position, label, value, delta, prefix, digits, grouped, suffix)"
+        )
+        .withColumn("number", F.expr("format_number(value, digits)"))
+        .select(
+            "position",
+            "label",
+            "value",
+            F.expr(
+                "concat(prefix, if(grouped, number, replace(number, ',', '')), suffix)"
+            ).alias("shown"),
+            "delta",
+            text.signed_percent(F.col("delta")).alias("delta_shown"),
+            filters.summary(separator=" | ").alias("filters"),
+        )
         .orderBy("position")
     )
 
