@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination
+from tillwise.llm import decontamination, quality
+from tillwise.llm.learning import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def predicted(threshold: float = 0.3) -> Column:
+    return F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, split = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", split != 0)
+    return quality.scored(docs, model).select("doc_id", (split == 0).alias("held_out"), "score", predicted())
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {}
