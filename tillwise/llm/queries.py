@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination, quality
+from tillwise.llm import decontamination, quality, toxicity
 from tillwise.llm.learning import fold
+from tillwise.llm.staging import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +27,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, split = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), split != 2)
+    return toxicity.scored(docs, model).select(
+        "doc_id", (split == 2).alias("held_out"), "score", predicted(), "n_toxic", "spans"
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, split = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", split != 0)
@@ -33,6 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op10_quality": op10_quality,
 }
 SQL: dict[str, str] = {}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers that see this source tree import it, also where only the driver
+    has it on its path. Elsewhere the package has to be installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment
+    parts = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        known["PYTHONPATH"] = os.pathsep.join([*parts, root])
+
+
 class Stages:
     """Tables written as Parquet to cut lineage: a lost executor costs a read, not a rerun.
 
