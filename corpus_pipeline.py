@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination, toxicity
+from tillwise.llm import decontamination, mixing, toxicity
 from tillwise.llm.learning import fold
 from tillwise.llm.staging import Stages, ship
 
@@ -23,9 +23,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix of sources takes, with the number of copies."""
+    return mixing.mixture(docs)
+
+
 STAGES = [
     ("toxicity", toxic_out),
     ("benchmark decontamination", decontaminate),
+    ("source mixing", mix),
 ]
 
 #: Trained models, sampled hashes and a seeded choice: not expressible in SQL. The stages
