@@ -41,7 +41,7 @@ from tillwise.llm.quality import labelled
 from tillwise.llm.text import LOWER, Words, arrow, batch_of, chunks, mixed, powers
 from tillwise.llm.trees import sigmoid
 
-SAMPLE = 8000
+SAMPLE = 4000
 SENTENCES = 24_000
 BITS = 20
 FEATURES = ("word", "first 3", "first 4", "first 5", "first 6", "last 3", "before", "after")
@@ -259,8 +259,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     tokens = joined(parts)
     marked = label_tokens(tokens, y)
     field = fit_field(*chosen(tokens, marked))
-    toxic, _, _ = marginals(field.emissions(tokens), tokens.sentence, field.start, field.pairs)
-    field.curve = curve_of(evidence(toxic, tokens.words), y)
+    facts = []
+    for part in parts:
+        toxic, _, _ = marginals(field.emissions(part), part.sentence, field.start, field.pairs)
+        facts.append(evidence(toxic, part.words))
+    field.curve = curve_of(np.concatenate(facts), y)
     return field
 
 
