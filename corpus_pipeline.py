@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination, mixing, toxicity
+from tillwise.llm import decontamination, mixing, near_duplicates, toxicity
 from tillwise.llm.learning import fold
 from tillwise.llm.staging import Stages, ship
 
@@ -18,6 +18,11 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accepted(docs, toxicity.fit(raw, labels, fold(F.col("doc_id"), 4) != 2))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest id stays."""
+    return near_duplicates.deduplicated(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -30,6 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", toxic_out),
+    ("near-duplicates", one_of_each),
     ("benchmark decontamination", decontaminate),
     ("source mixing", mix),
 ]
