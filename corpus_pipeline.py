@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination, mixing, near_duplicates, toxicity
+from tillwise.llm import decontamination, mixing, near_duplicates, personal_data, toxicity
 from tillwise.llm.learning import fold
 from tillwise.llm.staging import Stages, ship
 
@@ -28,6 +28,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind's name; all documents stay."""
+    return personal_data.redacted(docs, personal_data.fit(docs))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix of sources takes, with the number of copies."""
     return mixing.mixture(docs)
@@ -37,6 +42,7 @@ STAGES = [
     ("toxicity", toxic_out),
     ("near-duplicates", one_of_each),
     ("benchmark decontamination", decontaminate),
+    ("personal data", without_personal_data),
     ("source mixing", mix),
 ]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination, mixing, near_duplicates, quality, toxicity
+from tillwise.llm import decontamination, mixing, near_duplicates, personal_data, quality, toxicity
 from tillwise.llm.learning import fold
 from tillwise.llm.staging import ship
 
@@ -35,6 +35,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.reported(docs, personal_data.fit(docs))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op3_personal_data": op3_personal_data,
     "op4_near_duplicates": op4_near_duplicates,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
