@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination, language, mixing, near_duplicates, personal_data, quality, toxicity
+from tillwise.llm import decontamination, extraction, language, mixing, near_duplicates, personal_data, quality, toxicity
 from tillwise.llm.learning import fold
 from tillwise.llm.staging import ship
 
@@ -44,6 +44,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, split = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
     found = language.identified(docs, language.fit(docs.where(split != 0)), reject=False)
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_personal_data": op3_personal_data,
     "op4_near_duplicates": op4_near_duplicates,
+    "op7_extraction": op7_extraction,
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
