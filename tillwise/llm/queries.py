@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination, embeddings, extraction, language, mixing, near_duplicates, personal_data, quality, toxicity
+from tillwise.llm import decontamination, embeddings, extraction, language, mixing, near_duplicates, personal_data, quality, recompression, toxicity
 from tillwise.llm.learning import fold
 from tillwise.llm.staging import ship
 
@@ -44,6 +44,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.deduplicated(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_personal_data": op3_personal_data,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_recompression": op5_recompression,
     "op6_embeddings": op6_embeddings,
     "op7_extraction": op7_extraction,
     "op8_language": op8_language,
