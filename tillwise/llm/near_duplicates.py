@@ -5,22 +5,22 @@ its number times ln(1 + N / max(df, floor * N)): rare shingles weigh the same, t
 more than 1 % of all documents less. Two documents are linked if the weighted Jaccard
 similarity of their bags is 0.8 or more; classes are the connected components of links.
 
-1. Document frequencies. Only shingles above the floor need one. A task counts shingles in
-   2 ** 20 hash buckets; a shingle in 1 % of all documents is in 1 % of the documents of at
-   least one task, so the union of the buckets that are heavy in some task misses none. A
-   second pass counts the shingles of those buckets exactly, over all documents. The floor
-   rises above 1 % where documents are so long that more than FREQUENT shingles could pass
-   it, so the table that tasks get is bounded.
+1. Document frequencies. Only shingles above the floor need one. All shingles are counted
+   in 2 ** 18 hash buckets, of which few hold 1 % of all documents; a second pass counts
+   the shingles of those buckets exactly, over all documents. The floor rises above 1 %
+   where documents are so long that more than FREQUENT shingles could pass it, so the
+   table that tasks get is bounded.
 2. Sampling. BANDS x ROWS samples of each document, drawn by ICWS (the shingle, and the
    step of its weight, with the smallest a = c / (y e^r)). Draws of r, c and beta come from
    quantile tables of 65,536 points, indexed by the shingle's hash. The rows of a band make
    a bucket; a pair at 0.8 shares one of the 16 x 5 buckets with probability 0.998, at 0.9
    with 0.9999998. Equal texts are one node from here on.
 3. Verification. Buckets are not expanded into pairs. Each member is compared with one
-   leader; pairs that are already connected need no test. Buckets that hold more than one
-   component go on with 8, 64, 512, ... leaders, against members of other components only,
-   until every such pair has been tested, so no bucket size is cut off. Pairs whose total
-   weights differ by more than the similarity allows are not tested.
+   leader, which connects most copies. Buckets that still hold more than one component are
+   compared in full, but in tasks: their members are dealt into blocks of about BLOCK, each
+   pair of blocks is one small group, whose similarities come from one matrix product, and
+   what leaves the task is at most one link per member. So no bucket size is cut off, and
+   rows grow with members times blocks, not with pairs.
 
 Documents without words (null, empty, blank) link with nothing and stay. Repeated rows and
 ties: equal texts are one class; its id is the smallest doc_id (null ids last).
@@ -38,15 +38,16 @@ from pyspark.sql import functions as F
 
 from tillwise.llm.components import components
 from tillwise.llm.staging import Stages
-from tillwise.llm.text import Words, arrow, batch_of, chunks, mixed, powers, shingled
+from tillwise.llm.text import BASE, Words, arrow, batch_of, chunks, mixed, powers, shingled
 
 SHINGLE = 5
 BANDS, ROWS = 16, 5
-BUCKET_BITS = 20
+BUCKET_BITS = 18
 FLOOR, FREQUENT = 0.01, 1_000_000
 #: Bits of a shingle's hash; the others hold its document's place in the chunk.
 BITS = 54
 POINTS = 1 << 16
+BLOCK = 256
 
 
 def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,21 +75,17 @@ class Weights:
         return number * np.where(self.shingles[at] == shingles, self.values[at], self.rare)
 
 
-def frequencies(texts: DataFrame) -> Weights:
+def frequencies(texts: DataFrame, stages: Stages) -> Weights:
     """Weights from the document frequencies of all texts."""
     spark = texts.sparkSession
-    total = texts.mapInArrow(_heavy(arrow(HEAVY)), HEAVY).groupBy("bucket").agg(F.sum("docs").alias("docs"), F.sum("shingles").alias("shingles"))
-    buckets = np.zeros(1 << BUCKET_BITS, bool)
-    n, occurrences = 0, 0
-    for row in total.toLocalIterator():
-        if row.bucket < 0:
-            n, occurrences = row.docs, row.shingles
-        else:
-            buckets[row.bucket] = True
-    if not n:
+    sums = stages.write(texts.mapInArrow(_bucketed(arrow(SUMS)), SUMS).groupBy("bucket").agg(F.sum("n").alias("n")), "sums")
+    n, occurrences = texts.count(), sums.agg(F.sum("n")).first()[0]
+    if not occurrences:
         return Weights(np.zeros(0, np.uint64), np.zeros(0), float(np.log1p(1.0)))
     floor = max(FLOOR, occurrences / n / FREQUENT)
-    shared, out = spark.sparkContext.broadcast(np.packbits(buckets)), arrow("shingle long, df long")
+    heavy = np.zeros(1 << BUCKET_BITS, bool)
+    heavy[[r.bucket for r in sums.where(F.col("n") > floor * n).collect()]] = True
+    shared, out = spark.sparkContext.broadcast(np.packbits(heavy)), arrow(COUNTS)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(shared.value).astype(bool)
@@ -97,30 +94,27 @@ def frequencies(texts: DataFrame) -> Weights:
             found, df = np.unique(shingles[wanted[shingles >> np.uint64(BITS - BUCKET_BITS)]], return_counts=True)
             yield batch_of(out, shingle=found.view(np.int64), df=df)
 
-    frequent = texts.mapInArrow(count, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > floor * n).toArrow()
+    frequent = texts.mapInArrow(count, COUNTS).groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > floor * n).toArrow()
     shingles, df = frequent.column("shingle").to_numpy().view(np.uint64), frequent.column("df").to_numpy()
     order = np.argsort(shingles)
     return Weights(shingles[order], np.log1p(n / df[order]), float(np.log1p(1 / floor)))
 
 
-HEAVY = "bucket int, docs long, shingles long"
+SUMS, COUNTS = "bucket int, n long", "shingle long, df long"
 
 
-def _heavy(out: pa.Schema):
-    """The task's buckets with 1 % of its documents or more; under -1 the numbers of
-    documents and shingles."""
+def _bucketed(out: pa.Schema):
+    """How many shingles of the task's documents are in each bucket."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs = np.zeros(1 << BUCKET_BITS, np.int64), 0
+        counts = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in chunks(batches, "text"):
             words = Words.of(batch.column("text"))
             shingles, _ = shingled(words, words.hashes(), SHINGLE)
             at, n = np.unique((shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), return_counts=True)
             counts[at] += n
-            docs += batch.num_rows
-        heavy = np.flatnonzero(counts >= max(1, FLOOR * docs))
-        none = [None] * len(heavy)
-        yield batch_of(out, bucket=[-1, *heavy.tolist()], docs=[docs, *none], shingles=[int(counts.sum()), *none])
+        some = np.flatnonzero(counts)
+        yield batch_of(out, bucket=some, n=counts[some])
 
     return find
 
@@ -136,18 +130,20 @@ def quantiles() -> tuple[np.ndarray, np.ndarray]:
     return low.astype(np.float32), np.log(low).astype(np.float32)
 
 
-def sampled(owner: np.ndarray, shingles: np.ndarray, weight: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A row of BANDS bucket numbers for each owner that has shingles, in order."""
+def sampled(
+    owner: np.ndarray, shingles: np.ndarray, weight: np.ndarray, tables: tuple[np.ndarray, np.ndarray], bands: int = BANDS, rows: int = ROWS
+) -> np.ndarray:
+    """A row of `bands` bucket numbers for each owner that has shingles, in order."""
     if not len(owner):
-        return np.zeros((0, BANDS), np.uint64)
+        return np.zeros((0, bands), np.uint64)
     gamma, log_gamma = tables
     starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     log_w = np.log(weight).astype(np.float32)
     place, low = np.arange(len(owner)), np.uint64(POINTS - 1)
     spread = shingles * np.uint64(0xD6E8FEB86659FD93)
     spread ^= spread >> np.uint64(32)
-    out = np.zeros((len(starts), BANDS), np.uint64)
-    for k, salt in enumerate(mixed(np.arange(1, BANDS * ROWS + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))):
+    out = np.zeros((len(starts), bands), np.uint64)
+    for k, salt in enumerate(mixed(np.arange(1, bands * rows + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))):
         x = spread * (salt | np.uint64(1))
         x ^= x >> np.uint64(29)
         x *= np.uint64(0x94D049BB133111EB)
@@ -160,7 +156,7 @@ def sampled(owner: np.ndarray, shingles: np.ndarray, weight: np.ndarray, tables:
         a = log_c - r * (t - beta + 1) + np.float32(4096)
         best = np.minimum.reduceat((a.view(np.int32).astype(np.int64) << 32) | place, starts) & 0xFFFFFFFF
         picked = shingles[best] * np.uint64(0xFF51AFD7ED558CCD) + t[best].astype(np.int64).view(np.uint64)
-        band = k // ROWS
+        band = k // rows
         out[:, band] = mixed(out[:, band] * np.uint64(3) + picked + np.uint64(band))
     return out
 
@@ -168,7 +164,7 @@ def sampled(owner: np.ndarray, shingles: np.ndarray, weight: np.ndarray, tables:
 SIGNED = "key binary, doc_id {id}, row long, weight double, buckets array<long>"
 
 
-def signed(docs: DataFrame, weights: Weights) -> DataFrame:
+def signed(docs: DataFrame, weights: Weights, bands: int, rows: int) -> DataFrame:
     """key (of the text), doc_id, row, weight and buckets of the documents with words."""
     schema = SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString())
     out, shared = arrow(schema), docs.sparkSession.sparkContext.broadcast(weights)
@@ -178,10 +174,10 @@ def signed(docs: DataFrame, weights: Weights) -> DataFrame:
         for batch in chunks(batches, "text"):
             owner, shingles, number = bags(batch.column("text"))
             weight = shared.value.of(shingles, number)
-            buckets = sampled(owner, shingles, weight, tables)
+            buckets = sampled(owner, shingles, weight, tables, bands, rows)
             there, at = np.unique(owner, return_index=True)
             flat = pa.array(buckets.view(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1, dtype=np.int32) * BANDS), flat)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1, dtype=np.int32) * bands), flat)
             kept = batch.take(pa.array(there))
             total = np.add.reduceat(weight, at) if len(at) else np.zeros(0)
             yield batch_of(out, key=kept.column("key"), doc_id=kept.column("doc_id"), row=kept.column("row"), weight=total, buckets=lists)
@@ -194,17 +190,16 @@ def key_of(text: Column) -> Column:
 
 
 def similar(pairs: DataFrame, weights: Weights, similarity: float) -> DataFrame:
-    """The pairs (u, v, of, with) whose texts `of` and `with` are similar enough: u and v."""
-    schema = "u binary, v binary"
-    out, shared = arrow(schema), pairs.sparkSession.sparkContext.broadcast(weights)
+    """u and v of the pairs (u, v, of, with) whose texts `of` and `with` are similar."""
+    out, shared = arrow(LINK), pairs.sparkSession.sparkContext.broadcast(weights)
 
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "of"):
             close = weighted_jaccard(batch.column("of"), batch.column("with"), shared.value)
             linked = batch.filter(pa.array(close >= similarity))
             yield batch_of(out, u=linked.column("u"), v=linked.column("v"))
 
-    return pairs.select("u", "v", "of", "with").mapInArrow(check, schema)
+    return pairs.select("u", "v", "of", "with").mapInArrow(compare, LINK)
 
 
 def weighted_jaccard(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
@@ -222,22 +217,20 @@ def weighted_jaccard(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
     return shared / np.maximum(total - shared, 1e-300)
 
 
-def classes(docs: DataFrame, stages: Stages, similarity: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, stages: Stages, similarity: float, bands: int, rows: int) -> DataFrame:
     """row, doc_id, component and class_id of the documents (row, doc_id, text) that have
     words."""
     texts = docs.select("text")
-    weights = frequencies(texts)
-    marks = stages.write(signed(docs, weights), "signed")
+    weights = frequencies(texts, stages)
+    marks = stages.write(signed(docs, weights, bands, rows), "signed")
     nodes = marks.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("buckets").alias("buckets"))
     member = nodes.select("key", "weight", F.explode("buckets").alias("bucket"))
     leaders = member.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1")
     member = stages.write(member.join(leaders, "bucket").select("bucket", "leader", "n", "key", "weight"), "members")
     known = _Verifier(docs, member, weights, similarity, stages)
     # One leader per member first: most copies are connected by that.
-    known.test(member.where("key <> leader").groupBy(F.col("key").alias("u")).agg(F.min("leader").alias("v")))
-    leads = 8
-    while known.open(leads):
-        leads *= 8
+    known.lead(member.where("key <> leader").groupBy(F.col("key").alias("u")).agg(F.min("leader").alias("v")))
+    known.finish()
     ids = marks.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(known.found.withColumnRenamed("node", "key"), "key", "left")
     ids = ids.select("key", "doc_id", F.coalesce("component", "key").alias("component"))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("class_id"))
@@ -253,43 +246,93 @@ class _Verifier:
         wanted = member.select("key").distinct()
         keyed = docs.select(key_of(F.col("text")).alias("key"), "text")
         self.texts = stages.write(keyed.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-        self.weight = member.select("key", "weight").distinct()
 
-    def test(self, pairs: DataFrame) -> None:
-        """Verify pairs (u, v) and connect the links."""
+    def lead(self, pairs: DataFrame) -> None:
+        """Compare the pairs (u, v) and connect the links among them."""
         text = lambda name, as_: self.texts.select(F.col("key").alias(name), F.col("text").alias(as_))
-        links = similar(pairs.join(text("u", "of"), "u").join(text("v", "with"), "v"), self.weights, self.similarity)
+        both = pairs.join(text("u", "of"), "u").join(text("v", "with"), "v")
+        self.link(similar(both, self.weights, self.similarity))
+
+    def finish(self) -> None:
+        """Compare all members of the buckets that hold several components."""
+        now = self.member.join(self.found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        several = now.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
+        now = self.stages.write(now.join(several, "bucket", "left_semi").select("bucket", "n", "key", "component"), "open")
+        blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
+        now = now.withColumn("mine", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+        now = now.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        now = now.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "component")
+        grouped = now.join(self.texts, "key").groupBy("bucket", "i", "j")
+        links = grouped.applyInArrow(_linker(self.weights, self.similarity, self.stages.spark), LINK)
+        self.link(self.stages.write(links.distinct(), "links"))
+
+    def link(self, links: DataFrame) -> None:
+        """Connect more links."""
         if self.rounds:
             links = links.unionAll(self.found.select(F.col("node").alias("u"), F.col("component").alias("v")))
         self.found = components(links, self.stages, f"round-{self.rounds}")
         self.rounds += 1
 
-    def open(self, leads: int) -> bool:
-        """Test more leaders of the buckets with several components; whether some bucket
-        still has members that have not led."""
-        of = self.found.withColumnRenamed("node", "key")
-        now = self.member.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        mixed_up = now.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-        name = f"open-{self.rounds}"
-        now = self.stages.write(now.join(mixed_up, "bucket", "left_semi"), name)
-        draw = F.pmod(F.xxhash64("key", "bucket"), F.lit(1 << 30)) / float(1 << 30)
-        led = (F.col("key") == F.col("leader")) | (draw < F.lit(float(leads)) / F.col("n"))
-        lead = now.where(led).select("bucket", F.col("key").alias("v"), F.col("component").alias("c"), F.col("weight").alias("w"))
-        close = F.least("weight", "w") >= F.greatest("weight", "w") * F.lit(self.similarity * (1 - 1e-9))
-        pairs = now.join(lead, "bucket").where((F.col("component") != F.col("c")) & close)
-        pairs = pairs.select(F.greatest("key", "v").alias("u"), F.least("key", "v").alias("v")).distinct()
-        if not now.isEmpty():
-            self.test(pairs)
-        return not now.where(F.col("n") > leads).isEmpty()
-
-
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+LINK = "u binary, v binary"
+
+
+def _linker(weights: Weights, similarity: float, spark):
+    shared = spark.sparkContext.broadcast(weights)
+
+    def link(table: pa.Table) -> pa.Table:
+        """Of the group's links between components, enough to connect what they connect."""
+        table = table.combine_chunks()
+        names, part = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)
+        u, v = [], []
+        if len(names) > 1:
+            close = all_jaccard(table.column("text"), shared.value)
+            root = np.arange(len(names))
+            key = table.column("key")
+            for a, b in np.argwhere(np.triu(close >= similarity, 1)).tolist():
+                x, y = root[part[a]], root[part[b]]
+                if x != y:
+                    root[root == max(x, y)] = min(x, y)
+                    u.append(key[a])
+                    v.append(key[b])
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    return link
+
+
+def all_jaccard(texts: pa.ChunkedArray, weights: Weights, columns: int = 4096) -> np.ndarray:
+    """The similarity of each two of some texts. A shingle that stands n times counts as n
+    different ones, so the shared weight is a product of 0/1 matrices."""
+    batches = chunks(pa.table({"text": texts}).to_batches(), "text")
+    parts, n = [], 0
+    for batch in batches:
+        owner, shingles, number = bags(batch.column("text"))
+        parts.append((owner + n, shingles, number))
+        n += batch.num_rows
+    owner, shingles, number = (np.concatenate(x) for x in zip(*parts))
+    total = np.bincount(owner, weights.of(shingles, number), n)
+    copy = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    owner, value = np.repeat(owner, number), np.repeat(weights.of(shingles, np.ones(len(number))), number)
+    _, place, seen = np.unique(mixed(np.repeat(shingles, number) + copy.astype(np.uint64) * BASE), return_inverse=True, return_counts=True)
+    both = np.flatnonzero(seen[place] > 1)
+    order = both[np.argsort(place[both], kind="stable")]
+    _, column = np.unique(place[order], return_inverse=True)
+    shared = np.zeros((n, n))
+    for first in range(0, int(column.max(initial=-1)) + 1, columns):
+        a, b = np.searchsorted(column, [first, first + columns])
+        there = np.zeros((n, columns))
+        there[owner[order[a:b]], column[a:b] - first] = np.sqrt(value[order[a:b]])
+        shared += there @ there.T
+    return shared / np.maximum(total[:, None] + total[None, :] - shared, 1e-300)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class) and kept (doc_id = class_id) of
     every row."""
     stages = Stages(docs.sparkSession, "near-duplicates")
-    rows = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    found = classes(rows, stages, similarity).select("row", "class_id")
-    out = rows.select("row", "doc_id").join(found, "row", "left")
+    texts = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    found = classes(texts, stages, similarity, bands, rows).select("row", "class_id")
+    out = texts.select("row", "doc_id").join(found, "row", "left")
     out = out.withColumn("class_id", F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
@@ -299,12 +342,11 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.monotonically_increasing_id().alias("row"))
 
 
-def deduplicated(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+def deduplicated(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row of each class, with the smallest doc_id and of these the first, and all rows
     without words; all columns unchanged. `docs` is read from files."""
     stages = Stages(docs.sparkSession, "near-duplicates")
-    rows = numbered(docs.select("doc_id", "text"))
-    found = classes(rows, stages, similarity)
+    found = classes(numbered(docs.select("doc_id", "text")), stages, similarity, bands, rows)
     order = F.struct(F.isnull("doc_id"), "doc_id", "row")
     first = found.groupBy("component").agg(F.min(order)["row"].alias("row"))
     gone = stages.write(found.select("row").join(first, "row", "left_anti"), "gone")
