@@ -4,31 +4,28 @@ Each ``<query>.sql`` is written from the query's meaning over the ``ops_*`` tabl
 that ``_tables.sql`` derives from the test data.
 """
 
+import re
 from pathlib import Path
 
 HERE = Path(__file__).resolve().parent
-COHORT_PERIODS = range(-71, 12)
 
 
-def _cohort_columns() -> str:
-    # Half-even rounding to one decimal, spelled out from the scaled value y.
-    cell = (
-        'coalesce(max(CASE WHEN period = {k} THEN '
-        'CASE WHEN y - floor(y) > 0.5 THEN floor(y) + 1 '
-        'WHEN y - floor(y) < 0.5 THEN floor(y) '
-        'WHEN CAST(floor(y) AS BIGINT) % 2 = 0 THEN floor(y) ELSE floor(y) + 1 END '
-        '/ CAST(10 AS DOUBLE) END), 0) AS "M+{k}"'
-    )
-    return ",\n".join(cell.format(k=k) for k in COHORT_PERIODS)
+def _uncommented(text: str) -> str:
+    """Without the comment lines at its head."""
+    return re.sub(r"\A(\s*--.*\n)+", "", text).lstrip()
 
 
 def load_oracles() -> dict[str, str]:
     tables = (HERE / "_tables.sql").read_text()
+    shared = {f"{{{name}}}": _uncommented((HERE / f"_{name}.sql").read_text()).strip() for name in ("alerts", "texts")}
     oracles = {}
     for path in sorted(HERE.glob("[!_]*.sql")):
-        body = path.read_text().replace("{cohort_columns}", _cohort_columns())
+        body = path.read_text()
+        for name, text in shared.items():
+            body = body.replace(name, text)
         # A query with its own WITH list continues the list of tables.
-        if body.lstrip().upper().startswith("WITH "):
-            body = "," + body.lstrip()[len("WITH") :]
+        body = _uncommented(body)
+        if body.upper().startswith("WITH "):
+            body = "," + body[len("WITH") :]
         oracles[path.stem] = f"WITH {tables}{body}"
     return oracles

@@ -1,16 +1,8 @@
-WITH tiers AS (
-  SELECT c.tier, c.segment, c.zone, c.age_group, c.status,
-         count(DISTINCT c.customer_id) AS customers, coalesce(sum(o.final_amount), 0) AS revenue,
-         coalesce(CAST(sum(o.final_amount) AS DOUBLE) / nullif(count(o.final_amount), 0), 0) AS aov,
-         count(o.order_id) AS orders
-  FROM ops_customers c
-  LEFT JOIN ops_orders o ON c.customer_id = o.customer_id AND o.order_date BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' AND o.order_status NOT IN ('Cancelled','Processing')
-  GROUP BY c.tier, c.segment, c.zone, c.age_group, c.status
+WITH cells AS (
+  SELECT a.age_group, s.segment, count(c.customer_id) AS customers
+  FROM (SELECT DISTINCT age_group FROM ops_customers) a
+  CROSS JOIN (SELECT DISTINCT segment FROM ops_customers) s
+  LEFT JOIN ops_customers c ON c.age_group = a.age_group AND c.segment = s.segment
+  GROUP BY ALL
 )
-SELECT age_group,
-       CAST(coalesce(sum(customers) FILTER (WHERE segment = 'AUTOMOBILE'), 0) AS BIGINT) AS "AUTOMOBILE",
-       CAST(coalesce(sum(customers) FILTER (WHERE segment = 'BUILDING'), 0) AS BIGINT) AS "BUILDING",
-       CAST(coalesce(sum(customers) FILTER (WHERE segment = 'FURNITURE'), 0) AS BIGINT) AS "FURNITURE",
-       CAST(coalesce(sum(customers) FILTER (WHERE segment = 'HOUSEHOLD'), 0) AS BIGINT) AS "HOUSEHOLD",
-       CAST(coalesce(sum(customers) FILTER (WHERE segment = 'MACHINERY'), 0) AS BIGINT) AS "MACHINERY"
-FROM tiers GROUP BY age_group
+SELECT * FROM (PIVOT cells ON segment USING max(customers) GROUP BY age_group)

@@ -17,6 +17,5 @@ cohorts AS (
   SELECT CAST(r.cohort_month AS DATE) AS cohort_month, r.period, r.customers, s.cohort_size,
          CAST(r.customers AS DOUBLE) / s.cohort_size * 100 AS retention
   FROM retained r JOIN sizes s ON s.cohort_month = r.cohort_month
-  WHERE r.period <= 11
 )
 SELECT * FROM cohorts

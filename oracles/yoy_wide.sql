@@ -1,17 +1,15 @@
-WITH yoy AS (
-SELECT CAST(year(o.order_date) AS INTEGER) AS year, CAST(month(o.order_date) AS INTEGER) AS month_num,
-       strftime(min(o.order_date), '%b') AS month, CAST(sum(o.final_amount) AS DOUBLE) AS revenue,
-       count(*) AS orders, CAST(sum(o.final_amount) AS DOUBLE) / count(o.final_amount) AS aov
-FROM ops_orders o
-WHERE o.order_status NOT IN ('Cancelled','Processing')
-GROUP BY 1, 2
+WITH monthly AS (
+  SELECT year(order_date) AS y, month(order_date) AS month_num, CAST(sum(final_amount) AS DOUBLE) AS revenue
+  FROM ops_orders WHERE order_status NOT IN ('Cancelled','Processing') GROUP BY ALL
+),
+years AS (
+  SELECT CAST(unnest(generate_series(min(year(order_date)), max(year(order_date)))) AS VARCHAR) AS label FROM ops_orders
+),
+cells AS (
+  SELECT CAST(m.month_num AS INTEGER) AS month_num, strftime(make_date(2000, m.month_num, 1), '%b') AS month,
+         years.label, max(monthly.revenue) AS revenue
+  FROM (SELECT DISTINCT month_num FROM monthly) m CROSS JOIN years
+  LEFT JOIN monthly ON monthly.month_num = m.month_num AND CAST(monthly.y AS VARCHAR) = years.label
+  GROUP BY ALL
 )
-SELECT month_num, month,
-       max(revenue) FILTER (WHERE year = 1995) AS "1995",
-       max(revenue) FILTER (WHERE year = 1996) AS "1996",
-       max(revenue) FILTER (WHERE year = 1997) AS "1997",
-       max(revenue) FILTER (WHERE year = 1998) AS "1998",
-       max(revenue) FILTER (WHERE year = 1999) AS "1999",
-       max(revenue) FILTER (WHERE year = 2000) AS "2000",
-       max(revenue) FILTER (WHERE year = 2001) AS "2001"
-FROM yoy GROUP BY month_num, month
+SELECT * FROM (PIVOT cells ON label USING max(revenue) GROUP BY month_num, month)

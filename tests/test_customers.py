@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import dicts, rows
 from tillwise import Filters, Period
+from tillwise.operators.shaping import values_of
 from tillwise.plans import customers, enrichment
 
 YEAR = Period.of("2024-01-01", "2024-12-31")
@@ -57,6 +58,17 @@ def test_age_segment_matrix_fills_holes(store):
     )
     got = rows(customers.age_segment_matrix(s, YEAR, ["Retail", "SME"]))
     assert got == [("18-25", 0, 1), ("60+", 1, 0)]
+    assert dicts(customers.age_segment_matrix(s, YEAR)) == [
+        {"age_group": "18-25", "Retail": 0, "SME": 1},
+        {"age_group": "60+", "Retail": 1, "SME": 0},
+    ]
+
+
+def test_a_segment_of_its_own_has_a_column(store):
+    s = store(customers=[customer(1, segment="Nobody else's"), customer(2, segment=None)])
+    assert customers.age_segment_matrix(s, YEAR).columns == ["age_group", "Nobody else's"]
+    with pytest.raises(ValueError, match="more than 1 values"):
+        values_of(store(agents=[{"team": "a"}, {"team": "b"}]).agents("team"), "team", most=1)
 
 
 @pytest.fixture(scope="module")
@@ -134,16 +146,42 @@ def test_cohorts(cohort_store):
         (january, -1, 1, 2, 50.0),
         (january, 0, 1, 2, 50.0),
         (january, 1, 1, 2, 50.0),
+        (january, 14, 1, 2, 50.0),
         (march, 0, 1, 1, 100.0),
     ]
+    assert rows(customers.cohort_retention_long(cohort_store, max_period=11)) == got[:3] + got[4:]
 
 
 def test_cohort_matrix(cohort_store):
-    got = dicts(customers.cohort_retention_matrix(cohort_store, min_period=-1))
+    got = dicts(customers.cohort_retention_matrix(cohort_store, periods=range(-1, 12)))
     assert [r["cohort"] for r in got] == ["Jan 2024", "Mar 2024"]
     assert list(got[0]) == ["cohort", "M+-1", "M+0"] + [f"M+{k}" for k in range(1, 12)]
     assert [got[0][f"M+{k}"] for k in (-1, 0, 1, 2, 11)] == [50.0, 50.0, 50.0, 0.0, 0.0]
     assert rows(customers.cohort_retention_matrix(cohort_store, Filters(segment="Nobody"))) == []
+    every = dicts(customers.cohort_retention_matrix(cohort_store))
+    assert list(every[0]) == ["cohort"] + [f"M+{k}" for k in range(-3, 15)]
+    assert [every[0][f"M+{k}"] for k in (-3, -1, 11, 14)] == [0.0, 50.0, 0.0, 50.0]
+
+
+def test_every_buying_cohort_has_a_row(store):
+    """Also if it only bought long after, or only before, its members joined."""
+    s = store(
+        customers=[
+            customer(1, join_date="2023-01-10"),
+            customer(2, join_date="2024-06-10"),
+            customer(3, join_date="2024-03-10"),
+        ],
+        orders=[
+            order(1, "2024-06-20", 1),
+            order(2, "2024-05-20", 1),
+            order(3, "2024-03-20", 1, status="Cancelled"),
+        ],
+    )
+    got = {r["cohort"]: r for r in dicts(customers.cohort_retention_matrix(s))}
+    assert set(got) == {"Jan 2023", "Jun 2024"}
+    assert got["Jan 2023"]["M+17"] == 100.0 and got["Jun 2024"]["M+-1"] == 100.0
+    short = dicts(customers.cohort_retention_matrix(s, periods=range(12)))
+    assert [r["cohort"] for r in short] == ["Jan 2023", "Jun 2024"]
 
 
 def test_top_customers_with_and_without_fanout(store):

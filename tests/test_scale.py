@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import rows
-from tillwise import Period
+from tillwise import Period, registry
 from tillwise.functions.measures import as_output
 from tillwise.plans import catalog, customers, kpis, sales
 from tillwise.sources.schemas import TABLES
@@ -32,7 +32,7 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", registry.PLANS)
 def test_plan_is_built_in_and_scales(spark, no_broadcast, name):
     """No Python, no pairing of all rows, and with broadcasts off none is forced."""
     plan = physical(entry.queries()[name](spark, SMALL))

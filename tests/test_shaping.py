@@ -118,3 +118,5 @@ def test_yoy_wide(store):
     assert [(r["month"], r["2022"], int(r["2023"]), int(r["2024"])) for r in got] == [
         ("Mar", None, 5, 7)
     ]
+    assert sales.yoy_wide(s).columns == ["month_num", "month", "2023", "2024"]
+    assert sales.yoy_wide(store()).columns == ["month_num", "month"]

@@ -49,6 +49,17 @@ def test_agents(desk):
     assert (card["avg_res"], card["csat"], card["res_rate"]) == ("4.7h", "3.00", "66.7%")
 
 
+def test_two_agents_of_one_name(store):
+    s = store(
+        agents=[{"agent_id": k, "agent_name": "A", "team": f"T{k}", "shift": "S"} for k in (1, 2)],
+        tickets=[ticket(1, "Late", "Low"), ticket(1, "Late", "Low", "Escalated"), ticket(2, "Late", "Low")],
+    )
+    card = report.agent_scorecard(s, YEAR)
+    assert [(r["team"], r["res_rate"]) for r in dicts(card)] == [("T1", "50.0%"), ("T2", "50.0%")]
+    plan = card._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ticket_id") == plan.count("ticket_category") <= 1  # one scan, pruned
+
+
 def test_ticket_rollups(desk):
     got = rows(support.ticket_analytics(desk, YEAR).select("ticket_category", "priority", "total"))
     assert got == [("Late", "Low", 2), ("Late", "High", 1), ("Wrong", "Critical", 1)]

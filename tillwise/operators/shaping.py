@@ -43,6 +43,18 @@ def in_domain_order(df: DataFrame, key: str, domain: Sequence[str], *then: str)
     return df.orderBy(rank_in(F.col(key), domain), *then)
 
 
+MOST_COLUMNS = 10_000
+
+
+def values_of(df: DataFrame, column: str, most: int = MOST_COLUMNS) -> list:
+    """The different values of a column that become columns of a result, in order. More
+    than ``most`` are an error: none is left out."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values: too many for columns")
+    return [row[0] for row in found]
+
+
 def share_of_total(value: str) -> Column:
     total = F.sum(value).over(whole())
     return F.try_divide(F.col(value).cast("double") * F.lit(100.0), total.cast("double"))

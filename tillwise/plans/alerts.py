@@ -82,6 +82,9 @@ def trend_alerts(weekly_ops: DataFrame, weekly_csat: DataFrame) -> DataFrame:
             severity(F.col("pct_change"), F.col("higher_better"), F.col("threshold")).alias(
                 "severity"
             ),
+            F.upper(severity(F.col("pct_change"), F.col("higher_better"), F.col("threshold"))).alias(
+                "severity_label"
+            ),
             "unit",
             _message().alias("message"),
             "position",

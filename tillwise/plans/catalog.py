@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,10 +10,12 @@ from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.operators.selection import Period
 from tillwise.sources.schemas import TABLES
 from tillwise.sources.store import OpsStore
 
-EXPLORE_LIMITS = (50, 2000)
+#: Functions that run JVM code.
+RUNS_CODE = re.compile(r"\b(reflect|try_reflect|java_method)\b\s*`?\s*\(", re.IGNORECASE)
 
 
 class ExplorerError(ValueError):
@@ -33,9 +36,10 @@ def explore(
     """
     if table not in TABLES:
         raise ExplorerError(f"unknown table {table!r}; known: {', '.join(TABLES)}")
-    low, high = EXPLORE_LIMITS
-    if not low <= limit <= high:
-        raise ExplorerError(f"limit {limit} is not between {low} and {high}")
+    if limit < 1:
+        raise ExplorerError(f"limit {limit} is not positive")
+    if found := RUNS_CODE.search(condition):
+        raise ExplorerError(f"{found[1]} is not allowed in a condition")
     try:
         found = store.read(table)
         if condition.strip():
@@ -73,6 +77,14 @@ def period_bounds(store: OpsStore) -> DataFrame:
     )
 
 
+def valid_period(store: OpsStore, period: Period) -> Period:
+    """The period, or an error if the store's orders don't cover it. One one-row job."""
+    first, last = period_bounds(store).first()
+    if first is None:
+        raise ValueError("there are no orders")
+    return period.within(first, last)
+
+
 def key_quality(store: OpsStore) -> DataFrame:
     """Violations of each table's key rules: duplicated primary keys (count of key
     values), references to absent rows (count of rows), nulls where none may be."""

@@ -22,7 +22,7 @@ from tillwise.functions.measures import (
 )
 from tillwise.functions.rules import TIERS
 from tillwise.operators.selection import NO_FILTERS, Filters, Period, settled
-from tillwise.operators.shaping import in_domain_order, top
+from tillwise.operators.shaping import in_domain_order, top, values_of
 from tillwise.sources.store import OpsStore
 
 WHO = ("state", "segment")
@@ -88,10 +88,13 @@ def tier_summary(
 def age_segment_matrix(
     store: OpsStore,
     period: Period,
-    segments: Sequence[str],
+    segments: Sequence[str] | None = None,
     filters: Filters = NO_FILTERS,
 ) -> DataFrame:
-    """Customers by age group, one column per segment, 0 where there are none."""
+    """Customers by age group, one column per segment, 0 where there are none. Without
+    ``segments`` there is a column for each segment that the chosen customers have."""
+    if segments is None:
+        segments = values_of(_customers(store, filters, "segment"), "segment")
     return (
         customer_tiers(store, period, filters)
         .groupBy("age_group")
@@ -245,14 +248,14 @@ def churn_bands(
 
 # Cohorts.
 
-LAST_COHORT_PERIOD = 11
-
-
-def cohort_retention_long(store: OpsStore, filters: Filters = NO_FILTERS) -> DataFrame:
+def cohort_retention_long(
+    store: OpsStore, filters: Filters = NO_FILTERS, max_period: int | None = None
+) -> DataFrame:
     """Buyers of each joining cohort, by months since joining, against all its buyers.
 
-    Orders placed before joining give negative periods, and are kept; later periods
-    than 11 are not. Cohort size counts customers with any settled order.
+    Orders placed before joining give negative periods. Rows of later periods than
+    ``max_period`` are left out; cohort size counts customers with any settled order,
+    whatever its period.
     """
     # One row per customer and month before the join; a customer's earliest month
     # then stands for the customer in the cohort size.
@@ -273,10 +276,11 @@ def cohort_retention_long(store: OpsStore, filters: Filters = NO_FILTERS) -> Dat
         .agg(rows().alias("customers"), F.sum("is_first").alias("firsts"))
     )
     size = F.sum("firsts").over(Window.partitionBy("cohort_month"))
+    sized = activity.withColumn("cohort_size", size)
+    if max_period is not None:
+        sized = sized.where(F.col("period") <= max_period)
     return (
-        activity.withColumn("cohort_size", size)
-        .where(F.col("period") <= LAST_COHORT_PERIOD)
-        .select(
+        sized.select(
             "cohort_month",
             "period",
             "customers",
@@ -294,15 +298,21 @@ def percent_of(part: Column, whole: Column) -> Column:
 def cohort_retention_matrix(
     store: OpsStore,
     filters: Filters = NO_FILTERS,
-    min_period: int = 0,
+    periods: Sequence[int] | None = None,
     digits: int = 1,
 ) -> DataFrame:
-    """Retention with one row per cohort and one column per period, holes as 0."""
-    periods = list(range(min_period, LAST_COHORT_PERIOD + 1))
+    """Retention with one row per buying cohort and one column per period, holes as 0.
+
+    Without ``periods`` there is a column for each period from the first to the last
+    that any join month and order month can give. Periods outside the ones asked for
+    have no column, but their cohorts keep their row.
+    """
+    if periods is None:
+        periods = possible_periods(store, filters)
     long = cohort_retention_long(store, filters)
     wide = (
         long.groupBy("cohort_month")
-        .pivot("period", periods)
+        .pivot("period", list(periods))
         .agg(F.max(round_half_even(F.col("retention"), digits)))
         .na.fill(0.0)
         .orderBy("cohort_month")
@@ -312,6 +322,17 @@ def cohort_retention_matrix(
     )
 
 
+def possible_periods(store: OpsStore, filters: Filters = NO_FILTERS) -> range:
+    """From the first order month and the last join month to the reverse. Two one-row
+    jobs over a date column each."""
+    ordered = _settled(store, "order_date").agg(F.min("order_date"), F.max("order_date")).first()
+    joined = _customers(store, filters, "join_date").agg(F.min("join_date"), F.max("join_date")).first()
+    if None in (*ordered, *joined):
+        return range(0)
+    month = lambda day: 12 * day.year + day.month
+    return range(month(ordered[0]) - month(joined[1]), month(ordered[1]) - month(joined[0]) + 1)
+
+
 # Top customers.
 
 PROFILE = ("full_name", "city", "state", "tier", "segment", "age_group")

@@ -100,9 +100,11 @@ def festival_normalised(store: OpsStore, period: Period) -> DataFrame:
 
 
 def tier_assignment(
-    store: OpsStore, thresholds: Mapping[str, float] = rules.TIER_THRESHOLDS
+    store: OpsStore, thresholds: Mapping[str, float] | None = None
 ) -> DataFrame:
-    """Each customer's delivered spend, 0 for none, and the tier it earns."""
+    """Each customer's delivered spend, 0 for none, and the tier it earns, by the store's
+    thresholds if none are given."""
+    thresholds = store.tier_thresholds if thresholds is None else thresholds
     return (
         store.customers("customer_id")
         .join(delivered_spend(store), "customer_id", "left")

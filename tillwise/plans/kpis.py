@@ -62,6 +62,21 @@ def kpi_by_period_pair(
     return both.select(F.inline(F.array(*pair)))
 
 
+def return_rate(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
+    """The summary's return rate alone: one pass over the period's orders."""
+    chosen = ("state", "zone", "category")
+    orders = store.orders(
+        "customer_id", "order_status", *filters.active(*chosen), period=period
+    ).where(placed() & filters.on(*chosen))
+    by_customer = orders.groupBy("customer_id").agg(
+        F.expr("count(1) AS orders"), F.expr("count_if(order_status = 'Returned') AS returned")
+    )
+    known = store.customers("customer_id", *filters.active("segment")).where(filters.on("segment"))
+    return by_customer.join(known.select("customer_id"), "customer_id").agg(
+        F.expr("coalesce(try_divide(sum(returned) * 100D, sum(orders)), 0D)").alias("return_rate")
+    )
+
+
 def _both_windows(store: OpsStore, period: Period, filters: Filters) -> DataFrame:
     """Sums and counts of both windows in one row.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions import text
@@ -10,8 +10,8 @@ from tillwise.functions.rules import RETURN_BENCHMARK_PERCENT
 from tillwise.operators.selection import NO_FILTERS, Filters, Period
 from tillwise.operators.shaping import last_of, share_of_max, top, whole
 from tillwise.plans import alerts, customers, kpis, returns, sales, support
-from tillwise.session import stage
-from tillwise.sources.store import FrameStore, OpsStore
+from tillwise.sources.store import OpsStore
+from tillwise.sources.warehouse import Warehouse, WindowStore
 
 # --- Fixed values: the executive figures ------------------------------------------
 # label, figure, its change, prefix, decimals, thousands separators, suffix
@@ -33,27 +33,35 @@ SHEET = [
 # --- Datasets ---------------------------------------------------------------------
 
 
-def top_states(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
-    ranked = top(sales.state_performance(store, period, filters), 5, "revenue", "state")
+def top_states(
+    store: OpsStore, period: Period, filters: Filters = NO_FILTERS, limit: int = 5
+) -> DataFrame:
+    ranked = top(sales.state_performance(store, period, filters), limit, "revenue", "state")
     return ranked.select("state", "revenue", "orders")
 
 
-def top_categories(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
-    ranked = top(sales.category_mix(store, period, filters), 5, "revenue", "category")
+def top_categories(
+    store: OpsStore, period: Period, filters: Filters = NO_FILTERS, limit: int = 5
+) -> DataFrame:
+    ranked = top(sales.category_mix(store, period, filters), limit, "revenue", "category")
     return ranked.select("category", "revenue", "orders", "aov")
 
 
-def top_payments(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
-    ranked = top(sales.payment_analysis(store, period, filters), 5, "revenue", "payment_method")
+def top_payments(
+    store: OpsStore, period: Period, filters: Filters = NO_FILTERS, limit: int = 5
+) -> DataFrame:
+    ranked = top(sales.payment_analysis(store, period, filters), limit, "revenue", "payment_method")
     return ranked.select("payment_method", "orders", "revenue")
 
 
-def state_share(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
-    """Bar lengths of the first eight states, relative to the largest."""
+def state_share(
+    store: OpsStore, period: Period, filters: Filters = NO_FILTERS, limit: int = 8
+) -> DataFrame:
+    """Bar lengths of the first states, relative to the largest."""
     states = sales.state_performance(store, period, filters).select(
         "state", "revenue", share_of_max("revenue").alias("bar_share")
     )
-    return top(states, 8, "revenue", "state")
+    return top(states, limit, "revenue", "state")
 
 
 def category_share(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
@@ -95,7 +103,7 @@ def return_benchmark(
     store: OpsStore, period: Period, filters: Filters = NO_FILTERS
 ) -> DataFrame:
     rate = F.col("return_rate")
-    return kpis.kpi_summary(store, period, filters).select(
+    return kpis.return_rate(store, period, filters).select(
         "return_rate",
         F.when(rate > RETURN_BENCHMARK_PERCENT, "above").otherwise("within").alias("benchmark"),
     )
@@ -183,11 +191,9 @@ def agent_scorecard(
     store: OpsStore, period: Period, filters: Filters = NO_FILTERS
 ) -> DataFrame:
     """The agent table as display text, with the resolution rate."""
-    rates = support.agent_resolution_rate(store, period, filters).select("agent_name", "res_rate")
     return (
-        support.agent_performance(store, period, filters)
-        .join(rates, "agent_name")
-        .orderBy(F.desc("resolved"), "agent_name")
+        support.by_agent(store, period, filters)
+        .withColumn("res_rate", support.resolution_rate())
         .select(
             F.col("agent_name").alias("agent"),
             "team",
@@ -204,24 +210,25 @@ def agent_scorecard(
     )
 
 
-def staged(store: OpsStore, period: Period) -> FrameStore:
-    """A store whose facts, for the period and its prior window, are checkpointed:
-    the datasets of a report then share one pass over the sources."""
+STAGED = ("orders", "tickets")
+
+
+def staged(spark: SparkSession, store: OpsStore, period: Period, folder: str) -> WindowStore:
+    """A store whose facts, for the period and its prior window, are written to ``folder``
+    as Parquet: the datasets of a report then share one pass over the sources, and each
+    reads only its columns."""
     window = period.with_prior()
-    return FrameStore(
-        {
-            "orders": stage(store.orders(period=window)),
-            "tickets": stage(store.tickets(period=window)),
-        },
-        fallback=store,
-        window=window,
-    )
+    house = Warehouse(spark, folder)
+    for name in STAGED:
+        if not house.exists(name):
+            house.append(name, store.read(name, period=window))
+    return WindowStore(house, STAGED, window, store)
 
 
 def report_bundle(
     store: OpsStore, period: Period, filters: Filters = NO_FILTERS
 ) -> dict[str, DataFrame]:
-    """All datasets of one report; pass ``staged(store, period)`` to share the reads."""
+    """All datasets of one report; pass ``staged(...)`` as the store to share the reads."""
     weekly = sales.weekly_ops(store)
     found = alerts.trend_alerts(weekly, support.weekly_csat(store))
     return {

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions import calendar, rules
-from tillwise.functions.measures import exact_mean, rows, share_of_rows
+from tillwise.functions.measures import exact_mean, percent, ratio, rows, share_of_rows
 from tillwise.operators.selection import (
     NO_FILTERS,
     Filters,
@@ -195,9 +195,15 @@ def yoy_monthly(store: OpsStore, filters: Filters = NO_FILTERS) -> DataFrame:
 
 
 def yoy_wide(
-    store: OpsStore, years: Sequence[int], filters: Filters = NO_FILTERS
+    store: OpsStore, years: Sequence[int] | None = None, filters: Filters = NO_FILTERS
 ) -> DataFrame:
-    """Monthly revenue with one column per year."""
+    """Monthly revenue with one column per year; without ``years``, per year from the
+    first order to the last."""
+    if years is None:
+        ends = store.orders("order_date").agg(
+            F.year(F.min("order_date")), F.year(F.max("order_date"))
+        ).first()
+        years = range(ends[0], ends[1] + 1) if ends[0] is not None else ()
     return (
         yoy_monthly(store, filters)
         .groupBy("month_num", "month")
@@ -274,20 +280,29 @@ def zone_comparison(
 
 
 def _by_place(store, place, period, filters):
+    """Orders are summed by customer first. Where a customer has one place, only those
+    sums meet the places; and distinct customers are rows by then."""
+    of_customer = store.placed_by_customer
+    keys = ["customer_id"] if of_customer else [place, "customer_id"]
     orders = _orders(
-        store,
-        [place, "customer_id", "final_amount", "delivery_days"],
-        period,
-        filters,
-        ("category",),
-        placed(),
+        store, [*keys, "final_amount", "delivery_days"], period, filters, ("category",), placed()
     )
-    return orders.groupBy(place).agg(
+    sums = orders.groupBy(*keys).agg(
         _revenue(),
         _count(),
-        _avg_delivery(),
-        F.countDistinct("customer_id").alias("customers"),
-        _return_rate(),
+        F.sum("delivery_days").alias("days"),
+        F.count("delivery_days").alias("deliveries"),
+        F.count_if(is_status("Returned")).alias("returned"),
+    )
+    if of_customer:
+        sums = of_customer(sums, place)
+    total = F.sum("orders")
+    return sums.groupBy(place).agg(
+        _sum("revenue"),
+        total.alias("orders"),
+        ratio(F.sum("days"), F.sum("deliveries")).alias("avg_delivery"),
+        F.count("customer_id").alias("customers"),
+        percent(F.sum("returned"), total).alias("return_rate"),
     )
 
 

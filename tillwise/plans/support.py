@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions import calendar
@@ -36,7 +36,12 @@ def agent_performance(
 ) -> DataFrame:
     """Ticket figures by agent, most resolved first. Agents without tickets are left
     out. Tickets are aggregated before they meet the agents."""
-    by_agent = (
+    return by_agent(store, period, filters).drop("agent_id")
+
+
+def by_agent(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
+    """Agent performance with the agents' keys: two agents may have one name."""
+    figures = (
         _tickets(store, period, filters, "agent_id", *MEASURES)
         .groupBy("agent_id")
         .agg(
@@ -50,26 +55,22 @@ def agent_performance(
         )
     )
     agents = store.agents("agent_id", "agent_name", "team", "shift")
-    return (
-        agents.join(by_agent, "agent_id")
-        .orderBy(F.desc("resolved"), "agent_name")
-        .drop("agent_id")
-    )
+    return agents.join(figures, "agent_id").orderBy(F.desc("resolved"), "agent_name", "agent_id")
 
 
-def agent_resolution_rate(
-    store: OpsStore, period: Period, filters: Filters = NO_FILTERS
-) -> DataFrame:
+def resolution_rate() -> Column:
     """Resolved against resolved plus escalated, with at least one escalation assumed."""
     escalated = F.when(F.col("escalated") == 0, F.lit(1)).otherwise(F.col("escalated"))
     rate = F.try_divide(F.col("resolved").cast("double"), F.col("resolved") + escalated)
+    return round_half_even(rate * F.lit(100.0), 1).alias("res_rate")
+
+
+def agent_resolution_rate(
+    store: OpsStore, period: Period, filters: Filters = NO_FILTERS
+) -> DataFrame:
+    """Each agent's resolution rate."""
     return agent_performance(store, period, filters).select(
-        "agent_name",
-        "team",
-        "shift",
-        "resolved",
-        "escalated",
-        round_half_even(rate * F.lit(100.0), 1).alias("res_rate"),
+        "agent_name", "team", "shift", "resolved", "escalated", resolution_rate()
     )
 
 
@@ -139,7 +140,7 @@ def tickets_by_category(
 def top_agents(
     store: OpsStore, period: Period, filters: Filters = NO_FILTERS, limit: int = 5
 ) -> DataFrame:
-    best = top(agent_performance(store, period, filters), limit, "resolved", "agent_name")
+    best = top(by_agent(store, period, filters), limit, "resolved", "agent_name", "agent_id")
     return best.select("agent_name", "resolved", "avg_csat", "avg_resolution_h")
 
 

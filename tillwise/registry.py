@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions.measures import as_output
+from tillwise.functions.rules import TIERS
 from tillwise.operators.selection import Filters, Period
 from tillwise.plans import (
     alerts,
@@ -20,7 +21,7 @@ from tillwise.plans import (
     sales,
     support,
 )
-from tillwise.sources.star import TIER_THRESHOLDS, StarStore
+from tillwise.sources.star import StarStore
 from tillwise.sources.store import OpsStore
 
 PERIOD = Period.of("2000-01-01", "2000-12-31")
@@ -31,9 +32,6 @@ ONE_SEGMENT = Filters(segment="MACHINERY")
 
 # --- Fixed values: the domains and price tables of the test data ------------------
 
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
-FIRST_COHORT_PERIOD = -71
 GST_PERCENT = {"ECONOMY": 5, "LARGE": 12, "MEDIUM": 12, "PROMO": 18, "SMALL": 0, "STANDARD": 18}
 PRICE_RANGE = {
     "ECONOMY": (900, 20000),
@@ -53,10 +51,11 @@ def _trend_alerts(store: OpsStore) -> DataFrame:
 
 
 def _tier_update(store: OpsStore) -> DataFrame:
-    base = store.customers("customer_id", "full_name", "segment").withColumn(
-        "tier", F.lit("Bronze")
-    )
-    earned = enrichment.tier_assignment(store, TIER_THRESHOLDS).where(F.col("spent") > 0)
+    # The stored tiers differ from the earned ones for customers with and without spend;
+    # every seventh customer gets no update and keeps the stored one.
+    stored = F.element_at(F.array(*map(F.lit, TIERS)), (F.col("customer_id") % 4 + 1).cast("int"))
+    base = store.customers("customer_id", "full_name", "segment").withColumn("tier", stored)
+    earned = enrichment.tier_assignment(store).where("customer_id % 7 <> 3")
     return enrichment.updated(base, earned, "customer_id", "tier")
 
 
@@ -81,7 +80,7 @@ PLANS: dict[str, Callable[[OpsStore], DataFrame]] = {
     "dow_profile": lambda s: sales.dow_profile(s, PERIOD),
     "month_profile": lambda s: sales.month_profile(s, PERIOD),
     "yoy_monthly": lambda s: sales.yoy_monthly(s),
-    "yoy_wide": lambda s: sales.yoy_wide(s, YEARS),
+    "yoy_wide": lambda s: sales.yoy_wide(s),
     "weekly_ops": lambda s: sales.weekly_ops(s),
     "weekly_ops_complete": lambda s: sales.weekly_ops(s, complete_weeks_only=True),
     "weekly_metrics_long": lambda s: sales.weekly_metrics_long(s),
@@ -97,14 +96,12 @@ PLANS: dict[str, Callable[[OpsStore], DataFrame]] = {
     # Customers
     "customer_tiers": lambda s: customers.customer_tiers(s, PERIOD),
     "tier_summary": lambda s: customers.tier_summary(s, PERIOD),
-    "age_segment_matrix": lambda s: customers.age_segment_matrix(s, PERIOD, SEGMENTS),
+    "age_segment_matrix": lambda s: customers.age_segment_matrix(s, PERIOD),
     "churn_risk": lambda s: customers.churn_risk(s, PERIOD),
     "churn_export": lambda s: customers.churn_export(s, PERIOD, ONE_SEGMENT),
     "churn_bands": lambda s: customers.churn_bands(s, PERIOD),
     "cohort_retention_long": lambda s: customers.cohort_retention_long(s),
-    "cohort_retention_matrix": lambda s: customers.cohort_retention_matrix(
-        s, min_period=FIRST_COHORT_PERIOD
-    ),
+    "cohort_retention_matrix": lambda s: customers.cohort_retention_matrix(s),
     "top_customers": lambda s: customers.top_customers(s, PERIOD),
     "top_customers_fanout": lambda s: customers.top_customers_fanout(s, PERIOD),
     # Support and returns
@@ -149,7 +146,7 @@ PLANS: dict[str, Callable[[OpsStore], DataFrame]] = {
         multiplier=MULTIPLIER,
     ),
     "festival_normalised": lambda s: enrichment.festival_normalised(s, PERIOD),
-    "tier_assignment": lambda s: enrichment.tier_assignment(s, TIER_THRESHOLDS),
+    "tier_assignment": lambda s: enrichment.tier_assignment(s),
     "tier_update": _tier_update,
     "derived_returns": lambda s: s.returns(),
     "customer_contacts": lambda s: enrichment.customer_contacts(s),

@@ -67,5 +67,7 @@ def stage(df: DataFrame) -> DataFrame:
             raise ValueError(
                 "staging needs a shared folder: set spark.checkpoint.dir"
             )
+        if folder.startswith("file:") and not context.master.startswith("local"):
+            raise ValueError(f"{folder} is local to each machine; executors must share it")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

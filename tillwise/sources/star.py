@@ -16,6 +16,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwise.functions import rules
 from tillwise.operators.selection import Period
@@ -104,8 +105,9 @@ _SECONDS = (
     f"(datediff(CAST(ts AS DATE), DATE'{FIRST_EVENT:%Y-%m-%d}') * 86400L "
     "+ hour(ts) * 3600 + minute(ts) * 60 + second(ts))"
 )
-_K = "CAST(get_json_object(props, '$.k') AS INT)"
-_MIX = f"((7 * {_K} + event_id) % 100)"
+# A property that is no whole number is null: such a ticket has no priority and no status.
+_K = "try_cast(get_json_object(props, '$.k') AS INT)"
+_MIX = "((7 * k + event_id) % 100)"
 
 TICKET_COLUMNS = {
     "ticket_id": "event_id",
@@ -114,10 +116,10 @@ TICKET_COLUMNS = {
     "created_date": f"date_add(DATE'{FIRST_DAY}', "
     f"CAST({_SECONDS} DIV {EVENT_SECONDS_PER_DAY} AS INT))",
     "ticket_category": "event_type",
-    "priority": f"""CASE WHEN {_K} < 25 THEN 'Low' WHEN {_K} < 70 THEN 'Medium'
-        WHEN {_K} < 90 THEN 'High' ELSE 'Critical' END""",
+    "priority": """CASE WHEN k < 25 THEN 'Low' WHEN k < 70 THEN 'Medium'
+        WHEN k < 90 THEN 'High' WHEN k >= 90 THEN 'Critical' END""",
     "status": f"""CASE WHEN {_MIX} < 68 THEN 'Resolved' WHEN {_MIX} < 80 THEN 'Open'
-        WHEN {_MIX} < 90 THEN 'Escalated' ELSE 'Pending' END""",
+        WHEN {_MIX} < 90 THEN 'Escalated' WHEN {_MIX} >= 90 THEN 'Pending' END""",
     "csat_score": "CAST(CAST(10 + (event_id * 13) % 41 AS DECIMAL(3,0)) * 0.1BD AS DECIMAL(3,1))",
     "resolution_hours": _money(_hundredths("value")),
     "first_response_h": f"CAST({_money(_hundredths('value'))} * 0.25BD AS DECIMAL(14,4))",
@@ -158,10 +160,20 @@ class StarStore(OpsStore):
 
     def __init__(self, spark: SparkSession, root: str, tier_thresholds=TIER_THRESHOLDS):
         self.spark, self.root, self.tier_thresholds = spark, root, tier_thresholds
+        self._checked: set[str] = set()
 
     def raw(self, name: str) -> DataFrame:
-        schema = RAW_SCHEMAS[name]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}.parquet")
+        """A raw table with the declared types. A declared column that the files lack is
+        an error: Spark would fill it with nulls."""
+        path = f"{self.root}/{name}.parquet"
+        declared = T.StructType.fromDDL(RAW_SCHEMAS[name])
+        if name not in self._checked:
+            there = {c.lower() for c in self.spark.read.parquet(path).columns}
+            missing = [c for c in declared.names if c not in there]
+            if missing:
+                raise ValueError(f"{path} has no column {', '.join(missing)}")
+            self._checked.add(name)
+        return self.spark.read.schema(declared).parquet(path)
 
     def table(self, name, columns, period):
         return getattr(self, f"_{name}")(columns, period)
@@ -185,6 +197,9 @@ class StarStore(OpsStore):
             return people
         return people.join(self._states(wanted), F.expr(f"{nation} = n_nationkey"), "left")
 
+    def placed_by_customer(self, df: DataFrame, *wanted: str) -> DataFrame:
+        return self._with_place(df, "customer_id", wanted).drop("c_custkey", "c_nationkey", "n_nationkey")
+
     def _with_place(self, df: DataFrame, customer: str, wanted) -> DataFrame:
         """Add ``customer``'s place. Only the nation's number is joined by customer;
         the names come from the nations afterwards."""
@@ -213,10 +228,6 @@ class StarStore(OpsStore):
         if period is not None:
             header = header.where(period.contains("order_date"))
         lines = self.raw("lineitem")
-        if PLACE & set(wanted):
-            # Spark multiplies the sizes of joined inputs, so it would take this header
-            # for huge and broadcast the lines, a fact, while they fit the limit.
-            lines = lines.hint("merge")
         lines = lines.join(header, F.expr("l_orderkey = o_orderkey"))
         if PRODUCT & set(wanted):
             lines = lines.join(self.raw("part"), F.expr("l_partkey = p_partkey"), "left")
@@ -244,6 +255,8 @@ class StarStore(OpsStore):
             start, after = _event_time(period.start), _event_time(period.end + timedelta(days=1))
             events = events.where(f"ts >= {start} AND ts < {after}")
         events = self._with_place(events, "user_id", columns)
+        if {"priority", "status"} & set(columns):
+            events = events.withColumn("k", F.expr(_K))
         return events.selectExpr(*_pick(TICKET_COLUMNS | PLACE_COLUMNS, columns))
 
     # Dimensions.

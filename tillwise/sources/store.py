@@ -6,8 +6,11 @@ both to read less: skip joins, prune partitions, filter before joining.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import DataFrame
 
+from tillwise.functions import rules
 from tillwise.operators.selection import Period
 from tillwise.sources.schemas import TABLES
 
@@ -15,6 +18,9 @@ from tillwise.sources.schemas import TABLES
 class OpsStore:
     """Base store; subclasses give ``table``."""
 
+    #: Delivered spend from which a customer is of a tier.
+    tier_thresholds: Mapping[str, float] = rules.TIER_THRESHOLDS
+
     def table(self, name: str, columns: tuple[str, ...], period: Period | None) -> DataFrame:
         raise NotImplementedError
 
@@ -25,6 +31,10 @@ class OpsStore:
         wanted = tuple(dict.fromkeys(columns)) or tuple(TABLES[name].columns)
         return self.table(name, wanted, period)
 
+    #: Gives the rows of a frame with customer_id the place columns, where an order's place
+    #: is its customer's; None where orders have a place of their own.
+    placed_by_customer: Callable | None = None
+
     def customers(self, *columns: str) -> DataFrame:
         return self.read("customers", *columns)
 
@@ -55,6 +65,8 @@ class FrameStore(OpsStore):
         window: Period | None = None,
     ):
         self.frames, self.fallback, self.window = frames, fallback, window
+        if fallback is not None:
+            self.tier_thresholds = fallback.tier_thresholds
 
     def _covers(self, name, columns, period):
         frame = self.frames.get(name)

@@ -20,8 +20,12 @@ MONTH = "year_month"
 
 
 class Warehouse(OpsStore):
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    """Reads ``<root>/<table>``; tables not there are those of ``base``, if given."""
+
+    def __init__(self, spark: SparkSession, root: str, base: OpsStore | None = None):
+        self.spark, self.root, self.base = spark, root, base
+        if base is not None:
+            self.tier_thresholds = base.tier_thresholds
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -49,11 +53,12 @@ class Warehouse(OpsStore):
         self._write(name, rows.select(*TABLES[name].columns), "append")
 
     def rewritten(self, name: str, rows: DataFrame, root: str) -> Warehouse:
-        """Write an updated table under a new root, which must not be this one:
-        the rows are usually derived from the files they replace."""
+        """Write an updated table under a new root, which must not be this one: the rows
+        are usually derived from the files they replace. The store returned has the new
+        table and all others of this one."""
         if root.rstrip("/") == self.root.rstrip("/"):
             raise ValueError("an updated table goes to a new folder")
-        target = Warehouse(self.spark, root)
+        target = Warehouse(self.spark, root, base=self)
         target._write(name, rows.select(*TABLES[name].columns), "errorifexists")
         return target
 
@@ -83,6 +88,8 @@ class Warehouse(OpsStore):
         writer.parquet(self.path(name))
 
     def table(self, name: str, columns: tuple[str, ...], period: Period | None) -> DataFrame:
+        if self.base is not None and not self.exists(name):
+            return self.base.table(name, columns, period)
         df = self.spark.read.schema(self._schema(name)).parquet(self.path(name))
         if period is not None:
             df = df.where(
@@ -90,3 +97,15 @@ class Warehouse(OpsStore):
                 & period.contains(TABLES[name].date)
             )
         return df.select(*columns)
+
+
+class WindowStore(OpsStore):
+    """Some facts for one window of days from a near store, everything else from afar."""
+
+    def __init__(self, near: OpsStore, names: tuple[str, ...], window: Period, far: OpsStore):
+        self.near, self.names, self.window, self.far = near, names, window, far
+        self.tier_thresholds = far.tier_thresholds
+
+    def table(self, name: str, columns: tuple[str, ...], period: Period | None) -> DataFrame:
+        inside = name in self.names and period is not None and self.window.covers(period)
+        return (self.near if inside else self.far).table(name, columns, period)
