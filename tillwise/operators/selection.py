@@ -95,9 +95,12 @@ def placed() -> Column:
     return F.expr("order_status <> 'Processing'")
 
 
+SETTLED = "order_status NOT IN ('Cancelled', 'Processing')"
+
+
 def settled() -> Column:
     """Orders that are neither cancelled nor in processing."""
-    return F.expr("order_status NOT IN ('Cancelled', 'Processing')")
+    return F.expr(SETTLED)
 
 
 def is_status(status: str) -> Column:

@@ -21,7 +21,7 @@ from tillwise.functions.measures import (
     zero_if_null,
 )
 from tillwise.functions.rules import TIERS
-from tillwise.operators.selection import NO_FILTERS, Filters, Period, settled
+from tillwise.operators.selection import NO_FILTERS, SETTLED, Filters, Period, settled
 from tillwise.operators.shaping import in_domain_order, top, values_of
 from tillwise.sources.store import OpsStore
 
@@ -51,18 +51,11 @@ def customer_tiers(
 
     Customers without orders in the period stay, with 0.
     """
-    spend = (
-        _settled(store, "final_amount", period=period)
-        .groupBy("customer_id")
-        .agg(
-            F.sum("final_amount").alias("revenue"),
-            F.count("final_amount").alias("amounts"),
-            rows().alias("orders"),
-        )
-    )
+    spend = {"revenue": "sum(final_amount)", "amounts": "count(final_amount)", "orders": "count(1)"}
+    columns = (*TIER_KEYS, *filters.active(*WHO))
     return (
-        _customers(store, filters, *TIER_KEYS)
-        .join(spend, "customer_id", "left")
+        store.customers_with_orders(columns, spend, ["final_amount"], SETTLED, period)
+        .where(filters.on(*WHO))
         .groupBy(*TIER_KEYS)
         .agg(
             rows().alias("customers"),
@@ -167,29 +160,27 @@ def churn_risk(
 
 
 def _churn(store, period, filters, *columns, noise_seed=None):
-    history = (
-        _settled(store, "order_date", "final_amount")
-        .groupBy("customer_id")
-        .agg(
-            F.sum("final_amount").alias("spent"),
-            exact_mean("final_amount").alias("mean_spent"),
-            rows().alias("order_count"),
-            F.max("order_date").alias("last_order"),
-        )
-    )
+    history = {
+        "spent": "sum(final_amount)",
+        "amounts": "count(final_amount)",
+        "order_count": "count(1)",
+        "last_order": "max(order_date)",
+    }
     days = F.coalesce(
         F.datediff(F.lit(period.end), F.col("last_order")), F.lit(NEVER_ORDERED_DAYS)
     )
     noise = None if noise_seed is None else hash_noise(noise_seed)
     return (
-        _customers(store, filters, "status", *columns)
-        .join(history, "customer_id", "left")
+        store.customers_with_orders(
+            ("status", *columns, *filters.active(*WHO)), history, ["order_date", "final_amount"], SETTLED
+        )
+        .where(filters.on(*WHO))
         .withColumns(
             {
                 "lifetime_value": F.coalesce(F.col("spent"), F.lit(0)),
                 "total_orders": F.coalesce(F.col("order_count"), F.lit(0).cast("bigint")),
                 "days_since_order": days,
-                "avg_order_value": zero_if_null(F.col("mean_spent")),
+                "avg_order_value": zero_if_null(ratio(F.col("spent"), F.col("amounts"))),
             }
         )
         .withColumn(
@@ -352,17 +343,19 @@ def _spend(store: OpsStore, period: Period, filters: Filters) -> DataFrame:
     return spend.join(_customers(store, filters).select("customer_id"), "customer_id")
 
 
-def _ratings(store: OpsStore, period: Period) -> DataFrame:
+def _ratings(store: OpsStore, period: Period, keys: DataFrame | None = None) -> DataFrame:
+    tickets = store.tickets("customer_id", "csat_score", period=period)
+    if keys is not None:
+        tickets = tickets.join(keys, "customer_id", "left_semi")
     return (
-        store.tickets("customer_id", "csat_score", period=period)
-        .groupBy("customer_id")
+        tickets.groupBy("customer_id")
         .agg(rows().alias("ticket_count"), exact_mean("csat_score").alias("csat"))
     )
 
 
 def _with_profile(store: OpsStore, best: DataFrame) -> DataFrame:
     """The few ranked customers with their profile, in rank order."""
-    profiles = store.customers("customer_id", *PROFILE)
+    profiles = store.customers_of(best.select("customer_id"), *PROFILE)
     return (
         best.join(profiles, "customer_id")
         .orderBy(F.desc("lifetime_value"), "customer_id")
@@ -383,7 +376,7 @@ def top_customers(
     ticket rating (0 without tickets). Only keys and sums are ranked; the profile is
     looked up for the rows that remain."""
     best = top(_spend(store, period, filters), limit, "lifetime_value", "customer_id")
-    rated = best.join(_ratings(store, period), "customer_id", "left")
+    rated = best.join(_ratings(store, period, best.select("customer_id")), "customer_id", "left")
     return _with_profile(store, rated)
 
 

@@ -270,16 +270,47 @@ class StarStore(OpsStore):
             )
         return people.selectExpr(*_pick(CUSTOMER_COLUMNS | PLACE_COLUMNS, columns))
 
+    def customers_of(self, keys, *columns):
+        if "tier" not in columns:
+            return super().customers_of(keys, *columns)
+        spend = delivered_spend(self, keys)
+        people = super().customers_of(keys, *(c for c in columns if c != "tier"))
+        return self._with_tier(people.join(spend, "customer_id", "left")).select("customer_id", *columns)
+
+    def customers_with_orders(self, columns, sums, read, counted, period=None):
+        """A tier comes from all orders, so one pass over them gives both."""
+        if "tier" not in columns:
+            return super().customers_with_orders(columns, sums, read, counted, period)
+        if period is not None:
+            counted = f"{counted} AND order_date BETWEEN {period.sql}"
+        needed = ("customer_id", "order_date", "order_status", "final_amount", *read)
+        totals = self.orders(*dict.fromkeys(needed)).groupBy("customer_id").agg(
+            *[F.expr(f"{sql} FILTER (WHERE {counted})").alias(name) for name, sql in sums.items()],
+            F.expr(f"sum(final_amount) FILTER (WHERE {DELIVERED})").alias("delivered"),
+        )
+        people = self.customers(*dict.fromkeys(("customer_id", *(c for c in columns if c != "tier"))))
+        joined = people.join(totals, "customer_id", "left")
+        return self._with_tier(joined.withColumnRenamed("delivered", "spent_in_all"), "spent_in_all")
+
+    def _with_tier(self, people: DataFrame, spent: str = "spent") -> DataFrame:
+        tier = rules.tier_of(F.expr(f"coalesce({spent}, 0)"), self.tier_thresholds)
+        return people.withColumn("tier", tier).drop(spent)
+
     def _agents(self, columns, period):
         agents = self._located(self.raw("supplier"), "s_nationkey", columns)
         return agents.selectExpr(*_pick(AGENT_COLUMNS, columns))
 
 
-def delivered_spend(store: OpsStore) -> DataFrame:
-    """Delivered spend of each customer who has any."""
+DELIVERED = "order_status = 'Delivered'"
+
+
+def delivered_spend(store: OpsStore, keys: DataFrame | None = None) -> DataFrame:
+    """Delivered spend of each customer who has any; only of ``keys``, if given."""
+    orders = store.orders("customer_id", "final_amount", "order_status")
+    if keys is not None:
+        orders = orders.join(keys, "customer_id", "left_semi")
     return (
-        store.orders("customer_id", "final_amount", "order_status")
-        .where("order_status = 'Delivered'")
+        orders.where(DELIVERED)
         .groupBy("customer_id")
         .agg(F.sum("final_amount").alias("spent"))
     )

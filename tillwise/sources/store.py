@@ -6,9 +6,10 @@ both to read less: skip joins, prune partitions, filter before joining.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tillwise.functions import rules
 from tillwise.operators.selection import Period
@@ -38,6 +39,26 @@ class OpsStore:
     def customers(self, *columns: str) -> DataFrame:
         return self.read("customers", *columns)
 
+    def customers_of(self, keys: DataFrame, *columns: str) -> DataFrame:
+        """The customers with a customer_id in ``keys``, a few rows."""
+        return self.customers("customer_id", *columns).join(keys, "customer_id", "left_semi")
+
+    def customers_with_orders(
+        self,
+        columns: Sequence[str],
+        sums: Mapping[str, str],
+        read: Sequence[str],
+        counted: str,
+        period: Period | None = None,
+    ) -> DataFrame:
+        """The customers with aggregates, SQL text by name, over those of their orders that
+        the condition ``counted`` takes. A customer without such orders stays: its sums are
+        null, its counts null or 0."""
+        orders = self.orders(*dict.fromkeys(("customer_id", "order_status", *read)), period=period)
+        by_customer = orders.where(counted).groupBy("customer_id")
+        totals = by_customer.agg(*[F.expr(sql).alias(name) for name, sql in sums.items()])
+        return self.customers(*dict.fromkeys(("customer_id", *columns))).join(totals, "customer_id", "left")
+
     def orders(self, *columns: str, period: Period | None = None) -> DataFrame:
         return self.read("orders", *columns, period=period)
 
