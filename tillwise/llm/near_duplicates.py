@@ -16,8 +16,8 @@ similarity of their bags is 0.8 or more; classes are the connected components of
    a bucket; a pair at 0.8 shares one of the 16 x 5 buckets with probability 0.998, at 0.9
    with 0.9999998. Equal texts are one node from here on.
 3. Verification. Buckets are not expanded into pairs. Each member is compared with one
-   leader, which connects most copies. Buckets that still hold more than one component are
-   compared in full, but in tasks: their members are dealt into blocks of about BLOCK, each
+   leader, which connects most copies. Buckets whose members don't all follow one leader
+   are compared in full, but in tasks: their members are dealt into blocks of about BLOCK, each
    pair of blocks is one small group, whose similarities come from one matrix product, and
    what leaves the task is at most one link per member. So no bucket size is cut off, and
    rows grow with members times blocks, not with pairs.
@@ -239,23 +239,28 @@ def classes(docs: DataFrame, stages: Stages, similarity: float, bands: int, rows
 
 
 class _Verifier:
-    """Tests pairs of nodes and keeps the components of all links found."""
+    """Tests pairs of nodes; `found` has the components of all links."""
 
     def __init__(self, docs: DataFrame, member: DataFrame, weights: Weights, similarity: float, stages: Stages) -> None:
-        self.member, self.weights, self.similarity, self.stages, self.rounds = member, weights, similarity, stages, 0
+        self.member, self.weights, self.similarity, self.stages = member, weights, similarity, stages
         wanted = member.select("key").distinct()
         keyed = docs.select(key_of(F.col("text")).alias("key"), "text")
-        self.texts = stages.write(keyed.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+        # Copies combine before the shuffle, so that a text that many documents have is one
+        # row per task where it meets the wanted keys.
+        once = keyed.groupBy("key").agg(F.first("text").alias("text"))
+        self.texts = stages.write(once.join(wanted, "key", "left_semi"), "texts")
 
     def lead(self, pairs: DataFrame) -> None:
-        """Compare the pairs (u, v) and connect the links among them."""
+        """Compare each u with its leader v."""
         text = lambda name, as_: self.texts.select(F.col("key").alias(name), F.col("text").alias(as_))
         both = pairs.join(text("u", "of"), "u").join(text("v", "with"), "v")
-        self.link(similar(both, self.weights, self.similarity))
+        self.led = self.stages.write(similar(both, self.weights, self.similarity), "led")
 
     def finish(self) -> None:
-        """Compare all members of the buckets that hold several components."""
-        now = self.member.join(self.found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        """Compare all members of the buckets that don't follow one leader, and connect."""
+        further = self.led.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        of = self.led.join(further, "v", "left").select(F.col("u").alias("key"), F.coalesce("w", "v").alias("component"))
+        now = self.member.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
         several = now.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
         now = self.stages.write(now.join(several, "bucket", "left_semi").select("bucket", "n", "key", "component"), "open")
         blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
@@ -264,14 +269,9 @@ class _Verifier:
         now = now.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "component")
         grouped = now.join(self.texts, "key").groupBy("bucket", "i", "j")
         links = grouped.applyInArrow(_linker(self.weights, self.similarity, self.stages.spark), LINK)
-        self.link(self.stages.write(links.distinct(), "links"))
-
-    def link(self, links: DataFrame) -> None:
-        """Connect more links."""
-        if self.rounds:
-            links = links.unionAll(self.found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        self.found = components(links, self.stages, f"round-{self.rounds}")
-        self.rounds += 1
+        links = self.stages.write(links, "links")
+        self.found = components(self.led.unionAll(links), self.stages)
+        self.stages.drop("open", "texts", "links")
 
 
 LINK = "u binary, v binary"
