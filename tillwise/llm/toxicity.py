@@ -185,22 +185,27 @@ def curve_of(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2
     return w
 
 
-def label_tokens(tokens: Tokens, toxic_doc: np.ndarray) -> np.ndarray:
-    """0/1 per token, from the documents' labels."""
-    owner, n_docs = tokens.words.owner, len(toxic_doc)
-    share = (toxic_doc.sum() + 0.5) / (n_docs + 1)
-    out = np.zeros(len(owner), bool)
-    for k in range(OWN):
-        seen = np.unique(tokens.features[:, k].astype(np.int64) * n_docs + owner)
-        feature, doc = seen // n_docs, seen % n_docs
-        n, bad = np.bincount(feature, minlength=1 << BITS), np.bincount(feature, toxic_doc[doc], 1 << BITS)
-        rate = np.where(n > 0, bad / np.maximum(n, 1), 0)
-        # The chance of so many toxic documents among n, by the Chernoff bound.
-        with np.errstate(divide="ignore", invalid="ignore"):
-            apart = n * (np.nan_to_num(rate * np.log(rate / share)) + np.nan_to_num((1 - rate) * np.log((1 - rate) / (1 - share))))
-        sure = (rate >= 0.9) & (apart > np.log((n > 0).sum() * OWN / 0.01))
-        out |= sure[tokens.features[:, k]]
-    return out & toxic_doc[owner].astype(bool)
+def sure_features(batches: list[pa.RecordBatch], toxic: list[np.ndarray]) -> np.ndarray:
+    """Which of the tokens' own features tell a toxic document, from the chunks of labelled
+    documents."""
+    n, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for batch, y in zip(batches, toxic):
+        tokens = Tokens.of(batch.column("text"))
+        for k in range(OWN):
+            seen = np.unique(tokens.features[:, k].astype(np.int64) * len(y) + tokens.words.owner)
+            n += np.bincount(seen // len(y), minlength=1 << BITS)
+            bad += np.bincount(seen // len(y), y[seen % len(y)], 1 << BITS)
+    every = np.concatenate(toxic)
+    share, rate = (every.sum() + 0.5) / (len(every) + 1), np.where(n > 0, bad / np.maximum(n, 1), 0)
+    # The chance of so many toxic documents among n, by the Chernoff bound.
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = n * (np.nan_to_num(rate * np.log(rate / share)) + np.nan_to_num((1 - rate) * np.log((1 - rate) / (1 - share))))
+    return (rate >= 0.9) & (apart > np.log(max((n > 0).sum(), 1) / 0.01))
+
+
+def label_tokens(tokens: Tokens, toxic: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Whether each token is labelled toxic."""
+    return sure[tokens.features[:, :OWN]].any(1) & toxic[tokens.words.owner].astype(bool)
 
 
 def telling(features: np.ndarray, y: np.ndarray, weight: np.ndarray, least: float = 25.0) -> np.ndarray:
@@ -252,49 +257,49 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     """A field learned from the documents for which `learn` holds."""
     found = labelled(docs.where(learn), labels, label, doc_id, text).transform(bounded_sample, F.col("id"), sample).orderBy("id", "text").toArrow()
     y = found.column("y").to_numpy().astype(float)
-    parts = [Tokens.of(b.column("text")) for b in chunks(found.to_batches(), "text")]
-    if not parts or not y.any():
+    batches = list(chunks(found.to_batches(), "text"))
+    if not y.any():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Field(np.zeros(1 << BITS), np.zeros(SHAPES), np.zeros(2), np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0]))
-    tokens = joined(parts)
-    marked = label_tokens(tokens, y)
-    field = fit_field(*chosen(tokens, marked))
-    facts = []
-    for part in parts:
-        toxic, _, _ = marginals(field.emissions(part), part.sentence, field.start, field.pairs)
-        facts.append(evidence(toxic, part.words))
+    # The texts are read again in each step, so that the tokens of all of them are never held.
+    toxic = [b.column("y").to_numpy().astype(float) for b in batches]
+    sure = sure_features(batches, toxic)
+    field = fit_field(*chosen(batches, toxic, sure))
+    facts = [evidence(marginals(field.emissions(t), t.sentence, field.start, field.pairs)[0], t.words) for t in (Tokens.of(b.column("text")) for b in batches)]
     field.curve = curve_of(np.concatenate(facts), y)
     return field
 
 
-def joined(parts: list[Tokens]) -> Tokens:
-    """The tokens of several chunks as those of one, without their bytes."""
-    first, sentence, n = [np.zeros(1, np.int64)], [], 0
-    for p in parts:
-        first.append(p.words.first[1:] + n)
-        sentence.append(p.sentence[:-1] + n)
-        n += len(p.features)
-    none = np.zeros(0, np.int64)
-    words = Words(none, none, none, none, np.concatenate(first))
-    return Tokens(words, np.concatenate([p.features for p in parts]), np.concatenate([p.shapes for p in parts]), np.append(np.concatenate(sentence), n))
-
-
-def chosen(tokens: Tokens, marked: np.ndarray) -> tuple[Tokens, np.ndarray, np.ndarray]:
-    """At most SENTENCES sentences to learn from, half of them with marked tokens if there
+def chosen(batches: list[pa.RecordBatch], toxic: list[np.ndarray], sure: np.ndarray) -> tuple[Tokens, np.ndarray, np.ndarray]:
+    """At most SENTENCES sentences to learn from, half of them with labelled tokens if there
     are so many; their token labels; and how many tokens each token stands for."""
-    n = len(tokens.sentence) - 1
-    has = np.maximum.reduceat(marked, tokens.sentence[:-1]) if len(marked) else np.zeros(0, bool)
-    shuffled = np.random.default_rng(7).permutation(n)
+    has = []
+    for batch, y in zip(batches, toxic):
+        tokens = Tokens.of(batch.column("text"))
+        marked = label_tokens(tokens, y, sure)
+        has.append(np.maximum.reduceat(marked, tokens.sentence[:-1]) if len(marked) else np.zeros(0, bool))
+    bounds, has = np.cumsum([0, *map(len, has)]), np.concatenate(has)
+    shuffled = np.random.default_rng(7).permutation(len(has))
     bad, good = shuffled[has[shuffled]], shuffled[~has[shuffled]]
     n_bad = min(len(bad), SENTENCES // 2)
     n_good = min(len(good), SENTENCES - n_bad)
-    picked = np.concatenate([bad[:n_bad], good[:n_good]])
-    stands = np.concatenate([np.full(n_bad, len(bad) / max(n_bad, 1)), np.full(n_good, len(good) / max(n_good, 1))])
-    sizes = np.diff(tokens.sentence)[picked]
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    rows = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes) + np.repeat(tokens.sentence[:-1][picked], sizes)
+    stands = np.zeros(len(has))
+    stands[bad[:n_bad]] = len(bad) / max(n_bad, 1)
+    stands[good[:n_good]] = len(good) / max(n_good, 1)
+    features, shapes, sizes, labels, weight = [], [], [np.zeros(1, np.int64)], [], []
+    for k, (batch, y) in enumerate(zip(batches, toxic)):
+        tokens = Tokens.of(batch.column("text"))
+        mine = stands[bounds[k] : bounds[k + 1]]
+        lengths = np.diff(tokens.sentence)
+        rows = np.flatnonzero(np.repeat(mine > 0, lengths))
+        features.append(tokens.features[rows])
+        shapes.append(tokens.shapes[rows])
+        sizes.append(lengths[mine > 0])
+        labels.append(label_tokens(tokens, y, sure)[rows])
+        weight.append(np.repeat(mine, lengths)[rows])
     none = np.zeros(0, np.int64)
-    return Tokens(Words(none, none, none, none, none), tokens.features[rows], tokens.shapes[rows], bounds), marked[rows], np.repeat(stands, sizes)
+    picked = Tokens(Words(none, none, none, none, none), np.concatenate(features), np.concatenate(shapes), np.cumsum(np.concatenate(sizes)))
+    return picked, np.concatenate(labels), np.concatenate(weight)
 
 
 def tagged(column: pa.Array, field: Field) -> tuple[np.ndarray, Tokens, np.ndarray]:
