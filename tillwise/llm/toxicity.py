@@ -41,7 +41,7 @@ from tillwise.llm.quality import labelled
 from tillwise.llm.text import LOWER, Words, arrow, batch_of, chunks, mixed, powers
 from tillwise.llm.trees import sigmoid
 
-SAMPLE = 4000
+SAMPLE = 8000
 SENTENCES = 24_000
 BITS = 20
 FEATURES = ("word", "first 3", "first 4", "first 5", "first 6", "last 3", "before", "after")
