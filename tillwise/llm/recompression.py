@@ -14,9 +14,9 @@ have equal keys at equal places; in words without structure the lowest round, th
 themselves, always gives one.
 
 Spark. Consecutive windows with the same key symbol are one block.
-1. Blocks are counted by (key, hash of all words of the block). Keys that stand once in the
-   whole corpus end here with all their windows: they are most.
-2. Blocks that stand twice or more are repeated as a whole.
+1. Keys are counted. Those that stand once in the whole corpus end here with all their
+   windows: they are most.
+2. Blocks with the same key and the same hash of all their words are repeated as a whole.
 3. Of the other keys with several different blocks, each different block is taken once,
    with its number, and its windows are compared by (key, hash of the 35 words).
 Counts combine before they are shuffled, so a passage that a third of all documents share
@@ -272,25 +272,31 @@ def without(docs: DataFrame, with_text: bool) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, stages: Stages) -> DataFrame:
-    """row, first and last of the runs of repeated windows of the documents (row, text)."""
+    """row and runs (first and last) of repeated windows of the documents (row, text)."""
     every = stages.write(found_blocks(docs), "blocks")
-    kinds = every.groupBy("key", "block").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("sample"))
-    kinds = every_kind = stages.write(kinds.withColumnRenamed("n", "copies"), "kinds")
-    shared = kinds.groupBy("key").agg(F.sum("copies").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    # Keys with a block that stands once, beside other blocks: look at its windows.
-    kinds = kinds.join(shared.where("kinds > 1").select("key"), "key")
-    samples = kinds.select("sample.row", F.struct("key", "block", "sample.first", "sample.last", F.col("copies").alias("n")).alias("b"))
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    some = stages.write(every.join(shared, "key", "left_semi"), "shared")
+    stages.drop("blocks")
+    kinds = some.groupBy("key", "block").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("sample"))
+    kinds = stages.write(kinds.withColumnRenamed("n", "copies"), "kinds")
+    # Keys with several different blocks: look at the windows of each.
+    several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    samples = kinds.join(several, "key", "left_semi").select(
+        "sample.row", F.struct("key", "block", "sample.first", "sample.last", F.col("copies").alias("n")).alias("b")
+    )
     samples = samples.groupBy("row").agg(F.collect_list("b").alias("blocks"))
     windows = stages.write(window_hashes(docs.select("row", "text").join(samples, "row")), "windows")
     again = windows.groupBy("key", "hash").agg(F.sum("n").alias("m")).where("m > 1").select("key", "hash")
-    places = windows.where("n = 1").join(again, ["key", "hash"], "left_semi")
+    places = windows.where("n = 1").select("key", "hash", "block", "place").join(again, ["key", "hash"], "left_semi")
     places = places.groupBy("key", "block").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    whole = every_kind.where("copies > 1").select("key", "block", F.lit(None).cast("array<int>").alias("places"))
-    hits = every.join(whole.unionByName(places), ["key", "block"])
+    whole = kinds.where("copies > 1").select("key", "block", F.lit(None).cast("array<int>").alias("places"))
+    hits = some.join(whole.unionByName(places), ["key", "block"])
     run = F.when(F.isnull("places"), F.array(F.struct("first", "last"))).otherwise(
         F.transform("places", lambda p: F.struct((F.col("first") + p).alias("first"), (F.col("first") + p).alias("last")))
     )
-    return hits.select("row", F.explode(run).alias("run"))
+    runs = stages.write(hits.select("row", run.alias("run")).groupBy("row").agg(F.flatten(F.collect_list("run")).alias("runs")), "runs")
+    stages.drop("shared", "kinds", "windows")
+    return runs
 
 
 def deduplicated(docs: DataFrame, with_text: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,6 +304,5 @@ def deduplicated(docs: DataFrame, with_text: bool = True, doc_id: str = "doc_id"
     words that no repeated window covers, joined by one space."""
     stages = Stages(docs.sparkSession, "recompression")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    runs_of = repeated_windows(rows, stages).groupBy("row").agg(F.collect_list("run").alias("runs"))
-    out = without(rows.join(runs_of, "row", "left"), with_text)
+    out = without(rows.join(repeated_windows(rows, stages), "row", "left"), with_text)
     return out if with_text else out.drop("kept_text")
