@@ -47,6 +47,8 @@ SHARD, CENTROIDS, SAMPLE_BYTES = 1000, 16_384, 64 << 20
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 MEDOIDS, BEAM, NEAREST, SLACK = 24, 32, 3, 0.05
 AUDIT, RECALL = 256, 0.98
+#: What a search holds at once.
+NEIGHBOURS_AT_ONCE, PAIRS_AT_ONCE = 1 << 19, 1 << 14
 
 
 def usable(vector: Column) -> Column:
@@ -133,10 +135,7 @@ def in_range(queries: np.ndarray, x: np.ndarray, edges: np.ndarray, least: float
     roots = spread(x, MEDOIDS)
     close[:, roots] = queries @ x[roots].T
     opened = np.zeros((m, n), bool)
-    degree = edges.sum(1)
-    lists = np.full((n, max(int(degree.max(initial=0)), 1)), -1)
-    r, c = np.nonzero(edges)
-    lists[r, np.arange(len(r)) - np.repeat(np.cumsum(degree) - degree, degree)] = c
+    bounds, lists = np.concatenate(([0], np.cumsum(edges.sum(1)))), np.nonzero(edges)[1]
     active = np.arange(m)
     width = min(BEAM, n)
     while len(active):
@@ -146,24 +145,34 @@ def in_range(queries: np.ndarray, x: np.ndarray, edges: np.ndarray, least: float
         order = np.argsort(-waiting, axis=1)[:, :4]
         value = np.take_along_axis(waiting, order, 1)
         q, k = np.nonzero(value > -2)
-        look(queries, x, close, opened, lists, active[q], best[q, order[q, k]])
+        look(queries, x, close, opened, bounds, lists, active[q], best[q, order[q, k]])
         active = active[(value > -2).any(1)]
     while True:
         q, v = np.nonzero((close >= least - SLACK) & ~opened)
         if not len(q):
             return close >= least
-        look(queries, x, close, opened, lists, q, v)
+        look(queries, x, close, opened, bounds, lists, q, v)
 
 
-def look(queries: np.ndarray, x: np.ndarray, close: np.ndarray, opened: np.ndarray, lists: np.ndarray, q: np.ndarray, v: np.ndarray) -> None:
-    """Open vertices v for queries q: compare the queries with the vertices' neighbours."""
+def look(
+    queries: np.ndarray, x: np.ndarray, close: np.ndarray, opened: np.ndarray, bounds: np.ndarray, lists: np.ndarray, q: np.ndarray, v: np.ndarray
+) -> None:
+    """Open vertices v for queries q: compare the queries with the vertices' neighbours,
+    vertex k's being lists[bounds[k] : bounds[k + 1]]."""
     opened[q, v] = True
-    for first in range(0, len(q), 1 << 16):
-        at, near = q[first : first + (1 << 16)], lists[v[first : first + (1 << 16)]]
-        pair = (at[:, None] * len(x) + near)[near >= 0]
+    degree = bounds[v + 1] - bounds[v]
+    total = np.concatenate(([0], np.cumsum(degree)))
+    first = 0
+    while first < len(q):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + NEIGHBOURS_AT_ONCE, "right")) - 1)
+        of = np.repeat(np.arange(first, last), degree[first:last])
+        near = lists[bounds[v[of]] + np.arange(total[first], total[last]) - total[of]]
+        pair = q[of] * len(x) + near
         pair = np.unique(pair[close.ravel()[pair] < -1.5])
-        a, b = pair // len(x), pair % len(x)
-        close[a, b] = np.einsum("ij,ij->i", queries[a], x[b])
+        for k in range(0, len(pair), PAIRS_AT_ONCE):
+            a, b = np.divmod(pair[k : k + PAIRS_AT_ONCE], len(x))
+            close[a, b] = np.einsum("ij,ij->i", queries[a], x[b])
+        first = last
 
 
 @dataclass
