@@ -7,6 +7,7 @@ from conftest import dicts, rows
 from tillwise import Period
 from tillwise.operators import shaping
 from tillwise.plans import sales
+from tillwise.sources.star import StarStore
 
 YEAR = Period.of("2023-01-01", "2024-12-31")
 
@@ -98,6 +99,24 @@ def test_new_year_week_splits(store):
     assert got == [("2023-W52", 2), ("2024-W01", 1), ("2024-W04", 1), ("2024-W19", 1)]
 
 
+def test_days_without_rows_do_not_cost_a_week(spark, store):
+    """A store may name days on which it turns out to have no orders."""
+    s = store(orders=daily_orders())
+    every = spark.sql("SELECT explode(sequence(DATE'2023-12-01', DATE'2024-12-31')) AS day")
+    s.days = lambda name: every
+    got = rows(sales.weekly_ops(s, weeks=3).select("week", "orders"))
+    assert got == [("2024-W01", 1), ("2024-W04", 1), ("2024-W19", 1)]
+    assert len(rows(sales.weekly_ops(s, weeks=50))) == 4
+    assert rows(sales.weekly_ops(store())) == []
+
+
+def test_only_the_newest_weeks_are_read(spark):
+    plan = sales.weekly_ops(StarStore(spark, "/root/testdata/sf0.001"), weeks=2)
+    scans = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+    header = next(line for line in scans if "FileScan" in line and "o_orderdate" in line)
+    assert "o_orderdate" in header.split("PushedFilters")[1]
+
+
 def test_complete_weeks_only(store):
     days = ["2023-12-31", "2024-01-07", "2024-01-09"]
     s = store(orders=[{"order_date": d, "final_amount": 1, "order_status": "Shipped"} for d in days])

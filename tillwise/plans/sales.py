@@ -18,6 +18,7 @@ from tillwise.operators.selection import (
     Filters,
     Period,
     is_status,
+    newest,
     placed,
     settled,
 )
@@ -219,13 +220,20 @@ def weekly_ops(
     filters: Filters = NO_FILTERS,
     complete_weeks_only: bool = False,
 ) -> DataFrame:
-    """The newest weeks, oldest first, over all orders whatever their status."""
+    """The newest weeks, oldest first, over all orders whatever their status.
+
+    Which days these weeks have is found first, so only they are read in full. The newest
+    week, and one that New Year cuts off, may be incomplete.
+    """
+    chosen = ("state", "zone", "category")
+
+    def has_orders(period):
+        return _orders(store, ["order_date"], period, filters, chosen).select(F.col("order_date").alias("day"))
+
+    wanted = weeks + 2 if complete_weeks_only else weeks
+    period = newest(store.days("orders"), calendar.week_label, wanted, has_orders)
     orders = _orders(
-        store,
-        ["order_date", "final_amount", "delivery_days", "order_status"],
-        None,
-        filters,
-        ("state", "zone", "category"),
+        store, ["order_date", "final_amount", "delivery_days", "order_status"], period, filters, chosen
     )
     # Days first: the label is then computed once per day, not once per order.
     days = orders.groupBy("order_date").agg(
@@ -246,8 +254,8 @@ def weekly_ops(
         F.max("order_date").alias("last_day"),
     )
     if complete_weeks_only:
-        newest = by_week.withColumn("newest_day", F.max("last_day").over(whole()))
-        by_week = newest.where(calendar.week_end(F.col("last_day")) <= F.col("newest_day"))
+        dated = by_week.withColumn("newest_day", F.max("last_day").over(whole()))
+        by_week = dated.where(calendar.week_end(F.col("last_day")) <= F.col("newest_day"))
     return last_of(by_week.drop("last_day", "newest_day"), weeks, "week")
 
 

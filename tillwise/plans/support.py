@@ -14,7 +14,7 @@ from tillwise.functions.measures import (
     rows,
 )
 from tillwise.functions.rules import PRIORITIES
-from tillwise.operators.selection import NO_FILTERS, Filters, Period
+from tillwise.operators.selection import NO_FILTERS, Filters, Period, newest
 from tillwise.operators.shaping import last_of, top
 from tillwise.sources.store import OpsStore
 
@@ -145,8 +145,14 @@ def top_agents(
 
 
 def weekly_csat(store: OpsStore, weeks: int = 8, filters: Filters = NO_FILTERS) -> DataFrame:
-    """Satisfaction and escalations of the newest weeks, oldest first."""
-    tickets = _tickets(store, None, filters, "created_date", "csat_score", "status")
+    """Satisfaction and escalations of the newest weeks, oldest first; only their days are
+    read in full."""
+
+    def has_tickets(period):
+        return _tickets(store, period, filters, "created_date").select(F.col("created_date").alias("day"))
+
+    period = newest(store.days("tickets"), calendar.week_label, weeks, has_tickets)
+    tickets = _tickets(store, period, filters, "created_date", "csat_score", "status")
     days = tickets.groupBy("created_date").agg(
         F.sum("csat_score").alias("csat_sum"),
         F.count("csat_score").alias("ratings"),

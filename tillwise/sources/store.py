@@ -39,6 +39,11 @@ class OpsStore:
     def customers(self, *columns: str) -> DataFrame:
         return self.read("customers", *columns)
 
+    def days(self, name: str) -> DataFrame:
+        """The column ``day``: all days on which a fact may have rows, perhaps repeated and
+        perhaps more. Cheaper than reading the fact where a store can tell."""
+        return self.read(name, TABLES[name].date).select(F.col(TABLES[name].date).alias("day"))
+
     def customers_of(self, keys: DataFrame, *columns: str) -> DataFrame:
         """The customers with a customer_id in ``keys``, a few rows."""
         return self.customers("customer_id", *columns).join(keys, "customer_id", "left_semi")

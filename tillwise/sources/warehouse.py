@@ -8,6 +8,8 @@ orders table is denormalised here: after that no plan repeats the star-schema jo
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,7 @@ from tillwise.sources.schemas import TABLES
 from tillwise.sources.store import OpsStore
 
 MONTH = "year_month"
+TIERS = "_tier_thresholds"
 
 
 class Warehouse(OpsStore):
@@ -24,8 +27,16 @@ class Warehouse(OpsStore):
 
     def __init__(self, spark: SparkSession, root: str, base: OpsStore | None = None):
         self.spark, self.root, self.base = spark, root, base
-        if base is not None:
-            self.tier_thresholds = base.tier_thresholds
+
+    @cached_property
+    def tier_thresholds(self):
+        """Those of the store that the tables were made from, kept beside them."""
+        if self.base is not None:
+            return self.base.tier_thresholds
+        if not self._there(TIERS):
+            return OpsStore.tier_thresholds
+        kept = self.spark.read.schema("tier STRING, threshold DOUBLE").parquet(self.path(TIERS))
+        return dict(map(tuple, kept.collect()))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -33,20 +44,25 @@ class Warehouse(OpsStore):
     def exists(self, name: str) -> bool:
         """Whether the table was written in full. A folder that a failed job left
         without its success mark is an error: it must not pass for the table."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        folder = hadoop.Path(self.path(name))
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(folder):
+        if not self._there(name):
             return False
-        if not files.exists(hadoop.Path(folder, "_SUCCESS")):
-            raise RuntimeError(f"{folder} has no _SUCCESS mark: its write did not finish")
+        if not self._there(f"{name}/_SUCCESS"):
+            raise RuntimeError(f"{self.path(name)} has no _SUCCESS mark: its write did not finish")
         return True
 
+    def _there(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
     def create_missing(self, source: OpsStore) -> list[str]:
         """Write the tables that are not there yet; returns their names."""
         missing = [name for name in TABLES if not self.exists(name)]
         for name in missing:
             self._write(name, source.read(name), "errorifexists")
+        if not self._there(TIERS):
+            steps = [(tier, float(least)) for tier, least in source.tier_thresholds.items()]
+            steps = self.spark.createDataFrame(steps, "tier STRING, threshold DOUBLE")
+            steps.coalesce(1).write.parquet(self.path(TIERS))
         return missing
 
     def append(self, name: str, rows: DataFrame) -> None:
