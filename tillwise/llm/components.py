@@ -20,8 +20,9 @@ def components(links: DataFrame, stages: Stages, name: str = "components") -> Da
     before = _state(edges)
     while before[0]:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _starred(both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        small = _starred(large.distinct())
+        large = _starred(both, stages, f"{name}-near").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        large = stages.write(large.distinct(), f"{name}-large")
+        small = _starred(large, stages, f"{name}-far")
         small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).unionAll(small.select("u", F.col("least").alias("v")))
         edges, at = stages.write(small.where("u <> v").distinct(), f"{name}-{at + 1}"), at + 1
         stages.drop(f"{name}-{at - 1}")
@@ -33,10 +34,11 @@ def components(links: DataFrame, stages: Stages, name: str = "components") -> Da
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
-def _starred(edges: DataFrame) -> DataFrame:
-    """The edges with the smallest of u and its neighbours."""
+def _starred(edges: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """The edges with the smallest of u and its neighbours. The minima are a table of their
+    own: AQE splits a join partition only where both sides come straight from a shuffle."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("least"))
-    return edges.join(least, "u")
+    return edges.join(stages.write(least, name), "u")
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
