@@ -272,21 +272,25 @@ def without(docs: DataFrame, with_text: bool) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, stages: Stages) -> DataFrame:
-    """row and runs (first and last) of repeated windows of the documents (row, text)."""
+    """row and runs (first and last) of repeated windows of the documents (row, text).
+
+    What rows are joined with is written first: AQE splits a hot key's join partition only
+    where both sides come straight from a shuffle.
+    """
     every = stages.write(found_blocks(docs), "blocks")
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = stages.write(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     some = stages.write(every.join(shared, "key", "left_semi"), "shared")
-    stages.drop("blocks")
+    stages.drop("blocks", "keys")
     kinds = some.groupBy("key", "block").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("sample"))
     kinds = stages.write(kinds.withColumnRenamed("n", "copies"), "kinds")
     # Keys with several different blocks: look at the windows of each.
-    several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    several = stages.write(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key"), "several")
     samples = kinds.join(several, "key", "left_semi").select(
         "sample.row", F.struct("key", "block", "sample.first", "sample.last", F.col("copies").alias("n")).alias("b")
     )
     samples = samples.groupBy("row").agg(F.collect_list("b").alias("blocks"))
     windows = stages.write(window_hashes(docs.select("row", "text").join(samples, "row")), "windows")
-    again = windows.groupBy("key", "hash").agg(F.sum("n").alias("m")).where("m > 1").select("key", "hash")
+    again = stages.write(windows.groupBy("key", "hash").agg(F.sum("n").alias("m")).where("m > 1").select("key", "hash"), "again")
     places = windows.where("n = 1").select("key", "hash", "block", "place").join(again, ["key", "hash"], "left_semi")
     places = places.groupBy("key", "block").agg(F.sort_array(F.collect_set("place")).alias("places"))
     whole = kinds.where("copies > 1").select("key", "block", F.lit(None).cast("array<int>").alias("places"))
@@ -295,7 +299,7 @@ def repeated_windows(docs: DataFrame, stages: Stages) -> DataFrame:
         F.transform("places", lambda p: F.struct((F.col("first") + p).alias("first"), (F.col("first") + p).alias("last")))
     )
     runs = stages.write(hits.select("row", run.alias("run")).groupBy("row").agg(F.flatten(F.collect_list("run")).alias("runs")), "runs")
-    stages.drop("shared", "kinds", "windows")
+    stages.drop("shared", "kinds", "windows", "several", "again")
     return runs
 
 
