@@ -77,7 +77,7 @@ def main() -> int:
     con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = 0
-    for name in sys.argv[2:] or queries:
+    for name in sys.argv[2:] or oracles:
         began = time.time()
         try:
             found = differences(queries[name](spark, sf_dir), con, oracles[name])
