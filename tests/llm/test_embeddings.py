@@ -90,3 +90,28 @@ def test_odd_rows(vectors):
     alone = [(k, 0, k, True) for k in range(4, 13)]
     assert got == [*linked, *alone, (13, 6, 1, False), (14, 6, 1, False), (None, 6, 1, False)]
     assert embeddings.near_duplicates(vectors([])).count() == 0
+
+
+def test_pairs_split_over_shards(vectors, monkeypatch):
+    """The shards nearest to a vector are all far from its only near copy, on both sides."""
+    draw, axis = np.random.default_rng(6), np.eye(48)[0]
+    rows = []
+    for _ in range(300):
+        other = draw.normal(size=48) * (axis == 0)
+        other /= np.linalg.norm(other)
+        rows += [(len(rows) + k, (np.cos(0.17) * other + sign * np.sin(0.17) * axis).tolist(), 0) for k, sign in enumerate((1, -1))]
+    centroids = np.repeat([[1.0], [-1.0]], 4, axis=0) * axis + 0.01 * draw.normal(size=(8, 48))
+    centroids /= np.linalg.norm(centroids, axis=1, keepdims=True)
+    monkeypatch.setattr(embeddings, "sharded", lambda nodes: embeddings.Shards({(0, 48): centroids}))
+    expected = brute(rows)
+    assert {n for n, _, _ in expected.values()} == {1}
+    assert found(embeddings.near_duplicates(vectors(rows))) == expected
+
+
+def test_the_audit_counts_vectors_without_a_found_link(vectors):
+    rows = [(2 * k + j, [math.cos(k / 9 + j / 90), math.sin(k / 9 + j / 90)], 0) for k in range(20) for j in range(2)]
+    nodes = vectors(rows).selectExpr("vec_id AS node", "label", "embedding AS vector", "1L AS copies", "2 AS dimension")
+    truth, enough = embeddings.audited(nodes, 0.9999)
+    assert enough and truth == {k: 1 for k in range(40)}
+    links = nodes.selectExpr("node", "1L AS links")
+    assert embeddings.recall(truth, links) == 1 and embeddings.recall(truth, links.where("node < 30")) == 0.75

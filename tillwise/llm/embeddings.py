@@ -17,9 +17,12 @@ Vectors are compared by cosine in double precision within a label (and dimension
    everything within the link range (and a little below) until nothing new is in range.
    Queries of a part are dealt into blocks of bounded size. Links are only counted towards
    vertices in their home shard, so no link counts twice.
-4. Verification is the cosine of the vectors in double precision. An audit compares the
-   links of AUDIT sampled vectors with brute force over all nodes of their label; where
-   recall is below 0.98, the search is repeated with twice as many shards per query.
+4. Verification is the cosine of the vectors in double precision. An audit finds the true
+   links of a sample of all nodes, found or not, by brute force over their labels. It draws
+   until AUDIT of them have links, at most AUDIT_MOST nodes or AUDIT_BYTES of vectors.
+   Where the search found less than 0.98 of these links, it is repeated with twice as many
+   shards per query. Where links are too rare for AUDIT linked nodes, it is also repeated
+   until twice the shards find at most a fiftieth more links.
 
 No link table leaves a task: a task returns the number of links per query and one edge per
 node to the smallest node it is connected with. Components are found in Spark rounds.
@@ -46,9 +49,9 @@ from tillwise.llm.text import arrow, batch_of
 SHARD, CENTROIDS, SAMPLE_BYTES = 1000, 16_384, 64 << 20
 DEGREE, CANDIDATES, ALPHA = 24, 64, 1.2
 MEDOIDS, BEAM, NEAREST, SLACK = 24, 32, 3, 0.05
-AUDIT, RECALL = 256, 0.98
-#: What a search holds at once.
-NEIGHBOURS_AT_ONCE, PAIRS_AT_ONCE = 1 << 19, 1 << 14
+AUDIT, AUDIT_MOST, AUDIT_BYTES, RECALL = 256, 16_384, 64 << 20, 0.98
+#: What a search or an audit holds at once.
+NEIGHBOURS_AT_ONCE, PAIRS_AT_ONCE, AUDIT_AT_ONCE = 1 << 19, 1 << 14, 1 << 21
 
 
 def usable(vector: Column) -> Column:
@@ -344,36 +347,64 @@ def searched(nodes: DataFrame, shards: Shards, stages: Stages, name: str, least:
     return vertices.unionByName(queries).groupBy(*shard, "part", "block").applyInArrow(_searcher(least), FOUND)
 
 
-def recall(nodes: DataFrame, found: DataFrame, least: float, sample: int = AUDIT) -> float:
-    """The share of the links of a sample of nodes that were found, by brute force."""
+def audited(nodes: DataFrame, least: float) -> tuple[dict[int, int], bool]:
+    """The true links, by brute force, of those of a sample of all nodes that have some, and
+    whether these are AUDIT or more. Nodes are drawn until they are, or up to AUDIT_MOST."""
+    size = nodes.agg(F.count("*"), F.max("dimension")).first()
+    if not size[0]:
+        return {}, True
+    most = max(min(AUDIT_MOST, AUDIT_BYTES // (8 * size[1])), AUDIT)
     draw = F.xxhash64(F.lit(21), "node")
-    asked = nodes.join(found, "node").orderBy(draw).limit(sample).select("node", "label", "dimension", "vector", "links").toArrow()
-    if not asked.num_rows:
-        return 1.0
-    groups = {}
-    for k, key in enumerate(zip(asked.column("label").to_pylist(), asked.column("dimension").to_pylist())):
+    sample = min(4 * AUDIT, most)
+    while True:
+        asked = nodes.orderBy(draw).limit(sample).select("node", "label", "dimension", "vector").toArrow()
+        truth = _true_links(nodes, asked, least)
+        if len(truth) >= AUDIT or sample >= size[0]:
+            return truth, True
+        if sample >= most:
+            return truth, False
+        sample = min(4 * sample, most)
+
+
+def _groups(table: pa.Table | pa.RecordBatch) -> dict[tuple, list[int]]:
+    groups: dict[tuple, list[int]] = {}
+    for k, key in enumerate(zip(table.column("label").to_pylist(), table.column("dimension").to_pylist())):
         groups.setdefault(key, []).append(k)
-    parts = {key: (np.array(rows), asked.column("node").to_numpy()[rows], matrix(asked.take(pa.array(rows)).column("vector"))) for key, rows in groups.items()}
-    schema = "place int, n long"
+    return groups
+
+
+def _true_links(nodes: DataFrame, asked: pa.Table, least: float) -> dict[int, int]:
+    """node and links of the asked nodes that have links, by brute force."""
+    parts = {key: (asked.column("node").to_numpy()[rows], matrix(asked.take(pa.array(rows)).column("vector"))) for key, rows in _groups(asked).items()}
+    schema = "node long, n long"
     out, shared = arrow(schema), nodes.sparkSession.sparkContext.broadcast(parts)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(asked_rows, np.int64)
+        n = {key: np.zeros(len(node), np.int64) for key, (node, _) in shared.value.items()}
         for batch in batches:
-            keys = list(zip(batch.column("label").to_pylist(), batch.column("dimension").to_pylist()))
-            for key, (rows, node, x) in shared.value.items():
-                mine = [k for k, other in enumerate(keys) if other == key]
-                if mine:
-                    some = batch.take(pa.array(mine))
+            for key, rows in _groups(batch).items():
+                if key not in n:
+                    continue
+                node, x = shared.value[key]
+                step = max(AUDIT_AT_ONCE // len(node), 1)
+                for first in range(0, len(rows), step):
+                    some = batch.take(pa.array(rows[first : first + step]))
                     hit = (x @ matrix(some.column("vector")).T >= least) & (node[:, None] != some.column("node").to_numpy()[None, :])
-                    n[rows] += hit @ some.column("copies").to_numpy()
-        yield batch_of(out, place=np.arange(asked_rows), n=n)
+                    n[key] += hit @ some.column("copies").to_numpy()
+        for key, links in n.items():
+            if links.any():
+                yield batch_of(out, node=shared.value[key][0][links > 0], n=links[links > 0])
 
-    asked_rows = asked.num_rows
-    truth = dict(nodes.mapInArrow(count, schema).groupBy("place").agg(F.sum("n")).collect())
-    links = asked.column("links").to_numpy()
-    total = sum(truth.values())
-    return float(sum(min(truth[k], links[k]) for k in range(asked_rows)) / total) if total else 1.0
+    return dict(nodes.mapInArrow(count, schema).groupBy("node").agg(F.sum("n")).collect())
+
+
+def recall(truth: dict[int, int], found: DataFrame) -> float:
+    """The share of the true links that were found; nodes without a found link count 0."""
+    if not truth:
+        return 1.0
+    asked = found.sparkSession.createDataFrame([(k,) for k in truth], "node long")
+    links = dict(found.join(asked, "node").select("node", "links").collect())
+    return sum(min(n, links.get(k, 0)) for k, n in truth.items()) / sum(truth.values())
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -391,11 +422,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_
     shards, nearest = sharded(nodes), NEAREST
     widest = max((len(c) for c in shards.centroids.values()), default=1)
     slim = nodes.select("node", "copies", "label", "dimension", "vector")
+    truth, enough = audited(slim, least) if nearest < widest else ({}, True)
+    before = -1
     while True:
         found = stages.write(searched(slim, shards, stages, f"search-{nearest}", least, nearest), f"found-{nearest}")
         links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        if nearest >= widest or recall(slim, links, least) >= RECALL:
+        if nearest >= widest:
             break
+        if recall(truth, links) >= RECALL:
+            now = 0 if enough else links.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
+            if enough or before >= RECALL * now:
+                break
+            before = now
         nearest *= 2
     joined = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), stages)
     named = nodes.select("h1", "h2", "node", "copies", "first").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
