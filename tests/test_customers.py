@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import dicts, rows
-from tillwise import Filters, Period
+from tillwise import Filters, Period, registry
 from tillwise.operators.shaping import values_of
 from tillwise.plans import customers, enrichment
 
@@ -224,3 +224,10 @@ def test_tier_assignment_and_update(store):
         (2, "Silver"),
         (3, "Gold"),
     ]
+
+
+def test_the_tier_update_reaches_every_customer(store):
+    keys = range(1, 22)
+    s = store(customers=[customer(k) for k in keys], orders=[order(k, "2024-02-01", 50000) for k in keys if k % 2])
+    got = {r.customer_id: r.tier for r in registry.PLANS["tier_update"](s).collect()}
+    assert got == {k: "Platinum" if k % 2 else "Bronze" for k in keys}

@@ -51,12 +51,10 @@ def _trend_alerts(store: OpsStore) -> DataFrame:
 
 
 def _tier_update(store: OpsStore) -> DataFrame:
-    # The stored tiers differ from the earned ones for customers with and without spend;
-    # every seventh customer gets no update and keeps the stored one.
+    # The stored tiers differ from the earned ones for customers with and without spend.
     stored = F.element_at(F.array(*map(F.lit, TIERS)), (F.col("customer_id") % 4 + 1).cast("int"))
     base = store.customers("customer_id", "full_name", "segment").withColumn("tier", stored)
-    earned = enrichment.tier_assignment(store).where("customer_id % 7 <> 3")
-    return enrichment.updated(base, earned, "customer_id", "tier")
+    return enrichment.updated(base, enrichment.tier_assignment(store), "customer_id", "tier")
 
 
 def _explore_orders(store: OpsStore) -> DataFrame:
