@@ -52,3 +52,33 @@ def test_extracted(spark):
     assert got[1].text == f"Title\n\n{A}\n\n{B}" and got[1].n_chars == len(got[1].text)
     assert (got[None].text, got[2].text) == ("", "") and got[3].text.count(A) == 5000
     assert extracted(pages).count() == 5 and extracted(pages.limit(0)).count() == 0
+
+
+WHOLE = {
+    "named wrapper": (f"<div class='layout has-sidebar'><div class=sidebar>menu</div><article><p>{A}</p><p>{B}</p></article></div>", [A, B]),
+    "named wrapper without article": (f"<body><div class=menu>m</div><div class='content-with-sidebar'><p>{A}</p><p>{B}</p></div></body>", [A, B]),
+    "wrapper and comments": (
+        f"<div class='post hasComments'><article><p>{A}</p></article><div class=comments><div class=comment><p>{B}</p></div></div></div>",
+        [A],
+    ),
+    "long comments": (f"<article><p>{A}</p><p>{A}</p></article><div class=comments>{f'<p>{B}</p>' * 4}</div>", [A, A]),
+    "named beside a teaser": (f"<body><article><p>{A}</p></article><div class='post social'><p>{A}</p><p>{B}</p></div></body>", [A, A, B]),
+    "named inline": (f"<article><p>{A} <span class=share>Share</span>{B}</p></article>", [f"{A} {B}"]),
+    "nested names": (f"<div class='page-header-wrap'><div id=widget-area><p>{A}</p><p>{B}</p></div></div>", [A, B]),
+    "short later sections": (f"<body><section>{f'<p>{A}</p>' * 12}</section><section><p>{B}</p></section><section><p>Short.</p></section></body>", [*[A] * 12, B, "Short."]),
+    "math": ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding=tex>x=1</annotation></math> holds.</p></article>", ["So x=1 holds."]),
+    "long attribute": (f"<article><p data-x=\"{'a>b ' * 5000}\">{A}</p></article>", [A]),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_articles(name):
+    source, blocks = WHOLE[name]
+    assert main_text(source) == "\n\n".join(blocks)
+
+
+def test_pages_with_many_names_and_quotes_end_in_time():
+    began = time.process_time()
+    for unit in ("<div class=menu>x", "<a \">\"", "<a '>\"", "<p class=ad>x, y</p>"):
+        main_text(unit * 5_000)
+    assert time.process_time() - began < 60

@@ -4,9 +4,12 @@ A page is read into elements and blocks of text. Each block gives points to the
 above it: 1, plus 1 per comma, plus 1 per 100 characters up to 3, all of it times the share
 of its characters outside links. Its own container gets all of them, the next one half, the
 n-th 1 / n. The container with the most points is the article; an enclosing <article> or
-<main> takes its place. Its siblings are kept if they have a fifth of its points and few
-links. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out by element, role or name before scoring.
+<main> takes its place. Its siblings with few links are kept if they have a fifth of its
+points or enough text: 80 characters, or a sentence without links. Menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by
+element, role or name before scoring. A name alone never leaves out what holds the page's
+<main> or foremost <article>, nor an element with most of the page's points (comments only
+where there is no article): a page with such names is read twice, first for these points.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by an empty line in page order. Unclosed and stray tags, comments and
@@ -32,7 +35,7 @@ from tillwise.llm.text import arrow, batch_of, chunks
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg object annotation annotation-xml".split())
 OUT = frozenset("head nav header footer aside form button select dialog menu canvas audio video".split()) | RAW
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -40,6 +43,7 @@ BLOCK = frozenset(
 )
 CELL = frozenset(("td", "th", "br"))
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+SENTENCE_ENDS = tuple(".!?…。！？")
 #: What a start tag closes, if it is open up to the nearest of the elements named last.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -61,12 +65,18 @@ NAMES = frozenset(
 EXEMPT = HEADING | frozenset(("html", "body", "main"))
 COMMENT_NAMES = frozenset(("comment", "comments", "replies"))
 
-TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
-    re.DOTALL,
-)
+def _token(quoted: str) -> re.Pattern:
+    return re.compile(
+        r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
+        rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]{quoted}+\"|'[^']{quoted}+')*+)>"
+        r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
+        re.DOTALL,
+    )
+
+
+#: Quotes are read to their end, whatever their length, until UNENDED tags of a page turned
+#: out to have one that does not end; then for 8,192 characters, so that time stays linear.
+TOKEN, SHORT_TOKEN, UNENDED = _token("*"), _token("{0,8192}"), 64
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -75,12 +85,13 @@ UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 class Element:
     """An open or closed element: `out` if it or one above it is left out."""
 
-    __slots__ = ("tag", "above", "out", "points", "size", "linked", "depth")
+    __slots__ = ("tag", "above", "out", "points", "size", "linked", "depth", "number")
 
     def __init__(self, tag: str, above: Element | None, out: bool) -> None:
         self.tag, self.above, self.out = tag, above, out
         self.points, self.size, self.linked = 0.0, 0, 0
         self.depth = above.depth + 1 if above else 0
+        self.number = 0
 
 
 class Block(NamedTuple):
@@ -89,36 +100,42 @@ class Block(NamedTuple):
     place: Element
 
 
-def left_out(tag: str, rest: str, above: Element) -> bool:
+def left_out(tag: str, rest: str) -> str:
+    """Why an element is left out: "kind" for its element, role or style, "comment" or
+    "name" for its class or id, or ""."""
     if tag in OUT:
-        return True
+        return "kind"
     if not rest or rest.isspace():
-        return False
+        return ""
+    why = ""
     for name, *values in ATTRIBUTE.findall(rest):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id") and tag not in EXEMPT:
             parts = {p.lower() for p in NAME_PART.findall(value)}
             if parts & (COMMENT_NAMES if tag == "article" else NAMES):
-                return True
+                why = "comment" if parts & COMMENT_NAMES else why or "name"
         elif name == "role" and value.lower() in ROLES:
-            return True
+            return "kind"
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
-            return True
-    return False
+            return "kind"
+    return why
 
 
 class Page:
-    """Reads a page into blocks."""
+    """Reads a page into blocks. Without `kept`, named elements are read as well and
+    collected in `named` (number and left_out); with it, only those it has are read."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, kept: set[int] | None = None) -> None:
         self.here = Element("", None, False)
+        self.kept, self.started = kept, 0
+        self.named: dict[int, str] = {}
         self.open: dict[str, int] = {}
         self.links, self.blocks = 0, []
         self.parts: list[str] = []
         self.linked = 0
-        at, size = 0, len(source)
+        at, size, unended = 0, len(source), 0
         while at < size:
-            token = TOKEN.search(source, at)
+            token = (TOKEN if unended < UNENDED else SHORT_TOKEN).search(source, at)
             self.text(source[at : token.start() if token else size])
             if not token:
                 break
@@ -126,6 +143,7 @@ class Page:
             tag = (token["tag"] or token["tag2"] or "").lower()
             if not tag:
                 continue
+            unended += token["tag2"] is not None
             if token["end"] or token["end2"]:
                 self.close(tag)
             else:
@@ -159,6 +177,8 @@ class Page:
 
     def pop(self) -> str:
         gone = self.here
+        if gone.number in self.named:
+            self.flush()
         self.open[gone.tag] -= 1
         self.links -= gone.tag == "a"
         self.here = gone.above
@@ -174,7 +194,16 @@ class Page:
         if tag in CLOSES:
             self.close_up(*CLOSES[tag])
         if tag not in VOID:
-            self.push(Element(tag, self.here, self.here.out or left_out(tag, rest, self.here)))
+            self.started += 1
+            element = Element(tag, self.here, self.here.out)
+            element.number = self.started
+            why = "" if element.out else left_out(tag, rest)
+            if why in ("name", "comment") and self.kept is None:
+                self.flush()
+                self.named[element.number] = why
+            elif why:
+                element.out = why == "kind" or element.number not in self.kept
+            self.push(element)
 
     def close_up(self, tags: tuple[str, ...], until: tuple[str, ...]) -> None:
         """Close the outermost open element of `tags` inside the nearest of `until`."""
@@ -213,12 +242,42 @@ def container(element: Element) -> Element:
     return element
 
 
+def points_of(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
+def worth_keeping(page: Page) -> set[int]:
+    """The numbers of the named elements that stay: those with most of the page's points, and
+    those around its <main> or <article> with the most points, if it has a fifth of all.
+    Comments stay for their points only on a page without such."""
+    points: dict[Element, float] = {}
+    total = 0.0
+    for text, linked, place in page.blocks:
+        gain, element = points_of(text, linked), place
+        total += gain
+        while element and element not in points:
+            points[element] = 0.0
+            element = element.above
+        points[place] += gain
+    for element in sorted(points, key=lambda e: -e.depth):
+        if element.above:
+            points[element.above] += points[element]
+    named = [e for e in points if e.number in page.named]
+    articles = [e for e in points if e.tag in ("article", "main") and e.number not in page.named and 5 * points[e] >= total]
+    kept = {e.number for e in named if 2 * points[e] > total and not (articles and page.named[e.number] == "comment")}
+    element = max(articles, key=lambda e: (points[e], -e.number)) if articles else None
+    while element:
+        kept.add(element.number)
+        element = element.above
+    return kept
+
+
 def score(blocks: list[Block]) -> list[Element]:
     """Give points to all elements above the blocks; those that got some, in page order."""
     seen: dict[int, Element] = {}
     for text, linked, place in blocks:
         size = len(text)
-        points = (1 + text.count(",") + min(size / 100, 3)) * (1 - linked / size)
+        points = points_of(text, linked)
         own = container(place)
         element, n = own.above if own.above and own.tag in ("p", "pre", "li", "blockquote", *HEADING) else own, 0
         if element is not own:
@@ -237,7 +296,10 @@ def score(blocks: list[Block]) -> list[Element]:
 
 def main_text(source: str | None) -> str:
     """The page's main text."""
-    blocks = Page(source or "").blocks
+    page = Page(source or "")
+    if page.named:
+        page = Page(source or "", worth_keeping(page))
+    blocks = page.blocks
     if not blocks:
         return ""
     elements = score(blocks)
@@ -249,9 +311,17 @@ def main_text(source: str | None) -> str:
             best = element
         element = element.above if element.tag != "article" else None
     kept = {id(best)}
+    last = {}
+    for text, _, place in blocks:
+        element = place
+        while element and element.above is not best.above:
+            element = element.above
+        last[id(element)] = text
     for other in elements:
-        if other.above is best.above and other.points >= 0.2 * best.points and 3 * other.linked < other.size:
-            kept.add(id(other))
+        if other.above is best.above and 3 * other.linked < other.size:
+            sentence = not other.linked and last.get(id(other), "").endswith(SENTENCE_ENDS)
+            if other.points >= 0.2 * best.points or other.size >= 80 or sentence:
+                kept.add(id(other))
     return "\n\n".join(b.text for b in blocks if inside(b.place, kept))
 
 
