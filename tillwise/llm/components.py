@@ -42,7 +42,6 @@ def _starred(edges: DataFrame, stages: Stages, name: str) -> DataFrame:
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
-    """The number of edges and a sum that tells whether they changed."""
-    mark = F.xxhash64("u", "v").bitwiseAND((1 << 40) - 1)
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(mark), F.lit(0))).first()
+    """The number of edges and a mark that tells whether they changed, for any number of them."""
+    row = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
     return row[0], row[1]
