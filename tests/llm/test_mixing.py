@@ -50,6 +50,17 @@ def test_large_budgets_are_met(seed):
     assert abs((lengths * taken).sum() - goal) <= 1
 
 
+@pytest.mark.parametrize("lengths", [range(1000, 4000), range(1, 401), [*range(1, 2000), 300_000, 900_000]])
+def test_single_lengths_have_their_share(lengths):
+    lengths = np.array(lengths)
+    for share in (0.3, 0.5, 0.8):
+        goal = round(lengths.sum() * share)
+        taken = mixing.fitted(lengths, np.ones(len(lengths), int), goal)
+        assert set(taken.tolist()) <= {0, 1} and abs((lengths * taken).sum() - goal) <= 1
+        if lengths[-1] < 5000:
+            assert (lengths * taken).sum() / taken.sum() == pytest.approx(lengths.mean(), rel=0.06)
+
+
 def corpus():
     draw = random.Random(6)
     rows = []

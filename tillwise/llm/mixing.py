@@ -8,11 +8,14 @@ min(weight * level, cap), found from running sums over the sources.
 Choice. A source first gives all its documents as often as its target allows whole
 (0, 1 or 2 times). For the rest of the budget its documents are counted by exact length:
 
-1. of each length, the share of the documents that the rest is of the source;
-2. what is still missing is filled with single documents, the longest first, down to
-   DP_WORDS words;
-3. a bounded-knapsack dynamic program over the lengths left chooses the reachable sum that
-   is nearest to the last rest (of two equally near, the lower).
+1. of all lengths alike, the share of the documents that the rest is of the source, but for
+   SLACK times its longest document (DP_WORDS words at most). What rounding leaves of a
+   length is carried on to the next ones, from a seeded start, so that lengths with a single
+   document have their share too;
+2. where documents are longer than DP_WORDS, single ones in a seeded order bring the last
+   rest between 0 and 2 * DP_WORDS words;
+3. a bounded-knapsack dynamic program over the lengths left, in a seeded order, chooses the
+   reachable sum that is nearest to the last rest (of two equally near, the lower).
 
 This runs as one small group per source whose rows are lengths, not documents. How many of
 a length are taken decides the documents: the first ones by a seeded hash of doc_id. Each
@@ -37,7 +40,7 @@ from tillwise.llm.staging import Stages
 from tillwise.llm.text import WORD_PATTERN
 
 WEIGHTS = (3, 1, 2)
-DP_WORDS = 1 << 16
+DP_WORDS, SLACK = 1 << 16, 8
 
 
 def size(text: Column) -> Column:
@@ -89,21 +92,31 @@ def nearest_sum(lengths: list[int], counts: list[int], goal: int) -> list[int]:
     return taken
 
 
-def fitted(lengths: np.ndarray, counts: np.ndarray, goal: float) -> np.ndarray:
+def fitted(lengths: np.ndarray, counts: np.ndarray, goal: float, seed: int = 7) -> np.ndarray:
     """How many documents of each length (positive, rising) to take once, for a sum near
     the goal."""
     total = int((lengths * counts).sum())
     goal = min(max(round(goal), 0), total)
-    taken = np.array([int(c) * goal // total if total else 0 for c in counts], np.int64)
+    if not total:
+        return np.zeros(len(lengths), np.int64)
+    draw = np.random.default_rng(seed)
+    kept_back = min(DP_WORDS, SLACK * int(lengths.max()))
+    upto = np.floor(np.cumsum(counts) * (max(goal - kept_back, 0) / total) + draw.random()).astype(np.int64)
+    taken = np.minimum(np.diff(upto, prepend=0), counts)
     rest = goal - int((lengths * taken).sum())
-    for k in range(len(lengths) - 1, -1, -1):
-        if rest <= DP_WORDS:
+    order = draw.permutation(len(lengths))
+    for k in (*order, *order):
+        length = int(lengths[k])
+        if rest < 0:
+            n = -min(int(taken[k]), -(rest // length))
+        elif rest > 2 * DP_WORDS:
+            n = min(int(counts[k] - taken[k]), (rest - DP_WORDS) // length)
+        else:
             break
-        n = min(int(counts[k] - taken[k]), (rest - DP_WORDS + int(lengths[k]) - 1) // int(lengths[k]), rest // int(lengths[k]))
         taken[k] += n
-        rest -= n * int(lengths[k])
+        rest -= n * length
     left = counts - taken
-    fits = np.flatnonzero((left > 0) & (lengths <= 2 * rest))
+    fits = order[(left[order] > 0) & (lengths[order] <= 2 * rest)]
     taken[fits] += np.array(nearest_sum(lengths[fits].tolist(), left[fits].tolist(), rest), np.int64).reshape(-1)
     return taken
 
