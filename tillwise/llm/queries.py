@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.llm import decontamination, embeddings, extraction, language, mixing, near_duplicates, personal_data, quality, recompression, toxicity
+from tillwise.llm import (
+    decontamination,
+    embeddings,
+    extraction,
+    language,
+    manifest,
+    mixing,
+    near_duplicates,
+    personal_data,
+    quality,
+    recompression,
+    toxicity,
+)
 from tillwise.llm.learning import fold
 from tillwise.llm.staging import ship
 
@@ -72,6 +84,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", (split == 0).alias("held_out"), "score", predicted())
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.proved(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -83,5 +99,6 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op13_manifest": op13_manifest,
 }
 SQL: dict[str, str] = {}
