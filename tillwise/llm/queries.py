@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import (
+    conversations,
     decontamination,
     embeddings,
     extraction,
@@ -18,6 +19,7 @@ from tillwise.llm import (
     personal_data,
     quality,
     recompression,
+    secret_scan,
     toxicity,
 )
 from tillwise.llm.learning import fold
@@ -84,6 +86,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", (split == 0).alias("held_out"), "score", predicted())
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scanned(docs, secret_scan.fit(docs))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.proved(table(spark, sf_dir, "documents"))
 
@@ -99,6 +110,8 @@ QUERIES: dict[str, Query] = {
     "op8_language": op8_language,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_secrets": op11_secrets,
+    "op12_conversations": op12_conversations,
     "op13_manifest": op13_manifest,
 }
 SQL: dict[str, str] = {}
