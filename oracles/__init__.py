@@ -9,6 +9,26 @@ from pathlib import Path
 
 HERE = Path(__file__).resolve().parent
 
+# The bounds of the test data, which name the columns of the pivoted
+# results. A statement cannot be a view with columns that depend on the data;
+# tests/test_oracles.py compares them with the data.
+YEARS = (1995, 2001)
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+FIRST_ORDER, LAST_ORDER = (1995, 1), (2001, 8)
+FIRST_JOIN, LAST_JOIN = (1995, 1), (2000, 12)
+
+
+def _months(later: tuple[int, int], earlier: tuple[int, int]) -> int:
+    return 12 * (later[0] - earlier[0]) + later[1] - earlier[1]
+
+
+PERIODS = range(_months(FIRST_ORDER, LAST_JOIN), _months(LAST_ORDER, FIRST_JOIN) + 1)
+COLUMNS = {
+    "{years}": [str(year) for year in range(YEARS[0], YEARS[1] + 1)],
+    "{segments}": SEGMENTS,
+    "{periods}": [f"M+{k}" for k in PERIODS],
+}
+
 
 def _uncommented(text: str) -> str:
     """Without the comment lines at its head."""
@@ -18,6 +38,7 @@ def _uncommented(text: str) -> str:
 def load_oracles() -> dict[str, str]:
     tables = (HERE / "_tables.sql").read_text()
     shared = {f"{{{name}}}": _uncommented((HERE / f"_{name}.sql").read_text()).strip() for name in ("alerts", "texts")}
+    shared |= {mark: ", ".join(f"'{column}'" for column in columns) for mark, columns in COLUMNS.items()}
     oracles = {}
     for path in sorted(HERE.glob("[!_]*.sql")):
         body = path.read_text()

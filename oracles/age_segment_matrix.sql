@@ -5,4 +5,4 @@ WITH cells AS (
   LEFT JOIN ops_customers c ON c.age_group = a.age_group AND c.segment = s.segment
   GROUP BY ALL
 )
-SELECT * FROM (PIVOT cells ON segment USING max(customers) GROUP BY age_group)
+SELECT * FROM (PIVOT cells ON segment IN ({segments}) USING max(customers) GROUP BY age_group)

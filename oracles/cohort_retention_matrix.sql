@@ -40,4 +40,4 @@ cells AS (
               WHEN CAST(floor(y) AS BIGINT) % 2 = 0 THEN floor(y) ELSE floor(y) + 1 END / CAST(10 AS DOUBLE) AS shown
   FROM scaled
 )
-SELECT * FROM (PIVOT cells ON label USING max(shown) GROUP BY cohort)
+SELECT * FROM (PIVOT cells ON label IN ({periods}) USING max(shown) GROUP BY cohort)

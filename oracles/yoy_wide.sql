@@ -12,4 +12,4 @@ cells AS (
   LEFT JOIN monthly ON monthly.month_num = m.month_num AND CAST(monthly.y AS VARCHAR) = years.label
   GROUP BY ALL
 )
-SELECT * FROM (PIVOT cells ON label USING max(revenue) GROUP BY month_num, month)
+SELECT * FROM (PIVOT cells ON label IN ({years}) USING max(revenue) GROUP BY month_num, month)

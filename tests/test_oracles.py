@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, differences
+import oracles
 from oracles import load_oracles
 from tillwise import registry
 
@@ -22,6 +23,27 @@ def test_each_query_has_a_statement():
     assert set(registry.PLANS) == set(load_oracles())
 
 
+def test_pivoted_columns_are_those_of_the_data(con):
+    """The statements name their columns; these are the bounds of the data."""
+    tables = (oracles.HERE / "_tables.sql").read_text()
+    month = "12 * year({0}) + month({0})"
+    settled = "FROM ops_orders WHERE order_status NOT IN ('Cancelled', 'Processing')"
+    found = con.execute(
+        f"""WITH {tables}
+        SELECT (SELECT [min(year(order_date)), max(year(order_date))] FROM ops_orders),
+               (SELECT list(DISTINCT segment ORDER BY segment) FROM ops_customers),
+               (SELECT min({month.format("order_date")}) {settled}) - max({month.format("join_date")}),
+               (SELECT max({month.format("order_date")}) {settled}) - min({month.format("join_date")})
+        FROM ops_customers"""
+    ).fetchone()
+    assert found == (list(oracles.YEARS), list(oracles.SEGMENTS), oracles.PERIODS[0], oracles.PERIODS[-1])
+
+
+def test_statements_can_be_views(con):
+    for name, sql in load_oracles().items():
+        con.execute(f"CREATE OR REPLACE TEMP VIEW checked_{name} AS {sql}")
+
+
 @pytest.mark.parametrize("name", registry.PLANS)
 def test_query_equals_its_statement(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
