@@ -63,3 +63,13 @@ def test_clusters_are_unit_vectors():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert np.allclose(np.linalg.norm(language.clustered(x, 4), axis=1), 1, atol=1e-5)
     assert len(language.clustered(x[:2], 4)) == 2
+
+
+def test_every_language_is_learned(documents):
+    """Also rare ones beside a common one, and more than a few hundred."""
+    rows = [(k, f"aa bb cc {k}", "common") for k in range(1500)]
+    rows += [(10_000 + k, f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} text", f"l{k:03}") for k in range(300)]
+    model = language.fit(documents(rows))
+    assert len(model.names) == 301
+    asked = documents([(1, f"{chr(0x4E00 + 7)}{chr(0x4E00 + 7)}"), (2, "aa bb cc")])
+    assert {r.doc_id: r.lang_pred for r in language.identified(asked, model).collect()} == {1: "l007", 2: "common"}

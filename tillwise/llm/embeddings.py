@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.components import components
+from tillwise.llm.learning import unit
 from tillwise.llm.staging import Stages
 from tillwise.llm.text import arrow, batch_of
 
@@ -215,8 +216,8 @@ def sharded(nodes: DataFrame) -> Shards:
         return Shards({})
     most = max(SAMPLE_BYTES // (8 * max(r.dimension for r in large)), 1)
     total = sum(r.n for r in large)
-    draw = F.pmod(F.xxhash64(F.lit(9), "node"), F.lit(1 << 20))
-    some = nodes.where(draw < int(min(1.0, most / total) * (1 << 20)))
+    draw = unit(F.col("node"), seed=9)
+    some = nodes.where(draw < most / total) if most < total else nodes
     some = some.join(F.broadcast(nodes.sparkSession.createDataFrame([(r.label, r.dimension) for r in large], _of(nodes, "label", "dimension"))), ["label", "dimension"])
     some = some.orderBy(draw, "node").limit(most).select("label", "dimension", "vector").toArrow()
     out, share = {}, min(1.0, CENTROIDS / 2 / max(total / SHARD, 1))

@@ -4,14 +4,17 @@ A text's vector counts its n-grams of 1 to 3 bytes of UTF-8, ASCII letters folde
 other ASCII character read as a space, hashed to DIMENSIONS places; counts enter as
 1 + ln(count), times the inverse document frequency, at length 1. Document frequencies come
 from all learnable documents. A language has CENTROIDS centroids, from spherical k-means
-over a bounded sample of its documents. A text gets the language of the centroid with the
+over a sample of about SAMPLE of its documents (repeated rows being one), found in a task
+each. A text gets the language of the centroid with the
 highest cosine; it is rejected if that cosine is below the language's limit, half of the
 cosine that 99 % of its sample reach.
 
 Null texts and texts without a letter are "und" with score 0, as is everything if nothing
 could be learned. Texts are read whole. Rows with a null language teach nothing; repeated
-rows count as often as they occur; of equal cosines the first language by name wins. At most
-LANGUAGES languages (the commonest) are learned. Nothing but sums of vectors is shuffled.
+rows count as often as they occur in the document frequencies; of equal cosines the first
+language by name wins; empty texts have no letter. Every language is learned: the model has
+a few vectors for each. Only sums of vectors and the samples' vectors are shuffled. Columns
+other than those named are not looked at; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.llm.learning import unit
 from tillwise.llm.text import arrow, batch_of, chunks, utf8
 
 DIMENSIONS = 4096
 SIZES = (1, 2, 3)
 CENTROIDS = 4
-LANGUAGES, SAMPLE, SAMPLE_ALL = 200, 600, 4000
+#: Documents of a language to learn from, about.
+SAMPLE = 600
 UNKNOWN = "und"
 
 FOLDED = np.full(256, 32, np.uint64)
@@ -119,23 +124,47 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """Centroids of the languages of the documents with a text and a language."""
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not counts:
         none = np.zeros((0, DIMENSIONS), np.float32)
         return Languages([], none, np.zeros(0, int), np.zeros(0), np.ones(DIMENSIONS, np.float32))
     idf = frequencies(rows.select("text"))
-    each = min(SAMPLE, max(SAMPLE_ALL // len(counts), CENTROIDS))
-    draw = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 20))
-    share = F.create_map([F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, each / n) * (1 << 20)))])
-    some = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0))).orderBy(draw, "id", "lang", "text").limit(2 * SAMPLE_ALL).toArrow()
-    if not some.num_rows:
-        some = rows.limit(CENTROIDS).toArrow()
-    lang_of = np.array(some.column("lang").to_pylist())
-    x = np.concatenate([vectors(b.column("text"), idf) for b in chunks(some.to_batches(), "text")])
-    names = sorted(set(lang_of.tolist()))
-    sets = [clustered(x[lang_of == name], CENTROIDS) for name in names]
-    limits = [0.5 * np.quantile((x[lang_of == name] @ c.T).max(1), 0.01) for name, c in zip(names, sets)]
-    return Languages(names, np.concatenate(sets), np.repeat(np.arange(len(names)), [len(c) for c in sets]), np.array(limits), idf)
+    draw = unit(F.col("id"), F.col("text"), seed=5)
+    share = F.create_map([F.lit(v) for lang, n in counts.items() for v in (lang, 2.0 if n <= SAMPLE else SAMPLE / n)])
+    some = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).dropDuplicates(["lang", "draw"])
+    found = some.select("lang", "draw", "text").mapInArrow(_measured(arrow(VECTORS), idf), VECTORS)
+    found = found.groupBy("lang").applyInArrow(_centroids(arrow(CENTRES)), CENTRES).orderBy("lang").toArrow()
+    names = found.column("lang").to_pylist()
+    sets = [np.frombuffer(x, np.float32).reshape(-1, DIMENSIONS) for x in found.column("centroids").to_pylist()]
+    owner = np.repeat(np.arange(len(names)), [len(c) for c in sets])
+    return Languages(names, np.concatenate(sets), owner, found.column("least").to_numpy(), idf)
+
+
+VECTORS = "lang string, draw double, vector binary"
+CENTRES = "lang string, least double, centroids binary"
+
+
+def _measured(schema: pa.Schema, idf: np.ndarray):
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            x = vectors(batch.column("text"), idf)
+            yield batch_of(schema, lang=batch.column("lang"), draw=batch.column("draw"), vector=[row.tobytes() for row in x])
+
+    return measure
+
+
+def _centroids(schema: pa.Schema):
+    """One language's centroids and limit, from its sample."""
+
+    def find(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("draw")
+        x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
+        centroids = clustered(x, CENTROIDS).astype(np.float32)
+        least = 0.5 * float(np.quantile((x @ centroids.T).max(1), 0.01))
+        found = batch_of(schema, lang=[rows.column("lang")[0].as_py()], least=[least], centroids=[centroids.tobytes()])
+        return pa.Table.from_batches([found])
+
+    return find
 
 
 def identified(docs: DataFrame, model: Languages, reject: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,9 +11,18 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def unit(*keys: Column, seed: int) -> Column:
+    """A draw from 0 to 1 by the 64-bit hash of the keys: the same on every run, and fine
+    enough that a sample of any table has its share."""
+    return F.xxhash64(F.lit(seed), *keys).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+
+
 def bounded_sample(rows: DataFrame, key: Column, most: int, seed: int = 7) -> DataFrame:
-    """At most `most` rows, picked by a hash of `key`: the same rows on every run, whatever
-    the partitioning. All rows if there are no more than that."""
+    """All rows if there are at most `most`; else 0.9 * most of them on average, picked by a
+    hash of `key`, rows of one key being one: the same rows on every run, whatever the
+    partitioning."""
     n = rows.count()
-    share = 1.0 if n <= most else 0.9 * most / n
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20)) < int(share * (1 << 20))).limit(most)
+    if n <= most:
+        return rows
+    drawn = rows.withColumn("sample draw", unit(key, seed=seed)).where(F.col("sample draw") < 0.9 * most / n)
+    return drawn.dropDuplicates(["sample draw"]).drop("sample draw")

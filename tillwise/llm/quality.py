@@ -2,7 +2,8 @@
 
 Statistics come from the bytes of whole texts, many documents at once; scoring sends the
 matrix of a chunk down the flattened trees level by level. Trees are fitted in the driver
-on at most SAMPLE labelled rows, picked by a hash; scoring shuffles nothing.
+on the statistics of about SAMPLE labelled rows at most, picked by a hash; scoring shuffles
+nothing.
 
 Null and empty texts have the statistics of an empty text and are scored like any other.
 Very long texts are scored whole. Documents with several label rows learn from each; label
@@ -118,11 +119,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, doc_id: s
     """Trees for the 0/1 column `label` of `labels`, learned from the documents for which
     `learn` holds."""
     rows = labelled(docs.where(learn), labels, label, doc_id, text)
-    found = rows.transform(bounded_sample, F.col("id"), sample).toArrow()
+    schema = "y int, x array<double>"
+    out = arrow(schema)
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            yield batch_of(out, y=batch.column("y"), x=list(statistics(batch.column("text"))))
+
+    # the texts stay in the tasks, the driver gets rows of one size
+    rows = rows.transform(bounded_sample, F.xxhash64("id", "text", "y"), sample).select("text", "y")
+    found = rows.mapInArrow(measure, schema).toArrow()
     y = found.column("y").to_numpy().astype(float)
-    pieces = [statistics(b.column("text")) for b in chunks(found.to_batches(), "text")]
-    x = np.concatenate(pieces) if pieces else np.zeros((0, 1))
-    order = np.lexsort(x.T)  # so that the fit doesn't depend on the order of the rows
+    x = np.array(found.column("x").to_pylist()) if found.num_rows else np.zeros((0, 1))
+    order = np.lexsort((y, *x.T))  # so that the fit doesn't depend on the order of the rows
     return trees.fit(x[order], y[order])
 
 

@@ -12,9 +12,10 @@ few clean ones that chance is ruled out at the 1 % level over all features; all
 tokens are clean. Features that say nothing about the token's label (by a likelihood ratio
 test) get no weight. The field is then fitted to the labelled sentences by the likelihood,
 with exact forward-backward gradients, and a logistic curve from a document's marginals to
-its label. The driver does this on at most SAMPLE labelled documents, picked by a hash, and
-at most SENTENCES of their sentences, those without toxic tokens weighing as many as they
-stand for.
+its label. This is done on about SAMPLE labelled documents at most, picked by a hash. Tasks
+count their features and find their sentences; the driver fits the field to about SENTENCES
+of them, those without toxic tokens weighing as many as they stand for, and longer ones than
+LONGEST tokens in pieces.
 
 Scoring. Forward-backward runs over all sentences of a chunk of documents at once, one step
 per token position. A document's evidence is its highest marginal and its expected number
@@ -38,11 +39,14 @@ from pyspark.sql import functions as F
 
 from tillwise.llm.learning import bounded_sample
 from tillwise.llm.quality import labelled
+from tillwise.llm.staging import Stages
 from tillwise.llm.text import LOWER, Words, arrow, batch_of, chunks, mixed, powers
 from tillwise.llm.trees import sigmoid
 
 SAMPLE = 8000
 SENTENCES = 24_000
+#: Tokens of a sentence that are learned from as one.
+LONGEST = 1000
 BITS = 20
 FEATURES = ("word", "first 3", "first 4", "first 5", "first 6", "last 3", "before", "after")
 SALTS = powers(np.uint64(0x9E3779B97F4A7C15), len(FEATURES))
@@ -185,22 +189,39 @@ def curve_of(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2
     return w
 
 
-def sure_features(batches: list[pa.RecordBatch], toxic: list[np.ndarray]) -> np.ndarray:
-    """Which of the tokens' own features tell a toxic document, from the chunks of labelled
-    documents."""
-    n, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for batch, y in zip(batches, toxic):
-        tokens = Tokens.of(batch.column("text"))
-        for k in range(OWN):
-            seen = np.unique(tokens.features[:, k].astype(np.int64) * len(y) + tokens.words.owner)
-            n += np.bincount(seen // len(y), minlength=1 << BITS)
-            bad += np.bincount(seen // len(y), y[seen % len(y)], 1 << BITS)
-    every = np.concatenate(toxic)
-    share, rate = (every.sum() + 0.5) / (len(every) + 1), np.where(n > 0, bad / np.maximum(n, 1), 0)
+COUNTS = "place int, n long, bad long"
+
+
+def _counted(schema: pa.Schema):
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, bad = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for batch in chunks(batches, "text"):
+            tokens, y = Tokens.of(batch.column("text")), batch.column("y").to_numpy()
+            for k in range(OWN):
+                seen = np.unique(tokens.features[:, k].astype(np.int64) * len(y) + tokens.words.owner)
+                n += np.bincount(seen // len(y), minlength=1 << BITS)
+                bad += np.bincount(seen // len(y), y[seen % len(y)], 1 << BITS).astype(np.int64)
+        place = np.flatnonzero(n)
+        yield batch_of(schema, place=place, n=n[place], bad=bad[place])
+
+    return count
+
+
+def sure_features(rows: DataFrame, toxic: int, every: int) -> np.ndarray:
+    """Which of the tokens' own features tell a toxic document, from rows(text, y) with
+    `toxic` of `every` documents labelled so. Documents are counted in the tasks; the driver
+    gets the features of which nine in ten are toxic."""
+    counts = rows.mapInArrow(_counted(arrow(COUNTS)), COUNTS).groupBy("place").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    places = max(counts.count(), 1)
+    counts = counts.where("bad >= 0.9 * n").toArrow()
+    n, bad = (counts.column(c).to_numpy().astype(float) for c in ("n", "bad"))
+    share, rate = (toxic + 0.5) / (every + 1), bad / n
     # The chance of so many toxic documents among n, by the Chernoff bound.
     with np.errstate(divide="ignore", invalid="ignore"):
         apart = n * (np.nan_to_num(rate * np.log(rate / share)) + np.nan_to_num((1 - rate) * np.log((1 - rate) / (1 - share))))
-    return (rate >= 0.9) & (apart > np.log(max((n > 0).sum(), 1) / 0.01))
+    sure = np.zeros(1 << BITS, bool)
+    sure[counts.column("place").to_numpy()[apart > np.log(places / 0.01)]] = True
+    return sure
 
 
 def label_tokens(tokens: Tokens, toxic: np.ndarray, sure: np.ndarray) -> np.ndarray:
@@ -254,52 +275,98 @@ def fit_field(tokens: Tokens, labels: np.ndarray, weight: np.ndarray, rounds: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Field:
-    """A field learned from the documents for which `learn` holds."""
-    found = labelled(docs.where(learn), labels, label, doc_id, text).transform(bounded_sample, F.col("id"), sample).orderBy("id", "text").toArrow()
-    y = found.column("y").to_numpy().astype(float)
-    batches = list(chunks(found.to_batches(), "text"))
-    if not y.any():
-        share = (y.sum() + 0.5) / (len(y) + 1)
+    """A field learned from the documents for which `learn` holds. Texts stay in the tasks:
+    the driver gets counts of features, the tokens' features of SENTENCES sentences, and two
+    numbers a document."""
+    stages = Stages(docs.sparkSession, "toxicity")
+    rows = labelled(docs.where(learn), labels, label, doc_id, text)
+    rows = stages.write(rows.transform(bounded_sample, F.xxhash64("id", "text", "y"), sample).select("text", "y"), "sample")
+    every, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not toxic:
+        share = (toxic + 0.5) / (every + 1)
         return Field(np.zeros(1 << BITS), np.zeros(SHAPES), np.zeros(2), np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0]))
-    # The texts are read again in each step, so that the tokens of all of them are never held.
-    toxic = [b.column("y").to_numpy().astype(float) for b in batches]
-    sure = sure_features(batches, toxic)
-    field = fit_field(*chosen(batches, toxic, sure))
-    facts = [evidence(marginals(field.emissions(t), t.sentence, field.start, field.pairs)[0], t.words) for t in (Tokens.of(b.column("text")) for b in batches)]
-    field.curve = curve_of(np.concatenate(facts), y)
+    field = fit_field(*chosen(rows, sure_features(rows, toxic, every)))
+    schema = "x0 double, x1 double, y int"
+    facts = rows.mapInArrow(_evident(arrow(schema), field), schema).orderBy("x0", "x1", "y").toArrow()
+    x0, x1, y = (column.to_numpy().astype(float) for column in facts.columns)
+    field.curve = curve_of(np.column_stack([x0, x1]), y)
+    stages.drop("sample")
     return field
 
 
-def chosen(batches: list[pa.RecordBatch], toxic: list[np.ndarray], sure: np.ndarray) -> tuple[Tokens, np.ndarray, np.ndarray]:
-    """At most SENTENCES sentences to learn from, half of them with labelled tokens if there
+def _evident(schema: pa.Schema, field: Field):
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            tokens = Tokens.of(batch.column("text"))
+            toxic = marginals(field.emissions(tokens), tokens.sentence, field.start, field.pairs)[0]
+            x = evidence(toxic, tokens.words)
+            yield batch_of(schema, x0=x[:, 0], x1=x[:, 1], y=batch.column("y"))
+
+    return find
+
+
+SENTENCE = "draw double, marked boolean, features binary, shapes binary, labels binary"
+
+
+def _sentences(schema: pa.Schema, sure: np.ndarray, shares: tuple[float, float] | None):
+    """The sentences of some documents, in pieces of LONGEST tokens: those whose draw is
+    below the share of the unmarked or marked ones, with their tokens; without shares a
+    count of each."""
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0, 0]
+        for batch in chunks(batches, "text"):
+            tokens = Tokens.of(batch.column("text"))
+            if not len(tokens.shapes):
+                continue
+            labels = label_tokens(tokens, batch.column("y").to_numpy(), sure)
+            long = np.flatnonzero(np.diff(tokens.sentence) > LONGEST)
+            cuts = [np.arange(tokens.sentence[k], tokens.sentence[k + 1], LONGEST) for k in long]
+            bounds = np.unique(np.concatenate([tokens.sentence, *cuts]))
+            marked = np.maximum.reduceat(labels, bounds[:-1])
+            total[0] += int((~marked).sum())
+            total[1] += int(marked.sum())
+            if shares is None:
+                continue
+            # by what the sentence says: its features, whatever document it is in
+            said = np.add.reduceat(mixed(tokens.features[:, 0].astype(np.uint64) + np.uint64(1)), bounds[:-1])
+            said += np.add.reduceat(mixed(tokens.features[:, 6].astype(np.uint64) ^ np.uint64(1 << 40)), bounds[:-1])
+            draws = mixed(said) / 2.0**64
+            picked = np.flatnonzero(draws < np.where(marked, shares[1], shares[0]))
+            spans = [(bounds[k], bounds[k + 1]) for k in picked]
+            yield batch_of(
+                schema,
+                draw=draws[picked],
+                marked=marked[picked],
+                features=[tokens.features[a:b].tobytes() for a, b in spans],
+                shapes=[tokens.shapes[a:b].astype(np.uint8).tobytes() for a, b in spans],
+                labels=[labels[a:b].astype(np.uint8).tobytes() for a, b in spans],
+            )
+        if shares is None:
+            yield batch_of(schema, marked=[0, 1], n=total)
+
+    return find
+
+
+def chosen(rows: DataFrame, sure: np.ndarray) -> tuple[Tokens, np.ndarray, np.ndarray]:
+    """About SENTENCES sentences to learn from, half of them with labelled tokens if there
     are so many; their token labels; and how many tokens each token stands for."""
-    has = []
-    for batch, y in zip(batches, toxic):
-        tokens = Tokens.of(batch.column("text"))
-        marked = label_tokens(tokens, y, sure)
-        has.append(np.maximum.reduceat(marked, tokens.sentence[:-1]) if len(marked) else np.zeros(0, bool))
-    bounds, has = np.cumsum([0, *map(len, has)]), np.concatenate(has)
-    shuffled = np.random.default_rng(7).permutation(len(has))
-    bad, good = shuffled[has[shuffled]], shuffled[~has[shuffled]]
-    n_bad = min(len(bad), SENTENCES // 2)
-    n_good = min(len(good), SENTENCES - n_bad)
-    stands = np.zeros(len(has))
-    stands[bad[:n_bad]] = len(bad) / max(n_bad, 1)
-    stands[good[:n_good]] = len(good) / max(n_good, 1)
-    features, shapes, sizes, labels, weight = [], [], [np.zeros(1, np.int64)], [], []
-    for k, (batch, y) in enumerate(zip(batches, toxic)):
-        tokens = Tokens.of(batch.column("text"))
-        mine = stands[bounds[k] : bounds[k + 1]]
-        lengths = np.diff(tokens.sentence)
-        rows = np.flatnonzero(np.repeat(mine > 0, lengths))
-        features.append(tokens.features[rows])
-        shapes.append(tokens.shapes[rows])
-        sizes.append(lengths[mine > 0])
-        labels.append(label_tokens(tokens, y, sure)[rows])
-        weight.append(np.repeat(mine, lengths)[rows])
+    counts = "marked int, n long"
+    found = rows.mapInArrow(_sentences(arrow(counts), sure, None), counts).groupBy("marked").agg(F.sum("n")).collect()
+    total = dict(map(tuple, found))
+    n_bad = min(total.get(1, 0), SENTENCES // 2)
+    n_good = min(total.get(0, 0), SENTENCES - n_bad)
+    shares = n_good / max(total.get(0, 0), 1), n_bad / max(total.get(1, 0), 1)
+    shares = tuple(2.0 if share >= 1 else share for share in shares)
+    picked = rows.mapInArrow(_sentences(arrow(SENTENCE), sure, shares), SENTENCE).orderBy("draw", "marked", "features", "labels").toArrow()
+    joined = [np.frombuffer(b"".join(picked.column(c).to_pylist()), kind) for c, kind in (("features", np.int32), ("shapes", np.uint8), ("labels", np.uint8))]
+    features, shapes, labels = joined[0].reshape(-1, len(FEATURES)), joined[1].astype(np.int64), joined[2].astype(bool)
+    lengths = pa.compute.binary_length(picked.column("shapes")).to_numpy().astype(np.int64)
+    marked = picked.column("marked").to_numpy()
+    stands = [total.get(k, 0) / max(int((marked == bool(k)).sum()), 1) for k in (0, 1)]
     none = np.zeros(0, np.int64)
-    picked = Tokens(Words(none, none, none, none, none), np.concatenate(features), np.concatenate(shapes), np.cumsum(np.concatenate(sizes)))
-    return picked, np.concatenate(labels), np.concatenate(weight)
+    tokens = Tokens(Words(none, none, none, none, none), features, shapes, np.cumsum(np.concatenate(([0], lengths))))
+    return tokens, labels, np.repeat(np.where(marked, stands[1], stands[0]), lengths)
 
 
 def tagged(column: pa.Array, field: Field) -> tuple[np.ndarray, Tokens, np.ndarray]:
