@@ -19,10 +19,11 @@ def unit(*keys: Column, seed: int) -> Column:
 
 def bounded_sample(rows: DataFrame, key: Column, most: int, seed: int = 7) -> DataFrame:
     """All rows if there are at most `most`; else 0.9 * most of them on average, picked by a
-    hash of `key`, rows of one key being one: the same rows on every run, whatever the
-    partitioning."""
+    hash of `key`, one row for each key: the same rows on every run, whatever the
+    partitioning. `key` being a column of a joined table, the pick is made before the join."""
     n = rows.count()
     if n <= most:
         return rows
     drawn = rows.withColumn("sample draw", unit(key, seed=seed)).where(F.col("sample draw") < 0.9 * most / n)
-    return drawn.dropDuplicates(["sample draw"]).drop("sample draw")
+    first = F.min_by(F.struct(*rows.columns), F.xxhash64(*rows.columns))
+    return drawn.groupBy("sample draw").agg(first.alias("row")).select("row.*")

@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column, doc_id: s
             yield batch_of(out, y=batch.column("y"), x=list(statistics(batch.column("text"))))
 
     # the texts stay in the tasks, the driver gets rows of one size
-    rows = rows.transform(bounded_sample, F.xxhash64("id", "text", "y"), sample).select("text", "y")
+    rows = rows.transform(bounded_sample, F.col("id"), sample).select("text", "y")
     found = rows.mapInArrow(measure, schema).toArrow()
     y = found.column("y").to_numpy().astype(float)
     x = np.array(found.column("x").to_pylist()) if found.num_rows else np.zeros((0, 1))

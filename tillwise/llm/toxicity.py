@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     numbers a document."""
     stages = Stages(docs.sparkSession, "toxicity")
     rows = labelled(docs.where(learn), labels, label, doc_id, text)
-    rows = stages.write(rows.transform(bounded_sample, F.xxhash64("id", "text", "y"), sample).select("text", "y"), "sample")
+    rows = stages.write(rows.transform(bounded_sample, F.col("id"), sample).select("text", "y"), "sample")
     every, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic:
         share = (toxic + 0.5) / (every + 1)
