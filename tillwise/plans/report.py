@@ -214,11 +214,12 @@ STAGED = ("orders", "tickets")
 
 
 def staged(spark: SparkSession, store: OpsStore, period: Period, folder: str) -> WindowStore:
-    """A store whose facts, for the period and its prior window, are written to ``folder``
+    """A store whose facts, for the period and its prior window, are written below ``folder``
     as Parquet: the datasets of a report then share one pass over the sources, and each
-    reads only its columns."""
+    reads only its columns. Tables stand in a folder named by their window, so those of
+    another period are never taken for this one's."""
     window = period.with_prior()
-    house = Warehouse(spark, folder)
+    house = Warehouse(spark, f"{folder}/{window.start}_{window.end}")
     for name in STAGED:
         if not house.exists(name):
             house.append(name, store.read(name, period=window))
