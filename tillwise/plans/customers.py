@@ -54,7 +54,7 @@ def customer_tiers(
     spend = {"revenue": "sum(final_amount)", "amounts": "count(final_amount)", "orders": "count(1)"}
     columns = (*TIER_KEYS, *filters.active(*WHO))
     return (
-        store.customers_with_orders(columns, spend, ["final_amount"], SETTLED, period)
+        store.by_customer(lambda part: part.customers_with_orders(columns, spend, ["final_amount"], SETTLED, period))
         .where(filters.on(*WHO))
         .groupBy(*TIER_KEYS)
         .agg(
@@ -170,10 +170,9 @@ def _churn(store, period, filters, *columns, noise_seed=None):
         F.datediff(F.lit(period.end), F.col("last_order")), F.lit(NEVER_ORDERED_DAYS)
     )
     noise = None if noise_seed is None else hash_noise(noise_seed)
+    shown = ("status", *columns, *filters.active(*WHO))
     return (
-        store.customers_with_orders(
-            ("status", *columns, *filters.active(*WHO)), history, ["order_date", "final_amount"], SETTLED
-        )
+        store.by_customer(lambda part: part.customers_with_orders(shown, history, ["order_date", "final_amount"], SETTLED))
         .where(filters.on(*WHO))
         .withColumns(
             {
@@ -248,18 +247,22 @@ def cohort_retention_long(
     ``max_period`` are left out; cohort size counts customers with any settled order,
     whatever its period.
     """
-    # One row per customer and month before the join; a customer's earliest month
-    # then stands for the customer in the cohort size.
-    months = (
-        _settled(store, "order_date")
-        .groupBy("customer_id", calendar.month_start(F.col("order_date")).alias("order_month"))
-        .agg(F.lit(1).alias("active"))
-    )
-    earliest = F.min("order_month").over(Window.partitionBy("customer_id"))
     joined = calendar.month_start(F.col("join_date"))
+
+    def active_months(part: OpsStore) -> DataFrame:
+        # One row per customer and month before the join; a customer's earliest month
+        # then stands for the customer in the cohort size.
+        months = (
+            _settled(part, "order_date")
+            .groupBy("customer_id", calendar.month_start(F.col("order_date")).alias("order_month"))
+            .agg(F.lit(1).alias("active"))
+        )
+        earliest = F.min("order_month").over(Window.partitionBy("customer_id"))
+        first = (F.col("order_month") == earliest).cast("int")
+        return months.withColumn("is_first", first).join(_customers(part, filters, "join_date"), "customer_id")
+
     activity = (
-        months.withColumn("is_first", (F.col("order_month") == earliest).cast("int"))
-        .join(_customers(store, filters, "join_date"), "customer_id")
+        store.by_customer(active_months)
         .groupBy(
             joined.alias("cohort_month"),
             calendar.months_between_months(F.col("order_month"), joined).alias("period"),
@@ -331,16 +334,20 @@ PROFILE = ("full_name", "city", "state", "tier", "segment", "age_group")
 
 def _spend(store: OpsStore, period: Period, filters: Filters) -> DataFrame:
     """Orders, spend and mean order value of the chosen customers who bought."""
-    spend = (
-        _settled(store, "order_id", "final_amount", period=period)
-        .groupBy("customer_id")
-        .agg(
-            F.countDistinct("order_id").alias("orders"),
-            F.sum("final_amount").alias("lifetime_value"),
-            exact_mean("final_amount").alias("aov"),
+
+    def spent(part: OpsStore) -> DataFrame:
+        spend = (
+            _settled(part, "order_id", "final_amount", period=period)
+            .groupBy("customer_id")
+            .agg(
+                F.countDistinct("order_id").alias("orders"),
+                F.sum("final_amount").alias("lifetime_value"),
+                exact_mean("final_amount").alias("aov"),
+            )
         )
-    )
-    return spend.join(_customers(store, filters).select("customer_id"), "customer_id")
+        return spend.join(_customers(part, filters).select("customer_id"), "customer_id")
+
+    return store.by_customer(spent)
 
 
 def _ratings(store: OpsStore, period: Period, keys: DataFrame | None = None) -> DataFrame:

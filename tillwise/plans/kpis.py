@@ -65,14 +65,18 @@ def kpi_by_period_pair(
 def return_rate(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
     """The summary's return rate alone: one pass over the period's orders."""
     chosen = ("state", "zone", "category")
-    orders = store.orders(
-        "customer_id", "order_status", *filters.active(*chosen), period=period
-    ).where(placed() & filters.on(*chosen))
-    by_customer = orders.groupBy("customer_id").agg(
-        F.expr("count(1) AS orders"), F.expr("count_if(order_status = 'Returned') AS returned")
-    )
-    known = store.customers("customer_id", *filters.active("segment")).where(filters.on("segment"))
-    return by_customer.join(known.select("customer_id"), "customer_id").agg(
+
+    def counted(part: OpsStore) -> DataFrame:
+        orders = part.orders(
+            "customer_id", "order_status", *filters.active(*chosen), period=period
+        ).where(placed() & filters.on(*chosen))
+        by_customer = orders.groupBy("customer_id").agg(
+            F.expr("count(1) AS orders"), F.expr("count_if(order_status = 'Returned') AS returned")
+        )
+        known = part.customers("customer_id", *filters.active("segment")).where(filters.on("segment"))
+        return by_customer.join(known.select("customer_id"), "customer_id")
+
+    return store.by_customer(counted).agg(
         F.expr("coalesce(try_divide(sum(returned) * 100D, sum(orders)), 0D)").alias("return_rate")
     )
 
@@ -84,13 +88,15 @@ def _both_windows(store: OpsStore, period: Period, filters: Filters) -> DataFram
     customer shrinks to one row before any shuffle. The join with the customers then
     costs one row per customer, and distinct customers become a plain count.
     """
-    known = (
-        store.customers("customer_id", *filters.active("segment"))
-        .where(filters.on("segment"))
-        .select("customer_id")
-    )
-    orders = _orders_by_customer(store, period, filters).join(known, "customer_id")
-    tickets = _tickets_by_customer(store, period, filters).join(known, "customer_id")
+
+    def of_known(by_customer):
+        def joined(part: OpsStore) -> DataFrame:
+            known = part.customers("customer_id", *filters.active("segment")).where(filters.on("segment"))
+            return by_customer(part, period, filters).join(known.select("customer_id"), "customer_id")
+
+        return store.by_customer(joined)
+
+    orders, tickets = of_known(_orders_by_customer), of_known(_tickets_by_customer)
     buyers = [f"count_if(orders_{w} > 0) AS customers_{w}" for w in WINDOWS]
     order_totals = orders.selectExpr(*_totals(orders), *buyers)
     ticket_totals = tickets.selectExpr(*_totals(tickets))

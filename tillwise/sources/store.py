@@ -7,6 +7,7 @@ both to read less: skip joins, prune partitions, filter before joining.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,16 @@ class OpsStore:
     def customers(self, *columns: str) -> DataFrame:
         return self.read("customers", *columns)
 
+    def customer_parts(self) -> Sequence[OpsStore]:
+        """Stores that share out the customers, each with all facts of its own."""
+        return [self]
+
+    def by_customer(self, plan: Callable[[OpsStore], DataFrame]) -> DataFrame:
+        """A plan whose rows each come from one customer's facts and profile, whatever
+        others have: run on each part, its rows put together. Facts that belong to no
+        customer may be left out."""
+        return reduce(DataFrame.unionByName, map(plan, self.customer_parts()))
+
     def days(self, name: str) -> DataFrame:
         """The column ``day``: all days on which a fact may have rows, perhaps repeated and
         perhaps more. Cheaper than reading the fact where a store can tell."""
