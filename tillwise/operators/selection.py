@@ -94,17 +94,17 @@ def newest(days: DataFrame, label, count: int, has_rows) -> Period | None:
     """A period that holds the newest ``count`` labels that have rows, or all there are.
 
     ``days`` is the column ``day`` of all days that may have rows, ``label`` names a day's
-    label, and ``has_rows(period)`` is a frame of the days in a period that do. Labels
-    without rows don't count: where they make the period too short, it is widened.
+    label, and ``has_rows(period)`` is a frame of the days in a period that do; None if all
+    do. Labels without rows don't count: where they make the period too short, it is widened.
     """
-    firsts = days.groupBy(label(F.col("day")).alias("label")).agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    firsts = days.distinct().groupBy(label(F.col("day")).alias("label")).agg(F.min("day").alias("first"), F.max("day").alias("last"))
     asked = count
     while True:
         found = firsts.where("label IS NOT NULL").orderBy(F.desc("label")).limit(asked).collect()
         if not found:
             return None
         period = Period(min(r["first"] for r in found), max(r["last"] for r in found))
-        if len(found) < asked:
+        if has_rows is None or len(found) < asked:
             return period
         if has_rows(period).select(label(F.col("day"))).distinct().count() >= count:
             return period
@@ -125,4 +125,4 @@ def settled() -> Column:
 
 
 def is_status(status: str) -> Column:
-    return F.expr(f"order_status = '{status}'")
+    return F.col("order_status") == F.lit(status)

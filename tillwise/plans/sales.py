@@ -15,10 +15,10 @@ from tillwise.functions import calendar, rules
 from tillwise.functions.measures import exact_mean, percent, ratio, rows, share_of_rows
 from tillwise.operators.selection import (
     NO_FILTERS,
+    SETTLED,
     Filters,
     Period,
     is_status,
-    newest,
     placed,
     settled,
 )
@@ -33,9 +33,11 @@ from tillwise.operators.shaping import (
     top,
     whole,
 )
+from tillwise.plans.weeks import newest_days
 from tillwise.sources.store import OpsStore
 
 SERIES = ["revenue", "discount", "orders", "gst"]
+PLACE_AND_KIND = ("state", "zone", "category")
 
 
 def _orders(
@@ -65,41 +67,22 @@ def _aov() -> Column:
     return exact_mean("final_amount").alias("aov")
 
 
-def _avg_delivery() -> Column:
-    return exact_mean("delivery_days").alias("avg_delivery")
+def _mean_order() -> Column:
+    """The mean order value of totals."""
+    return ratio(F.col("revenue"), F.col("amounts")).alias("aov")
 
 
 def _return_rate() -> Column:
     return share_of_rows(is_status("Returned")).alias("return_rate")
 
 
-def _cancel_rate() -> Column:
-    return share_of_rows(is_status("Cancelled")).alias("cancel_rate")
-
-
 # Time.
 
 
 def revenue_daily(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
     """Settled revenue, discount, order count and GST by day."""
-    orders = _orders(
-        store,
-        ["order_date", "final_amount", "discount", "gst_amount"],
-        period,
-        filters,
-        ("state", "zone", "category"),
-        settled(),
-    )
-    return (
-        orders.groupBy(F.col("order_date").alias("date"))
-        .agg(
-            _revenue(),
-            F.sum("discount").alias("discount"),
-            _count(),
-            F.sum("gst_amount").alias("gst"),
-        )
-        .orderBy("date")
-    )
+    daily = store.totals("orders", {"date": "order_date"}, SERIES, filters, PLACE_AND_KIND, SETTLED, period)
+    return daily.select("date", *SERIES).orderBy("date")
 
 
 def _bucketed(daily: DataFrame, start: Column) -> DataFrame:
@@ -176,23 +159,22 @@ def month_profile(store: OpsStore, period: Period) -> DataFrame:
 
 def yoy_monthly(store: OpsStore, filters: Filters = NO_FILTERS) -> DataFrame:
     """Settled revenue, orders and mean order value by year and month, all years."""
-    orders = _orders(
-        store, ["order_date", "final_amount"], None, filters, ("state", "category"), settled()
-    )
-    first = calendar.month_start(F.col("order_date"))
-    return (
-        orders.groupBy(first.alias("first"))
-        .agg(_revenue(), _count(), _aov())
-        .select(
-            F.year("first").alias("year"),
-            F.month("first").alias("month_num"),
-            calendar.month_name(F.col("first")).alias("month"),
-            "revenue",
-            "orders",
-            "aov",
-        )
-        .orderBy("year", "month_num")
+    by_month = store.totals(
+        "orders",
+        {"first": "trunc(order_date, 'month')"},
+        ("revenue", "orders", "amounts"),
+        filters,
+        ("state", "category"),
+        SETTLED,
     )
+    return by_month.select(
+        F.year("first").alias("year"),
+        F.month("first").alias("month_num"),
+        calendar.month_name(F.col("first")).alias("month"),
+        "revenue",
+        "orders",
+        _mean_order(),
+    ).orderBy("year", "month_num")
 
 
 def yoy_wide(
@@ -225,25 +207,11 @@ def weekly_ops(
     Which days these weeks have is found first, so only they are read in full. The newest
     week, and one that New Year cuts off, may be incomplete.
     """
-    chosen = ("state", "zone", "category")
-
-    def has_orders(period):
-        return _orders(store, ["order_date"], period, filters, chosen).select(F.col("order_date").alias("day"))
-
     wanted = weeks + 2 if complete_weeks_only else weeks
-    period = newest(store.days("orders"), calendar.week_label, wanted, has_orders)
-    orders = _orders(
-        store, ["order_date", "final_amount", "delivery_days", "order_status"], period, filters, chosen
-    )
+    period = newest_days(store, "orders", wanted, filters, PLACE_AND_KIND)
     # Days first: the label is then computed once per day, not once per order.
-    days = orders.groupBy("order_date").agg(
-        _revenue(),
-        _count(),
-        F.sum("delivery_days").alias("days"),
-        F.count("delivery_days").alias("deliveries"),
-        F.count_if(is_status("Returned")).alias("returned"),
-        F.count_if(is_status("Cancelled")).alias("cancelled"),
-    )
+    measures = ("revenue", "orders", "days", "deliveries", "returned", "cancelled")
+    days = store.totals("orders", {"order_date": "order_date"}, measures, filters, PLACE_AND_KIND, period=period)
     total = F.sum("orders")
     by_week = days.groupBy(calendar.week_label(F.col("order_date")).alias("week")).agg(
         _sum("revenue"),
@@ -328,43 +296,31 @@ def zone_metrics_long(
 
 def category_mix(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
     """Settled orders by category, largest revenue first."""
-    orders = _orders(
-        store,
-        ["category", "final_amount", "discount", "delivery_days"],
-        period,
-        filters,
-        ("state", "zone"),
-        settled(),
-    )
-    return (
-        orders.groupBy("category")
-        .agg(
-            _revenue(),
-            _count(),
-            _aov(),
-            F.sum("discount").alias("discount"),
-            _avg_delivery(),
-        )
-        .orderBy(F.desc("revenue"), "category")
-    )
+    measures = ("revenue", "orders", "amounts", "discount", "days", "deliveries")
+    mix = store.totals("orders", {"category": "category"}, measures, filters, ("state", "zone"), SETTLED, period)
+    return mix.select(
+        "category",
+        "revenue",
+        "orders",
+        _mean_order(),
+        "discount",
+        ratio(F.col("days"), F.col("deliveries")).alias("avg_delivery"),
+    ).orderBy(F.desc("revenue"), "category")
 
 
 def payment_analysis(
     store: OpsStore, period: Period, filters: Filters = NO_FILTERS
 ) -> DataFrame:
     """All orders by payment method, whatever their status, largest revenue first."""
-    orders = _orders(
-        store,
-        ["payment_method", "final_amount", "order_status"],
-        period,
-        filters,
-        ("state",),
-    )
-    return (
-        orders.groupBy("payment_method")
-        .agg(_count(), _revenue(), _aov(), _cancel_rate())
-        .orderBy(F.desc("revenue"), "payment_method")
-    )
+    measures = ("orders", "revenue", "amounts", "cancelled")
+    methods = store.totals("orders", {"payment_method": "payment_method"}, measures, filters, ("state",), period=period)
+    return methods.select(
+        "payment_method",
+        "orders",
+        "revenue",
+        _mean_order(),
+        percent(F.col("cancelled"), F.col("orders")).alias("cancel_rate"),
+    ).orderBy(F.desc("revenue"), "payment_method")
 
 
 def payment_share(

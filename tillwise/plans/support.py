@@ -14,8 +14,9 @@ from tillwise.functions.measures import (
     rows,
 )
 from tillwise.functions.rules import PRIORITIES
-from tillwise.operators.selection import NO_FILTERS, Filters, Period, newest
+from tillwise.operators.selection import NO_FILTERS, Filters, Period
 from tillwise.operators.shaping import last_of, top
+from tillwise.plans.weeks import newest_days
 from tillwise.sources.store import OpsStore
 
 MEASURES = ("resolution_hours", "first_response_h", "csat_score", "is_repeat", "status")
@@ -147,18 +148,9 @@ def top_agents(
 def weekly_csat(store: OpsStore, weeks: int = 8, filters: Filters = NO_FILTERS) -> DataFrame:
     """Satisfaction and escalations of the newest weeks, oldest first; only their days are
     read in full."""
-
-    def has_tickets(period):
-        return _tickets(store, period, filters, "created_date").select(F.col("created_date").alias("day"))
-
-    period = newest(store.days("tickets"), calendar.week_label, weeks, has_tickets)
-    tickets = _tickets(store, period, filters, "created_date", "csat_score", "status")
-    days = tickets.groupBy("created_date").agg(
-        F.sum("csat_score").alias("csat_sum"),
-        F.count("csat_score").alias("ratings"),
-        _status("Escalated").alias("escalated"),
-        rows().alias("tickets"),
-    )
+    period = newest_days(store, "tickets", weeks, filters, ("state",))
+    measures = ("csat_sum", "ratings", "escalated", "tickets")
+    days = store.totals("tickets", {"created_date": "created_date"}, measures, filters, ("state",), period=period)
     total = F.sum("tickets")
     by_week = days.groupBy(calendar.week_label(F.col("created_date")).alias("week")).agg(
         F.try_divide(F.sum("csat_sum").cast("double"), F.sum("ratings")).alias("avg_csat"),

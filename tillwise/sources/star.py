@@ -265,6 +265,10 @@ class StarStore(OpsStore):
             return self.raw("orders").selectExpr(f"{HEADER_COLUMNS['order_date']} AS day")
         return super().days(name)
 
+    def has_days_exactly(self, name):
+        """Each event is a ticket; an order header may be without lines."""
+        return name == "tickets"
+
     # Dimensions.
 
     def _customers(self, columns, period):

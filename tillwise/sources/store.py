@@ -6,6 +6,7 @@ both to read less: skip joins, prune partitions, filter before joining.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions import rules
-from tillwise.operators.selection import Period
+from tillwise.operators.selection import NO_FILTERS, Filters, Period
+from tillwise.sources.rollups import ROLLUPS
 from tillwise.sources.schemas import TABLES
 
 
@@ -50,6 +52,34 @@ class OpsStore:
         customer may be left out."""
         return reduce(DataFrame.unionByName, map(plan, self.customer_parts()))
 
+    def totals(
+        self,
+        name: str,
+        by: Mapping[str, str],
+        measures: Sequence[str],
+        filters: Filters = NO_FILTERS,
+        chosen: Sequence[str] = (),
+        keep: str | None = None,
+        period: Period | None = None,
+    ) -> DataFrame:
+        """Measures of ``ROLLUPS[name]`` by the named SQL expressions ``by``, over the rows
+        of the period that the filters among ``chosen`` and the condition ``keep`` leave,
+        all on the roll-up's split columns."""
+        rollup = ROLLUPS[name]
+        columns = self._split_columns(name, by, filters, chosen, keep) + rollup.columns(measures)
+        fact = self.read(name, *columns, period=period).where(filters.on(*chosen))
+        return rollup.aggregated(fact if keep is None else fact.where(keep), by, measures)
+
+    @staticmethod
+    def _split_columns(name, by, filters, chosen, keep) -> list[str]:
+        told = " ".join([*by.values(), keep or ""])
+        split = [c for c in ROLLUPS[name].split if re.search(rf"\b{c}\b", told)]
+        return [*split, *filters.active(*chosen)]
+
+    def has_days_exactly(self, name: str) -> bool:
+        """Whether ``days`` has no day without rows."""
+        return False
+
     def days(self, name: str) -> DataFrame:
         """The column ``day``: all days on which a fact may have rows, perhaps repeated and
         perhaps more. Cheaper than reading the fact where a store can tell."""

@@ -4,22 +4,29 @@ Facts are laid out by month of their date, so a period prunes directories, and
 sorted by date inside each file, so it prunes row groups as well. Bloom filters on the
 lookup columns (customer, state, agent) prune row groups for an equality filter. The
 orders table is denormalised here: after that no plan repeats the star-schema joins.
+
+Beside orders and tickets stands a daily roll-up of each (``rollups``), by month as well.
+Time series and mixes read it instead of the fact, and so does the search for the newest
+weeks. An append writes the roll-up of the touched months anew.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwise.operators.selection import Period
+from tillwise.operators.selection import NO_FILTERS, Period
+from tillwise.sources.rollups import ROLLUPS
 from tillwise.sources.schemas import TABLES
 from tillwise.sources.store import OpsStore
 
 MONTH = "year_month"
 TIERS = "_tier_thresholds"
+#: Folders of a fact's daily roll-up, and of the months it has to be brought up to date for.
+ROLLED, PENDING = "_daily_", "_pending_"
 
 
 class Warehouse(OpsStore):
@@ -54,11 +61,17 @@ class Warehouse(OpsStore):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def create_missing(self, source: OpsStore) -> list[str]:
         """Write the tables that are not there yet; returns their names."""
         missing = [name for name in TABLES if not self.exists(name)]
         for name in missing:
             self._write(name, source.read(name), "errorifexists")
+        for name in ROLLUPS:
+            self.refresh(name)
         if not self._there(TIERS):
             steps = [(tier, float(least)) for tier, least in source.tier_thresholds.items()]
             steps = self.spark.createDataFrame(steps, "tier STRING, threshold DOUBLE")
@@ -66,7 +79,74 @@ class Warehouse(OpsStore):
         return missing
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self._write(name, rows.select(*TABLES[name].columns), "append")
+        """Add rows. Of the fact's roll-up only the months of these rows are written anew."""
+        rows = rows.select(*TABLES[name].columns)
+        if name not in ROLLUPS or not self.exists(name):
+            self._write(name, rows, "append")
+            self.refresh(name)
+            return
+        months = [m for (m,) in rows.select(self._month(name)).distinct().collect()]
+        # Until the mark is gone, the roll-up is not read: see ``rolled_up``.
+        mark = self.spark.createDataFrame([(m,) for m in months], f"{MONTH} STRING")
+        mark.coalesce(1).write.mode("append").parquet(self.path(PENDING + name))
+        self._write(name, rows, "append")
+        self.refresh(name)
+
+    def refresh(self, name: str) -> list[str | None]:
+        """Bring a roll-up up to date: all of it if there is none, else the months that an
+        append left a mark for, also one that was broken off. Returns these months."""
+        if name not in ROLLUPS or not self.exists(name):
+            return []
+        whole = not self._there(f"{ROLLED + name}/_SUCCESS")
+        months = None
+        if not whole:
+            if not self._there(PENDING + name):
+                return []
+            months = [m for (m,) in self.spark.read.schema(f"{MONTH} STRING").parquet(self.path(PENDING + name)).distinct().collect()]
+        fact = self.spark.read.schema(self._schema(name)).parquet(self.path(name))
+        if months is not None:
+            here = F.col(MONTH).isin([m for m in months if m is not None])
+            fact = fact.where(here | F.col(MONTH).isNull() if None in months else here)
+        rollup = ROLLUPS[name].partial(fact, MONTH).repartition(MONTH)
+        writer = rollup.write.mode("overwrite").partitionBy(MONTH)
+        if not whole:
+            writer = writer.option("partitionOverwriteMode", "dynamic")
+        writer.parquet(self.path(ROLLED + name))
+        self._delete(PENDING + name)
+        return sorted(months or [], key=str)
+
+    def rolled_up(self, name: str) -> bool:
+        """Whether the fact has a roll-up that is up to date."""
+        return self.exists(name) and self._there(f"{ROLLED + name}/_SUCCESS") and not self._there(PENDING + name)
+
+    def _rollup(self, name: str, period: Period | None) -> DataFrame:
+        fact = {f.name: f.dataType for f in self._schema(name).fields}
+        rollup = ROLLUPS[name]
+        fields = [T.StructField(c, fact[c]) for c in rollup.split]
+        for m in {m.kept: m for m in rollup.measures.values()}.values():
+            kind = fact.get(m.value, T.LongType())
+            if m.kind == "count" or isinstance(kind, T.IntegerType):
+                kind = T.LongType()
+            elif isinstance(kind, T.DecimalType):
+                kind = T.DecimalType(kind.precision + 10, kind.scale)
+            fields.append(T.StructField(m.kept, kind))
+        kept = self.spark.read.schema(T.StructType([*fields, T.StructField(MONTH, T.StringType())])).parquet(self.path(ROLLED + name))
+        return kept if period is None else kept.where(self._inside(name, period))
+
+    def totals(self, name, by, measures, filters=NO_FILTERS, chosen=(), keep=None, period=None):
+        """From the roll-up, whose rows are few, where it is up to date."""
+        if not self.rolled_up(name):
+            return super().totals(name, by, measures, filters, chosen, keep, period)
+        kept = self._rollup(name, period).where(filters.on(*chosen))
+        return ROLLUPS[name].combined(kept if keep is None else kept.where(keep), by, measures)
+
+    def days(self, name: str) -> DataFrame:
+        if name not in ROLLUPS or not self.rolled_up(name):
+            return super().days(name)
+        return self._rollup(name, None).select(F.col(TABLES[name].date).alias("day"))
+
+    def has_days_exactly(self, name: str) -> bool:
+        return name in ROLLUPS and self.rolled_up(name)
 
     def rewritten(self, name: str, rows: DataFrame, root: str) -> Warehouse:
         """Write an updated table under a new root, which must not be this one: the rows
@@ -96,7 +176,7 @@ class Warehouse(OpsStore):
             return
         # Rebalancing gathers a month into few files and splits a large month, or a
         # hot one, into several, by map blocks rather than by value.
-        rows = rows.withColumn(MONTH, F.date_format(day, "yyyy-MM")).hint("rebalance", MONTH)
+        rows = rows.withColumn(MONTH, self._month(name)).hint("rebalance", MONTH)
         writer = rows.sortWithinPartitions(MONTH, day).write.mode(mode).partitionBy(MONTH)
         writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         for column in TABLES[name].lookups:
@@ -108,12 +188,18 @@ class Warehouse(OpsStore):
             return self.base.table(name, columns, period)
         df = self.spark.read.schema(self._schema(name)).parquet(self.path(name))
         if period is not None:
-            df = df.where(
-                F.col(MONTH).between(f"{period.start:%Y-%m}", f"{period.end:%Y-%m}")
-                & period.contains(TABLES[name].date)
-            )
+            df = df.where(self._inside(name, period))
         return df.select(*columns)
 
+    @staticmethod
+    def _month(name: str) -> Column:
+        return F.date_format(TABLES[name].date, "yyyy-MM").alias(MONTH)
+
+    @staticmethod
+    def _inside(name: str, period: Period) -> Column:
+        months = F.col(MONTH).between(f"{period.start:%Y-%m}", f"{period.end:%Y-%m}")
+        return months & period.contains(TABLES[name].date)
+
 
 class WindowStore(OpsStore):
     """Some facts for one window of days from a near store, everything else from afar."""
@@ -122,6 +208,18 @@ class WindowStore(OpsStore):
         self.near, self.names, self.window, self.far = near, names, window, far
         self.tier_thresholds = far.tier_thresholds
 
-    def table(self, name: str, columns: tuple[str, ...], period: Period | None) -> DataFrame:
+    def _holder(self, name: str, period: Period | None) -> OpsStore:
         inside = name in self.names and period is not None and self.window.covers(period)
-        return (self.near if inside else self.far).table(name, columns, period)
+        return self.near if inside else self.far
+
+    def table(self, name: str, columns: tuple[str, ...], period: Period | None) -> DataFrame:
+        return self._holder(name, period).table(name, columns, period)
+
+    def totals(self, name, by, measures, filters=NO_FILTERS, chosen=(), keep=None, period=None):
+        return self._holder(name, period).totals(name, by, measures, filters, chosen, keep, period)
+
+    def days(self, name: str) -> DataFrame:
+        return self.far.days(name)
+
+    def has_days_exactly(self, name: str) -> bool:
+        return self.far.has_days_exactly(name)
