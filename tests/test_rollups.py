@@ -8,12 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tillwise import Filters, Period, registry
+from tillwise import Filters, Period
 from tillwise.functions.measures import as_output
 from tillwise.plans import report, sales, support
 from tillwise.sources.rollups import ROLLUPS
 from tillwise.sources.schemas import TABLES
-from tillwise.sources.store import FrameStore, OpsStore
+from tillwise.sources.store import FrameStore
 from tillwise.sources.warehouse import Warehouse
 
 YEAR = Period.of("2023-01-01", "2023-12-31")
@@ -28,7 +28,7 @@ def facts(spark, days, first=0):
     cells = {
         "order_id": F.col("id"),
         "ticket_id": F.col("id"),
-        "customer_id": F.col("id") % 7,
+        "customer_id": F.when(F.col("id") % 11 > 0, F.col("id") * 9973 % 100_003 * (F.col("id") % 3)),
         "order_date": F.col("day"),
         "created_date": F.col("day"),
         "final_amount": F.col("id") * 1.25,
@@ -75,6 +75,8 @@ PLANS = {
     "years": lambda s, f: sales.yoy_monthly(s, f),
     "categories": lambda s, f: sales.category_mix(s, YEAR, f),
     "payments": lambda s, f: sales.payment_analysis(s, YEAR, f),
+    "states": lambda s, f: sales.state_performance(s, YEAR),
+    "zones": lambda s, f: sales.zone_comparison(s, Period.of("2023-10-02", "2023-10-17")).orderBy("zone"),
     "weeks": lambda s, f: sales.weekly_ops(s, 6, f),
     "complete weeks": lambda s, f: sales.weekly_ops(s, 3, f, complete_weeks_only=True),
     "ratings": lambda s, f: support.weekly_csat(s, 6, f),
@@ -101,7 +103,7 @@ def test_facts_are_not_read(pair, name, monkeypatch):
     monkeypatch.setattr(Warehouse, "table", refused)
     for filters in (Filters(), Filters(state="Bihar")):
         found = PLANS[name](house, filters)
-        assert found.inputFiles() and all("/_daily_" in path for path in found.inputFiles())
+        assert found.inputFiles() and all("/_daily_" in path or "/_buyers_" in path for path in found.inputFiles())
 
 
 def modified(root):
@@ -154,6 +156,8 @@ def test_a_rollup_is_bounded_by_calendar_and_domains(spark, tmp_path):
     house.append("orders", facts(spark, days)["orders"])
     sizes = dict(rows(house._rollup("orders", None).groupBy("order_date").count()))
     assert sizes[date(2023, 5, 1)] <= 2 * 3 * 4 * 3
+    buckets = house.spark.read.parquet(house.path("_buyers_orders"))
+    assert buckets.count() <= 2 * 3 * (100_003 * 2 // 32_768 + 1)
     assert set(ROLLUPS["orders"].split) <= set(TABLES["orders"].columns)
 
 
@@ -168,6 +172,75 @@ def test_staged_report_of_another_period(spark, tmp_path):
         assert rows(as_output(kpis.kpi_summary(shared, period))) == rows(as_output(kpis.kpi_summary(star, period)))
 
 
-def test_plain_stores_compute_totals():
-    assert OpsStore.has_days_exactly(OpsStore(), "orders") is False
-    assert registry.PLANS["weekly_csat"]
+def test_customers_of_any_period_equal_a_distinct_count(pair):
+    house, plain = pair
+    for first, last in (("2023-09-04", "2023-09-04"), ("2023-09-30", "2023-12-01"), ("2023-12-25", "2024-03-01"), ("2030-01-01", "2030-02-01")):
+        period = Period.of(first, last)
+        orders = plain.orders("state", "customer_id", "order_status", period=period).where("order_status <> 'Processing'")
+        expected = rows(orders.groupBy("state").agg(F.countDistinct("customer_id")))
+        assert Counter(rows(house.placed_buyers("state", Filters(), (), period))) == Counter(r for r in expected if r[1])
+    here, there = (sales.state_performance(s, YEAR, Filters(category="Books")) for s in (house, plain))
+    assert house.placed_buyers("state", Filters(category="Books"), ("category",), YEAR) is None
+    assert rows(as_output(here)) == rows(as_output(there))
+
+
+# Updates by key.
+
+
+@pytest.fixture
+def people(spark, tmp_path):
+    columns = TABLES["customers"].columns
+    cells = {"customer_id": F.col("id"), "full_name": F.concat(F.lit("C"), F.col("id")), "tier": F.lit("Bronze")}
+    listed = spark.range(400).select(*[cells.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
+    house = Warehouse(spark, str(tmp_path / "ops"))
+    house.append("customers", listed)
+    return house
+
+
+def tiers(house):
+    return dict(rows(house.customers("customer_id", "tier")))
+
+
+def test_an_update_writes_the_changed_folders_only(spark, people):
+    before = modified(people.path("customers"))
+    changes = spark.createDataFrame([(7, "Gold"), (8, "Bronze"), (9999, "Gold")], "customer_id long, tier string")
+    [slice_] = people.update("customers", changes)
+    after = modified(people.path("customers"))
+    assert {p for p in before if p not in after} == {p for p in before if f"key_slice={slice_}/" in p}
+    assert tiers(people) == {**{k: "Bronze" for k in range(400)}, 7: "Gold"}
+    assert people.customers().count() == 400
+    assert people.update("customers", changes) == []
+
+
+def test_an_update_can_set_null_and_several_columns(spark, people):
+    changes = spark.createDataFrame([(k, None, f"N{k}") for k in range(0, 400, 3)], "customer_id long, tier string, full_name string")
+    assert len(people.update("customers", changes)) > 10
+    assert tiers(people)[3] is None and tiers(people)[4] == "Bronze"
+    assert dict(rows(people.customers("customer_id", "full_name")))[399] == "N399"
+
+
+def test_a_failed_update_leaves_the_table(spark, people):
+    bad = F.when(F.col("customer_id") == 12, F.raise_error(F.lit("lost"))).otherwise(F.lit("Gold"))
+    with pytest.raises(Exception, match="lost"):
+        people.update("customers", spark.range(400).withColumnRenamed("id", "customer_id").withColumn("tier", bad))
+    assert set(tiers(people).values()) == {"Bronze"}
+    twice = spark.createDataFrame([(1, "Gold"), (1, "Silver")], "customer_id long, tier string")
+    for changes, message in ((twice, "more than once"), (twice.select("customer_id"), "changes need"), (twice.withColumn("x", F.lit(1)), "unknown")):
+        with pytest.raises(ValueError, match=message):
+            people.update("customers", changes)
+    with pytest.raises(ValueError, match="not a table"):
+        people.update("orders", twice)
+
+
+def test_earned_tiers_are_stored(spark, tmp_path):
+    from tillwise.plans import enrichment
+    from tillwise.sources.star import StarStore
+
+    star = StarStore(spark, "/root/testdata/sf0.001")
+    house = Warehouse(spark, str(tmp_path / "ops"))
+    house.create_missing(star)
+    house.update("customers", spark.range(20).selectExpr("id AS customer_id", "'Unset' AS tier"))
+    earned = enrichment.tier_assignment(house).select("customer_id", "tier")
+    assert house.update("customers", earned)
+    assert dict(rows(earned)).items() <= tiers(house).items()
+    assert house.update("customers", earned) == []

@@ -111,9 +111,12 @@ def newest(days: DataFrame, label, count: int, has_rows) -> Period | None:
         asked *= 4
 
 
+PLACED = "order_status <> 'Processing'"
+
+
 def placed() -> Column:
     """Orders past processing; cancelled ones still count."""
-    return F.expr("order_status <> 'Processing'")
+    return F.expr(PLACED)
 
 
 SETTLED = "order_status NOT IN ('Cancelled', 'Processing')"

@@ -15,6 +15,7 @@ from tillwise.functions import calendar, rules
 from tillwise.functions.measures import exact_mean, percent, ratio, rows, share_of_rows
 from tillwise.operators.selection import (
     NO_FILTERS,
+    PLACED,
     SETTLED,
     Filters,
     Period,
@@ -257,27 +258,37 @@ def zone_comparison(
 
 def _by_place(store, place, period, filters):
     """Orders are summed by customer first. Where a customer has one place, only those
-    sums meet the places; and distinct customers are rows by then."""
-    of_customer = store.placed_by_customer
-    keys = ["customer_id"] if of_customer else [place, "customer_id"]
-    orders = _orders(
-        store, [*keys, "final_amount", "delivery_days"], period, filters, ("category",), placed()
-    )
-    sums = orders.groupBy(*keys).agg(
-        _revenue(),
-        _count(),
-        F.sum("delivery_days").alias("days"),
-        F.count("delivery_days").alias("deliveries"),
-        F.count_if(is_status("Returned")).alias("returned"),
-    )
-    if of_customer:
-        sums = of_customer(sums, place)
+    sums meet the places; and distinct customers are rows by then. A store that has the
+    totals and the sets of customers by day puts these together instead."""
+    buyers = store.placed_buyers(place, filters, ("category",), period)
+    if buyers is not None:
+        measures = ("revenue", "orders", "days", "deliveries", "returned")
+        totals = store.totals("orders", {place: place}, measures, filters, ("category",), PLACED, period)
+        # a union, so that orders without a place meet
+        sums = totals.unionByName(buyers, allowMissingColumns=True)
+        customers = F.coalesce(F.sum("customers"), F.lit(0).cast("bigint"))
+    else:
+        of_customer = store.placed_by_customer
+        keys = ["customer_id"] if of_customer else [place, "customer_id"]
+        orders = _orders(
+            store, [*keys, "final_amount", "delivery_days"], period, filters, ("category",), placed()
+        )
+        sums = orders.groupBy(*keys).agg(
+            _revenue(),
+            _count(),
+            F.sum("delivery_days").alias("days"),
+            F.count("delivery_days").alias("deliveries"),
+            F.count_if(is_status("Returned")).alias("returned"),
+        )
+        if of_customer:
+            sums = of_customer(sums, place)
+        customers = F.count("customer_id")
     total = F.sum("orders")
     return sums.groupBy(place).agg(
         _sum("revenue"),
         total.alias("orders"),
         ratio(F.sum("days"), F.sum("deliveries")).alias("avg_delivery"),
-        F.count("customer_id").alias("customers"),
+        customers.alias("customers"),
         percent(F.sum("returned"), total).alias("return_rate"),
     )
 

@@ -70,6 +70,11 @@ class OpsStore:
         fact = self.read(name, *columns, period=period).where(filters.on(*chosen))
         return rollup.aggregated(fact if keep is None else fact.where(keep), by, measures)
 
+    def placed_buyers(self, by: str, filters: Filters, chosen: Sequence[str], period: Period | None) -> DataFrame | None:
+        """Distinct customers with placed orders by a place column, where the store has them
+        without reading the orders."""
+        return None
+
     @staticmethod
     def _split_columns(name, by, filters, chosen, keep) -> list[str]:
         told = " ".join([*by.values(), keep or ""])

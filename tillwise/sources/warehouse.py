@@ -12,14 +12,14 @@ weeks. An append writes the roll-up of the touched months anew.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.operators.selection import NO_FILTERS, Period
-from tillwise.sources.rollups import ROLLUPS
+from tillwise.sources.rollups import BUYERS, ROLLUPS
 from tillwise.sources.schemas import TABLES
 from tillwise.sources.store import OpsStore
 
@@ -27,6 +27,10 @@ MONTH = "year_month"
 TIERS = "_tier_thresholds"
 #: Folders of a fact's daily roll-up, and of the months it has to be brought up to date for.
 ROLLED, PENDING = "_daily_", "_pending_"
+#: That of the customers who bought.
+BOUGHT = "_buyers_"
+#: Tables without a date stand in folders by a hash of their key, which an update replaces.
+SLICE, SLICES = "key_slice", 16
 
 
 class Warehouse(OpsStore):
@@ -107,11 +111,13 @@ class Warehouse(OpsStore):
         if months is not None:
             here = F.col(MONTH).isin([m for m in months if m is not None])
             fact = fact.where(here | F.col(MONTH).isNull() if None in months else here)
-        rollup = ROLLUPS[name].partial(fact, MONTH).repartition(MONTH)
-        writer = rollup.write.mode("overwrite").partitionBy(MONTH)
-        if not whole:
-            writer = writer.option("partitionOverwriteMode", "dynamic")
-        writer.parquet(self.path(ROLLED + name))
+        # the roll-up last: that it was written says that all of it was
+        for folder, kept in ((BOUGHT, BUYERS), (ROLLED, ROLLUPS[name])):
+            if folder == ROLLED or name == "orders":
+                writer = kept.partial(fact, MONTH).repartition(MONTH).write.mode("overwrite").partitionBy(MONTH)
+                if not whole:
+                    writer = writer.option("partitionOverwriteMode", "dynamic")
+                writer.parquet(self.path(folder + name))
         self._delete(PENDING + name)
         return sorted(months or [], key=str)
 
@@ -140,6 +146,19 @@ class Warehouse(OpsStore):
         kept = self._rollup(name, period).where(filters.on(*chosen))
         return ROLLUPS[name].combined(kept if keep is None else kept.where(keep), by, measures)
 
+    def placed_buyers(self, by, filters, chosen, period):
+        """From merged bitmaps. A filter on anything but a place asks for the orders."""
+        active = filters.active(*chosen)
+        if by not in BUYERS.split or not set(active) <= set(BUYERS.split) or not self.rolled_up("orders"):
+            return None
+        fact = {f.name: f.dataType for f in self._schema("orders").fields}
+        fields = [T.StructField(c, fact[c]) for c in (*BUYERS.split, MONTH)]
+        fields += [T.StructField("bucket", T.LongType()), T.StructField("buyers", T.BinaryType())]
+        kept = self.spark.read.schema(T.StructType(fields)).parquet(self.path(BOUGHT + "orders"))
+        if period is not None:
+            kept = kept.where(self._inside("orders", period))
+        return BUYERS.counted(kept.where(filters.on(*active)), by)
+
     def days(self, name: str) -> DataFrame:
         if name not in ROLLUPS or not self.rolled_up(name):
             return super().days(name)
@@ -148,6 +167,32 @@ class Warehouse(OpsStore):
     def has_days_exactly(self, name: str) -> bool:
         return name in ROLLUPS and self.rolled_up(name)
 
+    def update(self, name: str, changes: DataFrame) -> list[int]:
+        """Give rows of a table without a date new values: ``changes`` has its key, once each,
+        and the columns to change; keys that the table lacks are passed over. Only the folders
+        with a row that really changes are written anew, and put in place once all are
+        written, so that an update that fails leaves the table as it was. Returns these
+        folders' numbers."""
+        table = TABLES[name]
+        if table.date or not self.exists(name):
+            raise ValueError(f"{name} is not a table here that rows are updated in")
+        key, changed = table.primary_key, [c for c in changes.columns if c != table.primary_key]
+        unknown = set(changed) - set(table.columns)
+        if key not in changes.columns or not changed or unknown:
+            raise ValueError(f"changes need {key} and columns of {name}; unknown: {sorted(unknown)}")
+        if changes.groupBy(key).count().where("count > 1").limit(1).count():
+            raise ValueError(f"changes have a {key} more than once")
+        new = changes.select(key, *[F.col(c).cast(table.columns[c]).alias(f"new_{c}") for c in changed], F.lit(True).alias("hit"))
+        rows = self.spark.read.schema(self._schema(name)).parquet(self.path(name))
+        differs = reduce(Column.__or__, [~F.col(c).eqNullSafe(F.col(f"new_{c}")) for c in changed])
+        slices = [k for (k,) in rows.join(new, key).where(differs).select(SLICE).distinct().orderBy(SLICE).collect()]
+        if slices:
+            rows = rows.where(F.col(SLICE).isin(slices)).join(new, key, "left")
+            rows = rows.withColumns({c: F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)) for c in changed})
+            writer = rows.select(*table.columns, SLICE).hint("rebalance", SLICE).write.mode("overwrite")
+            writer.option("partitionOverwriteMode", "dynamic").partitionBy(SLICE).parquet(self.path(name))
+        return slices
+
     def rewritten(self, name: str, rows: DataFrame, root: str) -> Warehouse:
         """Write an updated table under a new root, which must not be this one: the rows
         are usually derived from the files they replace. The store returned has the new
@@ -165,14 +210,14 @@ class Warehouse(OpsStore):
     def _schema(self, name: str) -> T.StructType:
         table = TABLES[name]
         fields = list(table.struct.fields)
-        if table.date:
-            fields.append(T.StructField(MONTH, T.StringType()))
+        fields.append(T.StructField(MONTH, T.StringType()) if table.date else T.StructField(SLICE, T.IntegerType()))
         return T.StructType(fields)
 
     def _write(self, name: str, rows: DataFrame, mode: str) -> None:
         day = TABLES[name].date
         if day is None:
-            rows.write.mode(mode).parquet(self.path(name))
+            rows = rows.withColumn(SLICE, F.pmod(F.xxhash64(TABLES[name].primary_key), F.lit(SLICES)).cast("int"))
+            rows.hint("rebalance", SLICE).write.mode(mode).partitionBy(SLICE).parquet(self.path(name))
             return
         # Rebalancing gathers a month into few files and splits a large month, or a
         # hot one, into several, by map blocks rather than by value.
@@ -223,3 +268,6 @@ class WindowStore(OpsStore):
 
     def has_days_exactly(self, name: str) -> bool:
         return self.far.has_days_exactly(name)
+
+    def placed_buyers(self, by, filters, chosen, period):
+        return self._holder("orders", period).placed_buyers(by, filters, chosen, period)
