@@ -240,7 +240,7 @@ def test_earned_tiers_are_stored(spark, tmp_path):
     house = Warehouse(spark, str(tmp_path / "ops"))
     house.create_missing(star)
     house.update("customers", spark.range(20).selectExpr("id AS customer_id", "'Unset' AS tier"))
-    earned = enrichment.tier_assignment(house).select("customer_id", "tier")
-    assert house.update("customers", earned)
-    assert dict(rows(earned)).items() <= tiers(house).items()
-    assert house.update("customers", earned) == []
+    earned = dict(rows(enrichment.tier_assignment(house).select("customer_id", "tier")))
+    assert house.update("customers", enrichment.tier_assignment(house).select("customer_id", "tier"))
+    assert earned.items() <= tiers(house).items()
+    assert house.update("customers", enrichment.tier_assignment(house).select("customer_id", "tier")) == []
