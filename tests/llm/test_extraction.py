@@ -54,7 +54,19 @@ def test_extracted(spark):
     assert extracted(pages).count() == 5 and extracted(pages.limit(0)).count() == 0
 
 
+FULL = f"<article><h1>Title</h1><p>{A}</p><p>{B}</p></article>"
 WHOLE = {
+    "form around the page": (f"<body><form action=x><input type=hidden><nav>m</nav>{FULL}<footer>f</footer></form></body>", ["Title", A, B]),
+    "role form": (f"<div role=form><div class=menu>m</div>{FULL}</div>", ["Title", A, B]),
+    "role dialog": (f"<div role='dialog'><p>{A}</p><p>{B}</p></div>", [A, B]),
+    "page that fades in": (f"<body style='visibility: hidden'><nav>m</nav>{FULL}</body>", ["Title", A, B]),
+    "header of the article": (f"<header>Site <a href=/>home</a></header><article><header><h1>Title</h1><p>{A}</p></header><p>{B}</p></article>", ["Title", A, B]),
+    "article without scripts": (f"<nav>m</nav><noscript><div>{FULL}</div></noscript>", ["Title", A, B]),
+    "other forms, dialogs, headers": (
+        f"<header><p>{B}</p></header><form><p>{B}</p></form><dialog><p>{B}</p></dialog><div role=dialog>{B}</div><div hidden>{B}</div>"
+        f"<noscript><p>{B}</p></noscript><article><p>{A}</p><p>{A}</p><p>{A}</p><form><header>Log in</header><p>{B}</p></form></article>",
+        [A, A, A],
+    ),
     "named wrapper": (f"<div class='layout has-sidebar'><div class=sidebar>menu</div><article><p>{A}</p><p>{B}</p></article></div>", [A, B]),
     "named wrapper without article": (f"<body><div class=menu>m</div><div class='content-with-sidebar'><p>{A}</p><p>{B}</p></div></body>", [A, B]),
     "wrapper and comments": (

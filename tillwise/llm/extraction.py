@@ -35,11 +35,13 @@ from tillwise.llm.text import arrow, batch_of, chunks
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg object annotation annotation-xml".split())
-OUT = frozenset("head nav header footer aside form button select dialog menu canvas audio video".split()) | RAW
+RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg object annotation annotation-xml".split())
+OUT = frozenset("head nav footer aside button select menu canvas audio video".split()) | RAW
+#: Left out unless they hold most of the page, or its article; a header also where it is inside.
+WEIGHED = frozenset("header form dialog noscript".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hr html legend li main menu nav ol option p pre section select summary table tbody tfoot thead tr ul caption".split()
+    "head header hr html legend li main menu nav noscript ol option p pre section select summary table tbody tfoot thead tr ul caption".split()
 )
 CELL = frozenset(("td", "th", "br"))
 HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -55,7 +57,8 @@ CLOSES = {
     "option": (("option",), ("select",)),
     "body": (("head",), ("html",)),
 }
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog menu menubar".split())
+WEIGHED_ROLES = frozenset("dialog form".split())
 NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside notice notices cookie cookies consent "
     "gdpr alert ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus replies respond "
@@ -101,13 +104,14 @@ class Block(NamedTuple):
 
 
 def left_out(tag: str, rest: str) -> str:
-    """Why an element is left out: "kind" for its element, role or style, "comment" or
-    "name" for its class or id, or ""."""
+    """Why an element is left out: "kind" for its element or role, whatever it holds;
+    "header" for the element, "name" for an element, role, style, class or id, "comment" for a
+    class or id, which are weighed; or ""."""
     if tag in OUT:
         return "kind"
+    why = "header" if tag == "header" else "name" if tag in WEIGHED else ""
     if not rest or rest.isspace():
-        return ""
-    why = ""
+        return why
     for name, *values in ATTRIBUTE.findall(rest):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id") and tag not in EXEMPT:
@@ -116,8 +120,10 @@ def left_out(tag: str, rest: str) -> str:
                 why = "comment" if parts & COMMENT_NAMES else why or "name"
         elif name == "role" and value.lower() in ROLES:
             return "kind"
+        elif name == "role" and value.lower() in WEIGHED_ROLES:
+            why = why or "name"
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
-            return "kind"
+            why = "name" if why in ("", "header") else why
     return why
 
 
@@ -198,7 +204,7 @@ class Page:
             element = Element(tag, self.here, self.here.out)
             element.number = self.started
             why = "" if element.out else left_out(tag, rest)
-            if why in ("name", "comment") and self.kept is None:
+            if why and why != "kind" and self.kept is None:
                 self.flush()
                 self.named[element.number] = why
             elif why:
@@ -246,10 +252,19 @@ def points_of(text: str, linked: int) -> float:
     return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
 
 
+def stands_in(element: Element, around: Element) -> bool:
+    """Whether an element is inside another, with nothing that is weighed between them."""
+    while element.above and element.depth > around.depth + 1:
+        element = element.above
+        if element.tag in WEIGHED:
+            return False
+    return element.above is around
+
+
 def worth_keeping(page: Page) -> set[int]:
-    """The numbers of the named elements that stay: those with most of the page's points, and
-    those around its <main> or <article> with the most points, if it has a fifth of all.
-    Comments stay for their points only on a page without such."""
+    """The numbers of the named elements that stay: those with most of the page's points,
+    those around its <main> or <article> with the most points, if it has a fifth of all, and
+    the headers inside that <article>. Comments stay for their points only on a page without such."""
     points: dict[Element, float] = {}
     total = 0.0
     for text, linked, place in page.blocks:
@@ -265,7 +280,9 @@ def worth_keeping(page: Page) -> set[int]:
     named = [e for e in points if e.number in page.named]
     articles = [e for e in points if e.tag in ("article", "main") and e.number not in page.named and 5 * points[e] >= total]
     kept = {e.number for e in named if 2 * points[e] > total and not (articles and page.named[e.number] == "comment")}
-    element = max(articles, key=lambda e: (points[e], -e.number)) if articles else None
+    element = best = max(articles, key=lambda e: (points[e], -e.number)) if articles else None
+    if best and best.tag == "article":
+        kept |= {e.number for e in named if page.named[e.number] == "header" and stands_in(e, best)}
     while element:
         kept.add(element.number)
         element = element.above

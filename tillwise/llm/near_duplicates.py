@@ -43,7 +43,8 @@ from tillwise.llm.text import BASE, Words, arrow, batch_of, chunks, mixed, power
 SHINGLE = 5
 BANDS, ROWS = 16, 5
 BUCKET_BITS = 18
-FLOOR, FREQUENT = 0.01, 1_000_000
+#: The inverse document frequency is flat below this share of the documents.
+FLOOR = 0.01
 #: Bits of a shingle's hash; the others hold its document's place in the chunk.
 BITS = 54
 POINTS = 1 << 16
@@ -82,9 +83,8 @@ def frequencies(texts: DataFrame, stages: Stages) -> Weights:
     n, occurrences = texts.count(), sums.agg(F.sum("n")).first()[0]
     if not occurrences:
         return Weights(np.zeros(0, np.uint64), np.zeros(0), float(np.log1p(1.0)))
-    floor = max(FLOOR, occurrences / n / FREQUENT)
     heavy = np.zeros(1 << BUCKET_BITS, bool)
-    heavy[[r.bucket for r in sums.where(F.col("n") > floor * n).collect()]] = True
+    heavy[[r.bucket for r in sums.where(F.col("n") > FLOOR * n).collect()]] = True
     shared, out = spark.sparkContext.broadcast(np.packbits(heavy)), arrow(COUNTS)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +94,10 @@ def frequencies(texts: DataFrame, stages: Stages) -> Weights:
             found, df = np.unique(shingles[wanted[shingles >> np.uint64(BITS - BUCKET_BITS)]], return_counts=True)
             yield batch_of(out, shingle=found.view(np.int64), df=df)
 
-    frequent = texts.mapInArrow(count, COUNTS).groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > floor * n).toArrow()
+    frequent = texts.mapInArrow(count, COUNTS).groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") > FLOOR * n).toArrow()
     shingles, df = frequent.column("shingle").to_numpy().view(np.uint64), frequent.column("df").to_numpy()
     order = np.argsort(shingles)
-    return Weights(shingles[order], np.log1p(n / df[order]), float(np.log1p(1 / floor)))
+    return Weights(shingles[order], np.log1p(n / df[order]), float(np.log1p(1 / FLOOR)))
 
 
 SUMS, COUNTS = "bucket int, n long", "shingle long, df long"
