@@ -20,6 +20,7 @@ from tillwise.llm import (
     quality,
     recompression,
     secret_scan,
+    sql,
     toxicity,
 )
 from tillwise.llm.learning import fold
@@ -114,4 +115,4 @@ QUERIES: dict[str, Query] = {
     "op12_conversations": op12_conversations,
     "op13_manifest": op13_manifest,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
