@@ -32,7 +32,7 @@ def warehouse(spark, star, tmp_path_factory):
 # Catalog.
 
 
-def test_explore(store):
+def test_explore(spark, store):
     s = store(agents=[{"agent_id": k, "agent_name": f"A{k}", "team": "T"} for k in range(60)])
     assert catalog.explore(s, "agents", limit=50).count() == 50
     found = catalog.explore(s, "agents", "agent_id >= 58 AND team = 'T'", order_by=["agent_id"])
@@ -47,6 +47,15 @@ def test_explore(store):
     ]:
         with pytest.raises(catalog.ExplorerError):
             catalog.explore(s, table, condition, limit)
+    # what cannot be converted or divided by is null
+    for condition in ("CAST(agent_name AS INT) = 1", "agent_name = 5", "agent_id / 0 = 1", "agent_name::date = current_date()"):
+        assert catalog.explore(s, "agents", condition).collect() == []
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    for condition in ("agent_id IN (SELECT 1)", "raise_error('x') IS NULL", "java_method('java.lang.Math', 'abs', -1) = 1", "agent_id = rand()"):
+        with pytest.raises(catalog.ExplorerError):
+            catalog.explore(s, "agents", condition)
+    for condition in ("lower(agent_name) LIKE 'a5%'", "agent_id BETWEEN 50 AND 58 OR agent_id = 5 AND team IS NOT NULL", "substr(agent_name, 2, 1) = '5' AND length(agent_name) < 4 OR agent_name = 'A5'"):
+        assert catalog.explore(s, "agents", condition).count() >= 10, condition
     assert catalog.explore(s, "agents", limit=5000).count() == 60
     assert catalog.explore(s, "agents", limit=7).count() == 7
 

@@ -115,11 +115,18 @@ def test_hot_customer_meets_the_fanout_as_one_row(skewed):
             assert "final_amount" not in line and "csat_score" not in line
 
 
-def test_orphans_of_a_hot_key_are_counted_by_row(skewed):
-    few = FrameStore({**skewed.frames, "customers": skewed.frames["customers"].where("customer_id > 0")})
-    table = TABLES["orders"]
-    [found] = rows(catalog._orphans(few, table, "customer_id", "customers"))
-    assert found[2] == len(brute(skewed)[0])
+def test_orphans_of_a_hot_key_are_counted_by_row(spark, skewed):
+    empty = {name: spark.createDataFrame([], t.struct) for name, t in TABLES.items()}
+    tickets = skewed.frames["tickets"].withColumn("ticket_id", F.monotonically_increasing_id())
+    few = FrameStore({**empty, **skewed.frames, "tickets": tickets, "customers": skewed.frames["customers"].where("customer_id > 0")})
+    found = catalog.key_quality(few)
+    got = {(t, rule): n for t, rule, n in rows(found)}
+    assert got["orders", "foreign key customer_id"] == len(brute(skewed)[0])
+    # One shuffle by key, what a task has of a key being one row before it.
+    plan = physical(catalog.key_quality(few))
+    assert plan.count("Exchange hashpartitioning(space") == 1
+    before = plan.split("Exchange hashpartitioning(space")[1]
+    assert "HashAggregate" in before.split("Union")[0]
 
 
 def test_distinct_customers_are_counted_in_two_steps(skewed):

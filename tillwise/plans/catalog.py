@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillwise.operators.selection import Period
 from tillwise.sources.schemas import TABLES
 from tillwise.sources.store import OpsStore
 
-#: Functions that run JVM code.
-RUNS_CODE = re.compile(r"\b(reflect|try_reflect|java_method)\b\s*`?\s*\(", re.IGNORECASE)
+# The kinds of expression that a condition may consist of, by Spark's names.
+ALLOWED = frozenset(
+    """Alias AttributeReference Literal
+    And Or Not EqualTo EqualNullSafe GreaterThan GreaterThanOrEqual LessThan LessThanOrEqual Between In InSet IsNull IsNotNull
+    Add Subtract Multiply Divide IntegralDivide Remainder Pmod UnaryMinus UnaryPositive Abs Round BRound Floor Ceil CeilExpressionBuilder
+    With CommonExpressionDef CommonExpressionRef CaseWhen If Coalesce Nvl NullIf Greatest Least Cast TryCast
+    Like RLike Contains StartsWith EndsWith StringInstr StringLocate Lower Upper Length Substring Left Right Concat ConcatWs
+    StringTrim StringTrimLeft StringTrimRight StringReplace RegExpReplace RegExpExtract
+    Year Quarter Month WeekOfYear WeekDay DayOfWeek DayOfMonth DayOfYear LastDay DateAdd DateSub DateDiff AddMonths MonthsBetween
+    TruncDate DateFormatClass CurrentDate ParseToDate GetTimestamp MakeDate""".split()
+)
 
 
 class ExplorerError(ValueError):
@@ -32,18 +41,22 @@ def explore(
 ) -> DataFrame:
     """Rows of one of the five tables that meet a condition written as SQL text.
 
-    Without ``order_by`` any ``limit`` rows may come.
+    Without ``order_by`` any ``limit`` rows may come. A condition consists of ALLOWED kinds
+    of expression. A value that it cannot convert or divide by gives null, so the row does
+    not meet it: what is wrong with a condition shows here, not when the rows are read.
     """
     if table not in TABLES:
         raise ExplorerError(f"unknown table {table!r}; known: {', '.join(TABLES)}")
     if limit < 1:
         raise ExplorerError(f"limit {limit} is not positive")
-    if found := RUNS_CODE.search(condition):
-        raise ExplorerError(f"{found[1]} is not allowed in a condition")
     try:
         found = store.read(table)
         if condition.strip():
-            found = found.where(F.expr(condition))
+            with _nulls_for_errors(found.sparkSession):
+                found = found.where(F.expr(condition))
+            for kind in _kinds(found._jdf.queryExecution().analyzed().condition()):
+                if kind not in ALLOWED:
+                    raise ExplorerError(f"{kind} is not allowed in a condition")
         if columns:
             found = found.select(*columns)
         if order_by:
@@ -53,6 +66,26 @@ def explore(
         raise ExplorerError(f"SQL error: {error}") from error
 
 
+@contextmanager
+def _nulls_for_errors(spark: SparkSession) -> Iterator[None]:
+    """What is analysed inside gives null where ANSI SQL fails. The settings are the
+    session's, and are put back."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def _kinds(expression) -> Iterator[str]:
+    """The names of the kinds in an analysed expression."""
+    yield expression.getClass().getSimpleName()
+    children = expression.children()
+    for k in range(children.size()):
+        yield from _kinds(children.apply(k))
+
+
 def filter_options(store: OpsStore) -> DataFrame:
     """The values of each filter, sorted, after "All" at position 0."""
     # One pass over the orders leaves the few (state, zone, category) combinations.
@@ -87,44 +120,41 @@ def valid_period(store: OpsStore, period: Period) -> Period:
 
 def key_quality(store: OpsStore) -> DataFrame:
     """Violations of each table's key rules: duplicated primary keys (count of key
-    values), references to absent rows (count of rows), nulls where none may be."""
-    checks = []
-    for table in TABLES.values():
-        checks.append(_duplicates(store, table))
-        checks += [_orphans(store, table, c, to) for c, to in table.references.items()]
-        checks += [_nulls(store, table, c) for c in table.required]
-    return reduce(DataFrame.unionByName, checks).orderBy("table_name", "rule")
-
-
-def _finding(df, table, rule, violations):
-    return df.agg(violations.cast("bigint").alias("violations")).select(
-        F.lit(table.name).alias("table_name"), F.lit(rule).alias("rule"), "violations"
-    )
+    values), references to absent rows (count of rows), nulls where none may be.
 
-
-def _duplicates(store, table):
-    counts = store.read(table.name, table.primary_key).groupBy(table.primary_key).count()
-    return _finding(
-        counts, table, f"primary key {table.primary_key}", F.count_if(F.col("count") > 1)
-    )
-
-
-def _orphans(store, table, column, target):
-    # Counted by key first, so a key with many rows reaches the join as one row.
-    uses = (
-        store.read(table.name, column).where(F.col(column).isNotNull()).groupBy(column).count()
-    )
-    key = TABLES[target].primary_key
-    known = store.read(target, key)
-    lost = uses.join(known, uses[column] == known[key], "left_anti")
-    return _finding(
-        lost, table, f"foreign key {column}", F.coalesce(F.sum("count"), F.lit(0))
-    )
-
-
-def _nulls(store, table, column):
-    rows = store.read(table.name, column)
-    return _finding(rows, table, f"not null {column}", F.count_if(F.col(column).isNull()))
+    Each table is read once. A row gives an entry for its own key and one for each key it
+    refers to; entries of one key come together in one shuffle, before which a task's are
+    one row, so a key with a third of all references is one row for each task.
+    """
+    uses = [(t, c, to) for t in TABLES.values() for c, to in t.references.items()]
+    needs = [(t, c) for t in TABLES.values() for c in t.required]
+    counts = ["owners", *(f"uses{k}" for k in range(len(uses))), *(f"lacks{k}" for k in range(len(needs)))]
+
+    def entry(space, key, **given):
+        cells = ", ".join(f"{given.get(name, '0L')} AS {name}" for name in counts)
+        return f"struct('{space}' AS space, CAST({key} AS STRING) AS key, {cells})"
+
+    def entries(table):
+        lacks = {f"lacks{k}": f"CAST({c} IS NULL AS BIGINT)" for k, (t, c) in enumerate(needs) if t is table}
+        kept = [entry(table.name, table.primary_key, owners="1L", **lacks)]
+        for k, (t, column, target) in enumerate(uses):
+            if t is table:
+                kept.append(f"CASE WHEN {column} IS NOT NULL THEN {entry(target, column, **{f'uses{k}': '1L'})} END")
+        rows = store.read(table.name, table.primary_key, *table.references, *table.required)
+        if len(kept) == 1:
+            return rows.selectExpr(f"{kept[0]} AS e").select("e.*")
+        return rows.selectExpr(f"inline(filter(array({', '.join(kept)}), e -> e IS NOT NULL))")
+
+    keys = reduce(DataFrame.unionByName, map(entries, TABLES.values())).groupBy("space", "key")
+    keys = keys.agg(*[F.sum(name).alias(name) for name in counts])
+    found = {(t.name, f"primary key {t.primary_key}"): f"count_if(space = '{t.name}' AND owners > 1)" for t in TABLES.values()}
+    for k, (t, column, target) in enumerate(uses):
+        found[t.name, f"foreign key {column}"] = f"coalesce(sum(uses{k}) FILTER (WHERE space = '{target}' AND owners = 0), 0L)"
+    for k, (t, column) in enumerate(needs):
+        found[t.name, f"not null {column}"] = f"coalesce(sum(lacks{k}), 0L)"
+    totals = keys.selectExpr(*[f"{sql} AS found{k}" for k, sql in enumerate(found.values())])
+    lines = ", ".join(f"'{table}', '{rule}', found{k}" for k, (table, rule) in enumerate(found))
+    return totals.selectExpr(f"stack({len(found)}, {lines}) AS (table_name, rule, violations)").orderBy("table_name", "rule")
 
 
 def schema_catalog(store: OpsStore) -> DataFrame:
