@@ -244,3 +244,48 @@ def test_earned_tiers_are_stored(spark, tmp_path):
     assert house.update("customers", enrichment.tier_assignment(house).select("customer_id", "tier"))
     assert earned.items() <= tiers(house).items()
     assert house.update("customers", enrichment.tier_assignment(house).select("customer_id", "tier")) == []
+
+
+# Metadata.
+
+
+def test_schema_listing_reads_footers_only(spark, pair, people):
+    from tillwise.plans import catalog
+
+    house, plain = pair
+    assert rows(catalog.schema_catalog(house)) == rows(catalog.schema_catalog(plain))
+    for store, name in ((house, "orders"), (house, "tickets"), (people, "customers")):
+        plan = store.counted(name)._jdf.queryExecution().executedPlan().toString()
+        assert "PushedAggregation: [COUNT(*)" in plan
+    listed = {(t, c): (k, kind, needed, key) for t, k, c, kind, needed, key in catalog.declared()}
+    assert {(r.table_name, r.column_name): (r.position, r.data_type, r.not_null, r.primary_key) for r in catalog.schema_catalog(plain).collect()} == listed
+
+
+def test_results_are_found_again_until_a_file_changes(spark, pair, tmp_path):
+    from tillwise.session import Results
+
+    house, plain = pair
+    results = Results(spark, str(tmp_path / "kept"))
+    query = lambda period=YEAR, filters=Filters(): sales.revenue_daily(house, period, filters)
+    assert not results.has(query())
+    first = results.of(query())
+    assert rows(first) == rows(query())
+    assert results.has(query()) and all("/kept/" in path for path in first.inputFiles())
+    written = modified(str(tmp_path / "kept"))
+    assert rows(results.of(query())) == rows(first) and modified(str(tmp_path / "kept")) == written
+    assert not results.has(query(filters=Filters(state="Goa")))
+    assert not results.has(query(period=Period.of("2023-01-01", "2023-12-30")))
+    house.append("orders", facts(spark, [date(2023, 12, 24)], first=5000)["orders"])
+    assert not results.has(query())
+    assert rows(results.of(query())) == rows(query())
+    results.forget(query())
+    assert not results.has(query())
+    results.of(query())
+    results.clear()
+    assert not results.has(query()) and not os.path.exists(tmp_path / "kept")
+    frames = results.of(plain.orders("state").groupBy("state").count())
+    assert frames.count() == 2
+    other = spark.createDataFrame([(1, 2)], "a int, b int"), spark.createDataFrame([(1, 3)], "a int, b int")
+    assert results.key(other[0]) != results.key(other[1])
+    with pytest.raises(ValueError, match="not kept"):
+        results.of(spark.range(3).withColumn("x", F.rand()))

@@ -158,23 +158,30 @@ def key_quality(store: OpsStore) -> DataFrame:
 
 
 def schema_catalog(store: OpsStore) -> DataFrame:
-    """Each column's declared type and rules, and the nulls and rows found in it."""
+    """Each column's declared type and rules, and the nulls and rows found in it. Rows and
+    values are counted, which a store can tell from the footers of its files."""
     return reduce(
         DataFrame.unionByName, [_columns_of(store, t) for t in TABLES.values()]
     ).orderBy("table_name", "position")
 
 
+def declared() -> list[tuple[str, int, str, str, int, int]]:
+    """The listing without what is found in the tables: table, position, column, type,
+    whether it must not be null, whether it is the key. No job."""
+    return [
+        (t.name, k, c, kind.simpleString(), int(c in t.required), int(c == t.primary_key))
+        for t in TABLES.values()
+        for k, (c, kind) in enumerate(t.columns.items())
+    ]
+
+
 def _columns_of(store, table):
-    df = store.read(table.name)
-    counted = df.selectExpr(
-        "count(1) AS total_rows", *[f"count_if({c} IS NULL) AS {c}" for c in table.columns]
-    )
     lines = [
-        f"{position}, '{column}', '{kind}', {int(column in table.required)}, "
-        f"{int(column == table.primary_key)}, {column}"
-        for position, (column, kind) in enumerate(df.dtypes)
+        f"{position}, '{column}', '{kind}', {needed}, {key}, total_rows - n_{column}"
+        for name, position, column, kind, needed, key in declared()
+        if name == table.name
     ]
-    return counted.selectExpr(
+    return store.counted(table.name).selectExpr(
         f"'{table.name}' AS table_name",
         "total_rows",
         f"stack({len(lines)}, {', '.join(lines)}) AS "

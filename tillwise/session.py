@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,6 +14,8 @@ SETTINGS = {
     # Recording the call site of every column expression costs more than the
     # analysis of the plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Counts of whole tables come from the footers of their files (``Warehouse.counted``).
+    "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # One order, customer or part may own a large share of the rows. AQE cuts such
@@ -48,6 +51,80 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         df.unpersist()
 
 
+class Results:
+    """Results kept as Parquet below a folder, found again by what they are computed from.
+
+    A result's key is its plan, with all arguments, and the name, length and time of each
+    file that the plan reads. The same query on the same files is read back instead of
+    computed, by any session; files that were added or replaced make it another key. Plans
+    whose rows may change from run to run are refused.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def of(self, df: DataFrame) -> DataFrame:
+        """The rows of ``df``, computed if they are not there yet."""
+        path = f"{self.folder}/{self.key(df)}"
+        if not self._there(f"{path}/_SUCCESS"):
+            df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def has(self, df: DataFrame) -> bool:
+        return self._there(f"{self.folder}/{self.key(df)}/_SUCCESS")
+
+    def forget(self, df: DataFrame) -> None:
+        """Drop one result; the next ``of`` computes it again."""
+        self._delete(f"{self.folder}/{self.key(df)}")
+
+    def clear(self) -> None:
+        """Drop all results."""
+        self._delete(self.folder)
+
+    def key(self, df: DataFrame) -> str:
+        plan = df._jdf.queryExecution().analyzed()
+        if not plan.deterministic():
+            raise ValueError("the result may change from run to run: it is not kept")
+        setting = "spark.sql.debug.maxToStringFields"
+        before = self.spark.conf.get(setting)
+        # the text of a plan names all its columns and expressions only so
+        self.spark.conf.set(setting, str(1 << 20))
+        try:
+            text = plan.canonicalized().toString()
+        finally:
+            self.spark.conf.set(setting, before)
+        told = [text, str(df.semanticHash()), df.schema.json(), *self._files(df)]
+        return hashlib.sha256("\n".join(told).encode()).hexdigest()
+
+    def _files(self, df: DataFrame) -> list[str]:
+        """Name, length and time of the files read, a listing for each of their folders."""
+        files = set(df.inputFiles())
+        found = []
+        for folder in sorted({name.rsplit("/", 1)[0] for name in files}):
+            path = self._path(folder)
+            for status in path.getFileSystem(self._conf()).listStatus(path):
+                name = status.getPath().toUri().getRawPath()
+                if not name.rsplit("/", 1)[-1].startswith(("_", ".")):
+                    found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+        return sorted(found)
+
+    def _conf(self):
+        return self.spark._jsc.hadoopConfiguration()
+
+    def _path(self, name: str):
+        # the names of files read are URIs
+        jvm = self.spark._jvm
+        return jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(name)) if "://" in name or name.startswith("file:") else jvm.org.apache.hadoop.fs.Path(name)
+
+    def _there(self, name: str) -> bool:
+        path = self._path(name)
+        return path.getFileSystem(self._conf()).exists(path)
+
+    def _delete(self, name: str) -> None:
+        path = self._path(name)
+        path.getFileSystem(self._conf()).delete(path, True)
+
+
 def forget_all(spark: SparkSession) -> None:
     """Drop every kept result."""
     spark.catalog.clearCache()

@@ -42,6 +42,14 @@ class OpsStore:
     def customers(self, *columns: str) -> DataFrame:
         return self.read("customers", *columns)
 
+    def counted(self, name: str) -> DataFrame:
+        """One row: ``total_rows`` of a table, and ``n_<column>``, the values of each column."""
+        return self._counts(name, self.read(name))
+
+    @staticmethod
+    def _counts(name: str, rows: DataFrame) -> DataFrame:
+        return rows.selectExpr("count(1) AS total_rows", *[f"count({c}) AS n_{c}" for c in TABLES[name].columns])
+
     def customer_parts(self) -> Sequence[OpsStore]:
         """Stores that share out the customers, each with all facts of its own."""
         return [self]
