@@ -3,15 +3,17 @@
     BENCH_SF_DIR  test data folder, default /root/testdata/sf0.1
     BENCH_CPUS    local cores, default 8
     BENCH_QUERIES comma-separated names, default all
+    BENCH_RUNS    runs of each query, of which the median counts, default 3
 
 Each query is planned and executed in full, its rows going to Spark's no-op sink.
-A few untimed queries warm up the JVM.
+A few untimed queries warm up the JVM. The runs of a query are a round apart.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 from pathlib import Path
@@ -47,11 +49,13 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     for name in WARM_UP:
         timed(registry.run(name, spark, sf_dir))
-    times = {}
-    for name in names or registry.PLANS:
-        began = time.perf_counter()
-        timed(registry.run(name, spark, sf_dir))
-        times[name] = round(time.perf_counter() - began, 3)
+    runs: dict[str, list[float]] = {name: [] for name in names or registry.PLANS}
+    for _ in range(int(os.environ.get("BENCH_RUNS", "3"))):
+        for name, seconds in runs.items():
+            began = time.perf_counter()
+            timed(registry.run(name, spark, sf_dir))
+            seconds.append(time.perf_counter() - began)
+    times = {name: round(statistics.median(seconds), 3) for name, seconds in runs.items()}
     sf = Path(sf_dir).name.removeprefix("sf")
     print(
         json.dumps(

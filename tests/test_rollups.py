@@ -192,7 +192,7 @@ def people(spark, tmp_path):
     columns = TABLES["customers"].columns
     cells = {"customer_id": F.col("id"), "full_name": F.concat(F.lit("C"), F.col("id")), "tier": F.lit("Bronze")}
     listed = spark.range(400).select(*[cells.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in columns.items()])
-    house = Warehouse(spark, str(tmp_path / "ops"))
+    house = Warehouse(spark, str(tmp_path / "people"))
     house.append("customers", listed)
     return house
 
