@@ -103,3 +103,11 @@ def test_odd_rows(documents, odd_rows):
     assert mixing.mixed(none).count() == 0 and mixing.mixture(none).count() == 0
     empty = mixing.mixed(documents([(1, None, None, "a", None), (2, "", None, None, None)])).collect()
     assert [(r.size, r.target, r.taken) for r in empty] == [(0, 0.0, 0)] * 2
+
+
+def test_documents_with_one_id_are_told_apart(documents):
+    """Equal ids have one draw; still the number of documents wanted is taken."""
+    rows = [(None, "one two three", "en", "a")] * 400 + [(7, "four five", "en", "b")] * 200 + [(k, prose(3, k), "en", "c") for k in range(50)]
+    got = mixing.mixed(documents(rows)).toPandas()
+    for _, of in got.groupby("source"):
+        assert abs(of.taken.sum() - of.target.iloc[0]) <= 3 and (of.taken <= 2 * of["size"]).all()

@@ -18,9 +18,8 @@ Choice. A source first gives all its documents as often as its target allows who
    reachable sum that is nearest to the last rest (of two equally near, the lower).
 
 This runs as one small group per source whose rows are lengths, not documents. How many of
-a length are taken decides the documents: the first ones by a seeded hash of doc_id. Each
-length is dealt into about as many hash buckets as the square root of its documents, so
-that ranks need no group larger than that.
+a length are taken decides the documents: the first ones by a seeded hash of doc_id, equal
+ids by row. Their places are found by ranges of these (`ranks`), so no task holds a length.
 
 No document is taken more than `epochs` times. Null and empty texts have size 0 and are
 taken as size 0. Repeated rows are rows of their own. An empty table gives an empty result.
@@ -36,6 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.llm.ranks import ranked
 from tillwise.llm.staging import Stages
 from tillwise.llm.text import WORD_PATTERN
 
@@ -143,30 +143,24 @@ def planned(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     return lengths.join(goals, F.col("source").eqNullSafe(F.col("s"))).drop("s").groupBy("source").applyInPandas(_plan, PLAN)
 
 
-def chosen(rows: DataFrame, plan: DataFrame, seed: int = 11) -> DataFrame:
-    """The rows (row, doc_id, source, size and more) with source_size, target and taken."""
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.size") == F.col(f"{b}.size"))
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
+def chosen(rows: DataFrame, plan: DataFrame, stages: Stages, seed: int = 11) -> DataFrame:
+    """The rows (row, doc_id, source, size and more) with source_size, target and taken. Of a
+    source and length the first `extra` by draw are taken once more; their places are found
+    by ranges of the draw, so equal ids, which have one draw, are split as well."""
+    same = F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.size") == F.col("p.size"))
+    group = F.concat(F.col("size").cast("string"), F.lit(":"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
     dealt = (
         rows.alias("r")
-        .join(plan.alias("p"), same("r", "p"))
-        .select("r.*", "n", "whole", "extra", "source_size", "target")
-        .withColumn("draw", draw)
-        .withColumn("bucket", F.floor(F.shiftrightunsigned("draw", 40) / float(1 << 24) * F.ceil(F.sqrt("n"))))
+        .join(plan.drop("n").alias("p"), same)
+        .select("r.*", "whole", "extra", "source_size", "target")
+        .withColumns({"draw": F.xxhash64(F.lit(seed), F.col("doc_id")), "group": group})
     )
-    bucket = Window.partitionBy("source", "size", "bucket")
-    counted = dealt.groupBy("source", "size", "bucket").agg(F.count("*").alias("in_bucket"))
-    before = F.sum("in_bucket").over(Window.partitionBy("source", "size").orderBy("bucket")) - F.col("in_bucket")
-    counted = counted.withColumn("before", before)
-    ranked = dealt.withColumn("place", F.row_number().over(bucket.orderBy("draw", "doc_id", "row")))
-    again = F.when(F.col("place") + F.col("before") <= F.col("extra"), 1).otherwise(0)
+    again = F.when(F.col("pos") < F.col("extra"), 1).otherwise(0)
     return (
-        ranked.alias("d")
-        .join(counted.alias("c"), same("d", "c") & (F.col("d.bucket") == F.col("c.bucket")))
-        .select("d.*", "before")
+        ranked(stages, "chosen", dealt, "group", ["draw", "doc_id", "row"])
         .withColumn("copies", F.col("whole") + again)
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("n", "whole", "extra", "draw", "bucket", "place", "before")
+        .drop("n", "pos", "whole", "extra", "draw", "group")
     )
 
 
@@ -176,7 +170,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1
     stages = Stages(docs.sparkSession, "mixing")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size(F.col("text")).alias("size"))
     rows = stages.write(rows, "rows")
-    return chosen(rows, stages.write(planned(rows, weights, budget, epochs), "plan")).drop("row")
+    return chosen(rows, stages.write(planned(rows, weights, budget, epochs), "plan"), stages).drop("row")
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, epochs: int = 2) -> DataFrame:
@@ -186,6 +180,6 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     numbered = stages.write(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "documents")
     rows = numbered.select("row", "doc.doc_id", "doc.source", size(F.col("doc.text")).alias("size"))
     rows = stages.write(rows, "rows")
-    taken = chosen(rows, stages.write(planned(rows, weights, budget, epochs), "plan")).where("copies > 0").select("row", "copies")
+    taken = chosen(rows, stages.write(planned(rows, weights, budget, epochs), "plan"), stages).where("copies > 0").select("row", "copies")
     columns = [F.col("doc").getField(c).alias(c) for c in docs.columns if c != "copies"]
     return numbered.join(taken, "row").select(*columns, "copies")
