@@ -141,3 +141,10 @@ def test_filters(spark):
     shown = Filters(state="A", segment="SME").summary()
     assert one(spark, shown) == "State: A / Segment: SME"
     assert one(spark, Filters().summary()) == "No filters applied"
+
+
+def test_quoted_text_is_itself(spark):
+    from tillwise.functions.text import quoted
+
+    for value in ("it's", "back\\slash", "both \\' of", "₹", ""):
+        assert spark.range(1).selectExpr(f"{quoted(value)} AS v").first()[0] == value

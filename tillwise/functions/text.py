@@ -41,3 +41,8 @@ def code(prefix: str, width: int, number: Column) -> Column:
 
 def contact_handle(name: Column) -> Column:
     return F.replace(F.lower(name), F.lit(" "), F.lit("."))
+
+
+def quoted(value: str) -> str:
+    """A SQL text literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -52,6 +52,11 @@ RECOMMENDATIONS = {
     "Escalation Rate": "Review Tier-1 agent training for the categories driving escalations. Check if new product launches are causing knowledge gaps.",
 }
 NOTHING_TO_DO = "Continue monitoring. No critical actions required this week."
+LOOK_INTO = ("Review ", " trend and investigate root cause with the respective team.")
+RISEN, FALLEN = " has increased by ", " has decreased by "
+CURRENT, AVERAGE, TREND = " (current: ", ", 4-week avg: ", "). Trend is "
+BETTER, WORSE, STOP = "improving", "concerning", "."
+DAYS = " days"
 
 # --- Detection --------------------------------------------------------------------
 
@@ -104,7 +109,7 @@ def _newest_week(weekly, rules, first, last, offset):
         *[f"avg(CAST({c} AS DOUBLE)) OVER ({frame}) AS baseline_{c}" for c in columns],
     )
     lines = [
-        f"{position}, '{r.metric}', '{r.unit}', {r.higher_better}, {r.threshold}D, "
+        f"{position}, {text.quoted(r.metric)}, {text.quoted(r.unit)}, {r.higher_better}, {r.threshold}D, "
         f"current_{r.column}, baseline_{r.column}"
         for position, r in enumerate(rules, offset)
     ]
@@ -129,15 +134,15 @@ def _message() -> Column:
     better = F.when(F.col("higher_better"), pct > 0).otherwise(pct < 0)
     return F.concat(
         F.col("metric"),
-        F.when(pct > 0, F.lit(" has increased by ")).otherwise(F.lit(" has decreased by ")),
+        F.when(pct > 0, F.lit(RISEN)).otherwise(F.lit(FALLEN)),
         text.suffixed(F.abs(pct), 1, "%"),
-        F.lit(" (current: "),
+        F.lit(CURRENT),
         _in_unit(F.col("current")),
-        F.lit(", 4-week avg: "),
+        F.lit(AVERAGE),
         _in_unit(F.col("baseline")),
-        F.lit("). Trend is "),
-        F.when(better, F.lit("improving")).otherwise(F.lit("concerning")),
-        F.lit("."),
+        F.lit(TREND),
+        F.when(better, F.lit(BETTER)).otherwise(F.lit(WORSE)),
+        F.lit(STOP),
     )
 
 
@@ -146,7 +151,7 @@ def _in_unit(value: Column) -> Column:
     return (
         F.when(unit == "₹", text.money_text(value))
         .when(unit == "%", text.suffixed(value, 1, "%"))
-        .when(unit == "d", text.suffixed(value, 1, " days"))
+        .when(unit == "d", text.suffixed(value, 1, DAYS))
         .otherwise(text.grouped(value, 1))
     )
 
@@ -156,11 +161,7 @@ def _in_unit(value: Column) -> Column:
 
 def alert_recommendations(alerts: DataFrame) -> DataFrame:
     """An action for each critical or warning alert; one default line if there is none."""
-    default = F.concat(
-        F.lit("Review "),
-        F.col("metric"),
-        F.lit(" trend and investigate root cause with the respective team."),
-    )
+    default = F.concat(F.lit(LOOK_INTO[0]), F.col("metric"), F.lit(LOOK_INTO[1]))
     actions = alerts.where(F.col("severity").isin("critical", "warning")).select(
         rank_in(F.col("severity"), SEVERITIES).alias("severity_rank"),
         "position",

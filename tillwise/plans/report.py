@@ -112,8 +112,8 @@ def return_benchmark(
 def kpi_sheet(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
     """The executive figures, one per row: number, change and display text."""
     lines = [
-        f"{place}, '{label}', CAST({value} AS DOUBLE), {change or 'CAST(NULL AS DOUBLE)'}, "
-        f"'{prefix}', {digits}, {grouped}, '{suffix}'"
+        f"{place}, {text.quoted(label)}, CAST({value} AS DOUBLE), {change or 'CAST(NULL AS DOUBLE)'}, "
+        f"{text.quoted(prefix)}, {digits}, {grouped}, {text.quoted(suffix)}"
         for place, (label, value, change, prefix, digits, grouped, suffix) in enumerate(SHEET, 1)
     ]
     return (
