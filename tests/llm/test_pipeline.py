@@ -25,7 +25,7 @@ def folder(spark, path, rows, columns=DOCUMENT):
 def test_stages_and_their_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near-duplicates", "benchmark decontamination", "personal data", "source mixing"]
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_stages_take_effect(spark, tmp_path):
