@@ -35,11 +35,21 @@ from tillwise.operators.shaping import (
     whole,
 )
 from tillwise.plans.weeks import newest_days
+from tillwise.sources.passes import Mix, one_pass
 from tillwise.sources.store import OpsStore
 
 SERIES = ["revenue", "discount", "orders", "gst"]
 PLACE_AND_KIND = ("state", "zone", "category")
 
+# The totals that several datasets of a report come from.
+BY_DAY = Mix("order_date", "date", tuple(SERIES), PLACE_AND_KIND, SETTLED)
+BY_STATE = Mix("state", "state", ("revenue", "orders", "days", "deliveries", "returned"), ("category",), PLACED, buyers=True)
+BY_CATEGORY = Mix(
+    "category", "category", ("revenue", "orders", "amounts", "discount", "days", "deliveries"), ("state", "zone"), SETTLED
+)
+BY_METHOD = Mix("payment_method", "payment_method", ("orders", "revenue", "amounts", "cancelled"), ("state",))
+REPORT_MIXES = (BY_DAY, BY_STATE, BY_CATEGORY, BY_METHOD)
+
 
 def _orders(
     store: OpsStore,
@@ -82,7 +92,7 @@ def _return_rate() -> Column:
 
 def revenue_daily(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
     """Settled revenue, discount, order count and GST by day."""
-    daily = store.totals("orders", {"date": "order_date"}, SERIES, filters, PLACE_AND_KIND, SETTLED, period)
+    daily = BY_DAY.of(store, period, filters)
     return daily.select("date", *SERIES).orderBy("date")
 
 
@@ -262,8 +272,7 @@ def _by_place(store, place, period, filters):
     totals and the sets of customers by day puts these together instead."""
     buyers = store.placed_buyers(place, filters, ("category",), period)
     if buyers is not None:
-        measures = ("revenue", "orders", "days", "deliveries", "returned")
-        totals = store.totals("orders", {place: place}, measures, filters, ("category",), PLACED, period)
+        totals = store.totals("orders", {place: place}, BY_STATE.measures, filters, ("category",), PLACED, period)
         # a union, so that orders without a place meet
         sums = totals.unionByName(buyers, allowMissingColumns=True)
         customers = F.coalesce(F.sum("customers"), F.lit(0).cast("bigint"))
@@ -307,9 +316,7 @@ def zone_metrics_long(
 
 def category_mix(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
     """Settled orders by category, largest revenue first."""
-    measures = ("revenue", "orders", "amounts", "discount", "days", "deliveries")
-    mix = store.totals("orders", {"category": "category"}, measures, filters, ("state", "zone"), SETTLED, period)
-    return mix.select(
+    return BY_CATEGORY.of(store, period, filters).select(
         "category",
         "revenue",
         "orders",
@@ -323,9 +330,7 @@ def payment_analysis(
     store: OpsStore, period: Period, filters: Filters = NO_FILTERS
 ) -> DataFrame:
     """All orders by payment method, whatever their status, largest revenue first."""
-    measures = ("orders", "revenue", "amounts", "cancelled")
-    methods = store.totals("orders", {"payment_method": "payment_method"}, measures, filters, ("state",), period=period)
-    return methods.select(
+    return BY_METHOD.of(store, period, filters).select(
         "payment_method",
         "orders",
         "revenue",
@@ -373,6 +378,21 @@ def product_return_watchlist(
     return top(returned, limit, "return_rate", "product_name", "category")
 
 
+def mixes(store: OpsStore, period: Period, filters: Filters = NO_FILTERS) -> DataFrame:
+    """Orders, revenue and mean delivery days by day, state, category and payment method, one
+    below the other, each over the orders that its own query counts: one scan of them."""
+    found = one_pass(store, REPORT_MIXES, period, filters)
+    label = F.coalesce(*[F.col(m.by).cast("string") for m in REPORT_MIXES])
+    return found.select(
+        "mix",
+        label.alias("label"),
+        "orders",
+        "revenue",
+        F.when(F.col("mix") == "state", F.col("customers")).alias("customers"),
+        ratio(F.col("days"), F.col("deliveries")).alias("avg_delivery"),
+    ).orderBy("mix", "label")
+
+
 # Exports.
 
 ORDER_EXPORT = [

@@ -129,6 +129,7 @@ PLANS: dict[str, Callable[[OpsStore], DataFrame]] = {
     "report_top_payments": lambda s: report.top_payments(s, PERIOD),
     "report_top_agents": lambda s: support.top_agents(s, PERIOD),
     "report_tickets_by_category": lambda s: support.tickets_by_category(s, PERIOD),
+    "report_mixes": lambda s: sales.mixes(s, PERIOD, IN_ASIA),
     "report_weekly_12": lambda s: report.weekly_totals(s, PERIOD),
     "report_return_benchmark": lambda s: report.return_benchmark(s, PERIOD),
     "payment_display": lambda s: report.payment_display(s, PERIOD),
