@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from llm_samples import documents, odd_rows, prose, words  # noqa: F401
+from pyspark.sql import functions as F
 
 from tillwise.llm import near_duplicates as near
 from tillwise.llm.staging import Stages
@@ -78,6 +79,40 @@ def test_a_crowded_bucket_loses_no_link(documents, monkeypatch):
     assert [got[d] for d, _ in rows] == brute(rows)
 
 
+def open_bucket(spark, n, strays, bucket=1):
+    """A bucket with n members of which all but some strays are of one component."""
+    key = F.encode(F.concat(F.lit(f"{bucket}:"), F.col("id").cast("string")), "utf-8")
+    one = F.encode(F.lit("one"), "utf-8")
+    return spark.range(n).select(
+        F.lit(bucket).cast("long").alias("bucket"), F.lit(n).cast("long").alias("n"), key.alias("key"), F.when(F.col("id") < strays, key).otherwise(one).alias("component")
+    )
+
+
+def test_blocks_grow_with_the_members(spark):
+    """Copies with one percent of strays: a row for each member, and the strays once for each
+    block of the others, in groups of bounded size."""
+    rows = {}
+    for n in (1000, 2000, 4000, 16_000):
+        out = near.dealt(open_bucket(spark, n, n // 100))
+        rows[n] = out.count()
+        assert out.groupBy("bucket", "i", "j").count().agg(F.max("count")).first()[0] < 3 * near.BLOCK
+    assert all(rows[n] < 1.2 * n for n in (1000, 2000, 4000))
+    assert rows[16_000] < 16_000 + 2 * 16_000 * 160 / near.BLOCK
+
+
+@pytest.mark.parametrize("n,strays", [(30, 30), (30, 1), (5, 2), (4, 4), (21, 9)])
+def test_members_of_different_components_meet(spark, monkeypatch, n, strays):
+    monkeypatch.setattr(near, "BLOCK", 4)
+    groups = {}
+    for r in near.dealt(open_bucket(spark, n, strays)).collect():
+        groups.setdefault((r.i, r.j), []).append((bytes(r.key), bytes(r.component)))
+    met = {frozenset((a, b)) for g in groups.values() for a, x in g for b, y in g if x != y}
+    members = [(f"1:{k}".encode(), f"1:{k}".encode() if k < strays else b"one") for k in range(n)]
+    assert met == {frozenset((a, b)) for a, x in members for b, y in members if x != y}
+    apart = [g for (i, _), g in groups.items() if i < 0]
+    assert n <= 4 or strays == n or apart
+
+
 def test_samples_agree_as_often_as_the_weights_do():
     draw = np.random.default_rng(3)
     shingles = np.sort(draw.integers(0, 1 << near.BITS, 400, dtype=np.uint64))

@@ -19,8 +19,9 @@ similarity of their bags is 0.8 or more; classes are the connected components of
    leader, which connects most copies. Buckets whose members don't all follow one leader
    are compared in full, but in tasks: their members are dealt into blocks of about BLOCK, each
    pair of blocks is one small group, whose similarities come from one matrix product, and
-   what leaves the task is at most one link per member. So no bucket size is cut off, and
-   rows grow with members times blocks, not with pairs.
+   what leaves the task is at most one link per member. Members that one component already
+   holds are not compared with each other. So no bucket size is cut off, and rows grow with
+   members times blocks of strays, not with pairs.
 
 Documents without words (null, empty, blank) link with nothing and stay. Repeated rows and
 ties: equal texts are one class; its id is the smallest doc_id (null ids last).
@@ -263,10 +264,7 @@ class _Verifier:
         now = self.member.join(of, "key", "left").withColumn("component", F.coalesce("component", "key"))
         several = now.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
         now = self.stages.write(now.join(several, "bucket", "left_semi").select("bucket", "n", "key", "component"), "open")
-        blocks = F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int")
-        now = now.withColumn("mine", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-        now = now.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        now = now.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "component")
+        now = dealt(now)
         grouped = now.join(self.texts, "key").groupBy("bucket", "i", "j")
         links = grouped.applyInArrow(_linker(self.weights, self.similarity, self.stages.spark), LINK)
         links = self.stages.write(links, "links")
@@ -274,6 +272,33 @@ class _Verifier:
         self.stages.drop("open", "texts", "links")
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """bucket, i, j, key, component: the groups (bucket, i, j) in which any two members
+    (bucket, n, key, component) of a bucket meet that are not of one component yet.
+
+    Members of a bucket's largest component are together already. They are dealt into blocks
+    -1, -2, ..., all others into blocks 0, 1, ..., and each block of others meets every block
+    of both sides. A bucket of n members with s others makes up to about n + 2 n s / BLOCK
+    rows, whatever pairs are alike. A bucket of one block is one group.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"))
+    split = f"n > {BLOCK}"
+    sides = members.join(most, "bucket").selectExpr(
+        "bucket", "key", "component", f"{split} AS split", f"{split} AND component = most.component AS inside",
+        f"CAST(ceil(most.size / {BLOCK}D) AS INT) AS inner_blocks",
+        f"CAST(IF({split}, ceil((n - most.size) / {BLOCK}D), 1) AS INT) AS outer_blocks",
+    )
+    placed = sides.withColumn("mine", F.expr("CAST(pmod(xxhash64(key), IF(inside, inner_blocks, outer_blocks)) AS INT)"))
+    outer, inner = "sequence(0, outer_blocks - 1)", "sequence(0, inner_blocks - 1)"
+    met = (
+        f"IF(inside, transform({outer}, o -> struct(-1 - mine AS i, o AS j)), "
+        f"concat(transform({outer}, o -> struct(least(mine, o) AS i, greatest(mine, o) AS j)), "
+        f"IF(split, transform({inner}, o -> struct(-1 - o AS i, mine AS j)), array())))"
+    )
+    return placed.select("bucket", "key", "component", F.explode(F.expr(met)).alias("at")).select("bucket", "at.i", "at.j", "key", "component")
+
+
 LINK = "u binary, v binary"
 
 
