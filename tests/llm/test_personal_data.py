@@ -1,12 +1,14 @@
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from llm_samples import documents, odd_rows, prose  # noqa: F401
 from tillwise.llm import personal_data as pii
+from tillwise.llm import trees
 from tillwise.llm.respelled import respell, respelled
 
 # The rules read literally.
@@ -101,6 +103,32 @@ def test_spelled_forms_are_proposed():
         assert pii.suspects(pa.array([None, "none here", text])) == [2]
 
 
+def test_the_fit_reads_every_document(spark):
+    """80 documents with addresses among 300,000: a sample of 18,000 has about five."""
+    from pyspark.sql import functions as F
+
+    filler = spark.range(300_000).select("id", F.concat(F.lit("nothing here but words "), "id").alias("text"))
+    address = F.concat(F.lit("write to mail"), "id", F.lit("@host.example.com and to nobody else"))
+    docs = filler.withColumn("text", F.when(F.col("id") % 3750 == 0, address).otherwise(F.col("text")))
+    detector = pii.fit(docs.withColumnRenamed("id", "doc_id"))
+    assert detector.thresholds["email"] <= 1
+    [(base, spans)] = detector.spans(["write to mail7 (at) host (dot) example (dot) com and to nobody else"])
+    assert base == [] and [(s, k) for s, _, k in spans] == [(9, "email")]
+
+
+def test_trees_of_a_table_are_those_of_its_rows(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(3000, 6)) * 16) / 16
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=3000) / 4 > 0.5).astype(int)
+    rows = spark.createDataFrame([(int(b), bytearray(a.astype("<f8").tobytes())) for a, b in zip(x, y)], "y int, x binary")
+    whole = trees.fit(x, y.astype(float), n_trees=4, depth=3)
+    for parts in (1, 7):
+        found = trees.learned(rows.repartition(parts), n_trees=4, depth=3)
+        assert (found.feature == whole.feature).all() and (found.threshold == whole.threshold).all()
+        assert abs(found.leaf - whole.leaf).max() < 1e-6 and abs(found.base - whole.base) < 1e-12
+    assert trees.learned(rows.where("y = 1")).feature.shape[0] == trees.learned(rows.limit(0)).feature.shape[0] == 0
+
+
 def nobodys(k):
     """Numbers that are nobody's: dates, versions, amounts, order numbers."""
     return f"20{k % 10}{k % 9}-0{k % 9 + 1}-11 {k}.{k % 7}.0 costs {k * 37}.50 or {k * 7919:09d}"

@@ -12,8 +12,10 @@ separators, case, entropy) and context (neighbouring characters and words, names
 kind); checks such as Luhn are not among the inputs. Of overlapping candidates the best one
 stays, and none that overlaps a base span.
 
-They learn from the candidates outside the base spans, the only ones that can be added, in a
-bounded sample of documents. Labels are weak. Positive are: the base spans of a document
+They learn from the candidates outside the base spans, the only ones that can be added, of
+all documents; a quarter of the texts, by hash, is left out for the thresholds, which count
+all candidates of these. Tasks sum up what the trees need (`trees.learned`), so that no
+examples pass through the driver. Labels are weak. Positive are: the base spans of a document
 written in other forms (`respelled`), a secret assigned to a name that says so, and a
 candidate of valid format behind a name of its kind ("tel", "mail"). All others are
 negative, as are readings of a respelled span as another kind. A kind's threshold is the
@@ -23,7 +25,8 @@ each of them.
 
 All spans are in code points, end exclusive. Null and empty texts have no spans. Texts are
 searched whole in time linear in their length. Repeated rows give the same spans each. On
-an empty table, or without candidates, only base spans are found. Nothing is shuffled.
+an empty table, or without candidates, only base spans are found. Only examples, histograms
+and counts of scores are shuffled.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm import trees
-from tillwise.llm.learning import bounded_sample
 from tillwise.llm.respelled import respelled
 from tillwise.llm.text import arrow, batch_of, chunks, utf8
 
@@ -57,8 +60,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 20_000, 40_000
 PRECISION = 0.95
+#: Steps of scores in which thresholds are looked for.
+STEPS = 1 << 16
 NEAR = 24
 
 ADDRESS = re.compile(r"[^\s<>\"',;()\[\]]{1,64}@[^\s<>\"',;()\[\]]{1,64}")
@@ -181,11 +185,12 @@ def labelled(text: str) -> Iterator[tuple[str, bool, list[float]]]:
         text, forms = respelled(text, base)
         again = Covered((s, e) for s, e, _ in base_spans(text))
         wanted, places = set(forms), Covered((s, e) for s, e, _ in forms)
+        same = {k: Covered((s, e) for s, e, of in forms if of == k) for k in BASE_KINDS}
         for start, end, kind, _ in candidates(text):
             if places.meets(start, end) and not again.meets(start, end):
                 positive = (start, end, kind) in wanted
                 # another extent of the same kind is neither right nor wrong
-                if positive or not any(s < end and start < e and k == kind for s, e, k in forms):
+                if positive or kind not in same or not same[kind].meets(start, end):
                     yield kind, positive, described(text, start, end, kind)
 
 
@@ -280,32 +285,34 @@ class Detector:
         return [(b, ordered(b + a)) for b, a in zip(base, added)]
 
 
-EXAMPLE = "draw long, kind string, y int, features array<double>"
+EXAMPLE = "left_out boolean, kind string, y int, x binary"
+SCORES = "kind string, step long, n long, y long"
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, most: int = SAMPLE_CANDIDATES) -> Detector:
-    """A detector learned from at most `sample` documents and `most` of their candidates."""
-    some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).transform(bounded_sample, F.col("id"), sample)
-    found = some.select(F.xxhash64(F.lit(3), "text").alias("draw"), "text").mapInArrow(_examples(arrow(EXAMPLE)), EXAMPLE)
-    found = found.orderBy("draw", "kind", "y", "features").limit(most).toArrow()
-    if not found.num_rows:
-        return Detector(trees.fit(np.zeros((0, 1)), np.zeros(0)), dict.fromkeys(KINDS, 2.0))
-    y, kind = found.column("y").to_numpy().astype(float), np.array(found.column("kind").to_pylist())
-    x = np.array(found.column("features").to_pylist())
-    left_out = found.column("draw").to_numpy() % 4 == 0
-    model = trees.fit(x[~left_out], y[~left_out], n_trees=40, rate=0.25)
-    score = model.predict(x)
-    return Detector(model, {k: threshold(score[left_out & (kind == k)], y[left_out & (kind == k)]) for k in KINDS})
+def fit(docs: DataFrame, text: str = "text") -> Detector:
+    """A detector learned from all documents."""
+    split = F.pmod(F.xxhash64(F.lit(3), text), F.lit(4)) == 0
+    found = docs.select(split.alias("left_out"), F.col(text).alias("text")).mapInArrow(_examples(arrow(EXAMPLE)), EXAMPLE)
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = trees.learned(found.where("not left_out"), n_trees=40, rate=0.25)
+        scores = found.where("left_out").mapInArrow(_scores(model), SCORES).groupBy("kind", "step")
+        scores = scores.agg(F.sum("n").alias("n"), F.sum("y").alias("y")).toArrow()
+    finally:
+        found.unpersist()
+    kind = np.array(scores.column("kind").to_pylist(), object)
+    step, n, y = (scores.column(c).to_numpy() for c in ("step", "n", "y"))
+    return Detector(model, {k: threshold(step[kind == k], n[kind == k], y[kind == k]) for k in KINDS})
 
 
-def threshold(score: np.ndarray, y: np.ndarray, precision: float = PRECISION, least: int = 10) -> float:
-    """The lowest score above which the share of positives is the wanted one; 2 if there is
-    none with `least` examples."""
-    order = np.argsort(-score, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    last = np.append(score[order][1:] != score[order][:-1], True) if len(y) else np.zeros(0, bool)
-    good = np.flatnonzero((right >= precision) & last & (np.arange(1, len(y) + 1) >= least))
-    return max(float(score[order][good[-1]]), 0.5) if len(good) else 2.0
+def threshold(step: np.ndarray, n: np.ndarray, y: np.ndarray, precision: float = PRECISION, least: int = 10) -> float:
+    """The lowest score above which the share of positives is the wanted one, from how many
+    candidates (n) and positives (y) have a score of each step; 2 if there is none with
+    `least` candidates."""
+    order = np.argsort(-step, kind="stable")
+    above = np.cumsum(n[order])
+    good = np.flatnonzero((np.cumsum(y[order]) >= precision * above) & (above >= least))
+    return max(float(step[order][good[-1]]) / STEPS, 0.5) if len(good) else 2.0
 
 
 def suspects(column: pa.Array) -> list[int]:
@@ -324,14 +331,30 @@ def _examples(out: pa.Schema):
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             rows = []
-            some = batch.take(pa.array(suspects(batch.column("text")), pa.int64())).select(["draw", "text"])
-            for draw, text in zip(*(c.to_pylist() for c in some.columns)):
-                rows += [(draw, kind, int(label), features) for kind, label, features in labelled(text)]
+            some = batch.take(pa.array(suspects(batch.column("text")), pa.int64())).select(["left_out", "text"])
+            for left_out, text in zip(*(c.to_pylist() for c in some.columns)):
+                rows += [(left_out, kind, int(label), np.array(x, "<f8").tobytes()) for kind, label, x in labelled(text)]
             yield batch_of(out, **dict(zip(out.names, zip(*rows) if rows else ([], [], [], []))))
 
     return make
 
 
+def _scores(model: trees.Trees):
+    """How many candidates and positives of each kind have a score of each step."""
+    out = arrow(SCORES)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                step = np.floor(model.predict(trees.rows_of(batch)) * STEPS).astype(np.int64)
+                kind = np.array([KINDS.index(k) for k in batch.column("kind").to_pylist()])
+                keys, at = np.unique(kind * (STEPS + 1) + step, return_inverse=True)
+                n, y = np.bincount(at), np.bincount(at, batch.column("y").to_numpy()).astype(np.int64)
+                yield batch_of(out, kind=[KINDS[k] for k in keys // (STEPS + 1)], step=keys % (STEPS + 1), n=n, y=y)
+
+    return count
+
+
 def _found(column: pa.Array, detector: Detector) -> Iterator[tuple[int, list, list]]:
     """(row, base spans, all spans) of the rows that may have some."""
     rows = suspects(column)

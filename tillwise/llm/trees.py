@@ -1,10 +1,27 @@
-"""Histogram gradient-boosted trees for two classes, flattened for numpy traversal."""
+"""Histogram gradient-boosted trees for two classes, flattened for numpy traversal.
+
+`fit` learns from arrays, `learned` from all rows of a table: its tasks count values and sum
+gradients, and only histograms, whose size does not depend on the number of rows, reach the
+driver.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+
+from tillwise.llm.text import arrow, batch_of
+
+#: Rows of a task that sums gradients.
+TASK_ROWS = 100_000
+#: Gradients are summed as whole multiples of 1 / UNIT, so that sums do not depend on the order.
+UNIT = float(1 << 30)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -87,3 +104,132 @@ def fit(
         leaf[t] = -rate * np.bincount(at, slope, leaves) / (np.bincount(at, curve, leaves) + ridge)
         total += leaf[t][at]
     return Trees(feature, threshold, leaf, base)
+
+
+VALUES = "feature int, near double, value double, n long"
+BLOCK = "rows int, y binary, bins binary"
+
+
+def rows_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The numbers of the column x (doubles as bytes), a row each."""
+    packed = batch.column("x").to_pylist()
+    return np.frombuffer(b"".join(packed), "<f8").reshape(len(packed), -1)
+
+
+def _cuts(rows: DataFrame, bins: int) -> tuple[int, float, list[np.ndarray]]:
+    """How many rows there are, the sum of y, and each feature's quantiles. Values are counted
+    by their half precision, of which there are not many; the highest stands for all of one."""
+    schema = arrow(VALUES)
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                columns = np.vstack([rows_of(batch).T, batch.column("y").to_numpy()])
+                for f, values in enumerate(columns):
+                    values = np.sort(values)
+                    with np.errstate(over="ignore"):
+                        near, first, n = np.unique(values.astype(np.float16).astype(float), return_index=True, return_counts=True)
+                    yield batch_of(schema, feature=np.full(len(n), f), near=near, value=values[first + n - 1], n=n)
+
+    sums = rows.mapInArrow(counted, VALUES).groupBy("feature", "near").agg(F.max("value").alias("value"), F.sum("n").alias("n"))
+    feature, value, n = (c.to_numpy() for c in sums.select("feature", "value", "n").toArrow().columns)
+    if not len(n):
+        return 0, 0.0, []
+    cuts, order = [], np.lexsort((value, feature))
+    feature, value, n = feature[order], value[order], n[order]
+    total = int(n[feature == 0].sum())
+    for f in range(feature[-1]):
+        values, reach = value[feature == f], np.cumsum(n[feature == f])
+        places = np.floor(np.linspace(0, 1, bins + 1)[1:-1] * (total - 1))
+        cuts.append(np.unique(values[np.searchsorted(reach, places, "right")]))
+    return total, float((value * n)[feature == feature[-1]].sum()), cuts
+
+
+def _blocks(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """Batches of rows as y and the bin of every value, feature by feature."""
+    schema = arrow(BLOCK)
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = rows_of(batch), batch.column("y").to_numpy().astype(np.uint8)
+                bins = np.stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)]).astype(np.uint8)
+                yield batch_of(schema, rows=[len(y)], y=[y.tobytes()], bins=[bins.tobytes()])
+
+    return rows.mapInArrow(packed, BLOCK)
+
+
+def _histograms(blocks: RDD, model: Trees, edge: np.ndarray, level: int, bins: int) -> np.ndarray:
+    """Sums of gradients, of their slopes and of rows by feature, node of the last tree's level
+    and bin. A value goes right where its bin is above the node's `edge`."""
+    width_now, grown, inner = 2**level, len(model.feature) - 1, model.feature.shape[1]
+    depth = (inner + 1).bit_length() - 1
+
+    def down(binned: np.ndarray, tree: int, levels: int) -> np.ndarray:
+        node, at = np.zeros(binned.shape[1], np.int64), np.arange(binned.shape[1])
+        for _ in range(levels):
+            node = 2 * node + 1 + (binned[model.feature[tree, node], at] > edge[tree, node])
+        return node
+
+    def summed(rows: Iterable[Row]) -> Iterator[np.ndarray]:
+        sums = 0
+        for n, labels, packed in rows:
+            y, binned = np.frombuffer(labels, np.uint8), np.frombuffer(packed, np.uint8).reshape(-1, n)
+            total = np.full(n, model.base)
+            for tree in range(grown):
+                total += model.leaf[tree][down(binned, tree, depth) - inner]
+            p = sigmoid(total)
+            slope, curve = np.rint((p - y) * UNIT), np.rint(np.maximum(p * (1 - p), 1e-9) * UNIT)
+            at, size = (down(binned, grown, level) - (width_now - 1)) * bins, width_now * bins
+            cells = [at + b for b in binned]
+            sums = sums + np.array([[np.bincount(c, w, size) for c in cells] for w in (slope, curve, None)]).astype(np.int64)
+        if not isinstance(sums, int):
+            yield sums.reshape(3, -1, width_now, bins)
+
+    return blocks.mapPartitions(summed).treeReduce(np.add)
+
+
+def learned(rows: DataFrame, n_trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, smallest: float = 5.0) -> Trees:
+    """The trees of `fit` from all rows of a table: y (0 or 1) and x, the numbers as bytes
+    (float64, little endian). The same rows give the same trees however they are partitioned."""
+    n, positive, cuts = _cuts(rows, bins)
+    width, inner, leaves = len(cuts), 2**depth - 1, 2**depth
+    mean = (positive + 0.5) / (n + 1)
+    none = Trees(np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, leaves)), float(np.log(mean / (1 - mean))))
+    if positive in (0, n):
+        return none
+    blocks = _blocks(rows.select("y", "x").repartition(-(-n // TASK_ROWS)), cuts).rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    model, edge = none, np.zeros((0, inner), np.int64)
+    try:
+        for t in range(n_trees):
+            model = replace(
+                model,
+                feature=np.vstack([model.feature, np.zeros((1, inner), np.int64)]),
+                threshold=np.vstack([model.threshold, np.full((1, inner), np.inf)]),
+                leaf=np.vstack([model.leaf, np.zeros((1, leaves))]),
+            )
+            edge = np.vstack([edge, np.full((1, inner), bins)])
+            for level in range(depth):
+                first, width_now = 2**level - 1, 2**level
+                g, h, m = _histograms(blocks, model, edge, level, bins).cumsum(3)
+                g, h = g / UNIT, h / UNIT
+                gain, ends = np.full(width_now, 1e-6), np.zeros((width_now, 2, 2))
+                ends[:, 0] = np.stack([g[0, :, -1], h[0, :, -1]], axis=1)
+                for f in range(width):
+                    if not len(cuts[f]):
+                        continue
+                    k = len(cuts[f])
+                    (gf, hf, mf), (ga, ha, ma) = (a[f, :, :k] for a in (g, h, m)), (a[f, :, -1:] for a in (g, h, m))
+                    gains = gf**2 / (hf + ridge) + (ga - gf) ** 2 / (ha - hf + ridge) - ga**2 / (ha + ridge)
+                    gains[(mf < smallest) | (ma - mf < smallest)] = -1
+                    best = gains.argmax(1)
+                    for j in np.flatnonzero(gains[np.arange(width_now), best] > gain):
+                        b = best[j]
+                        gain[j] = gains[j, b]
+                        model.feature[t, first + j], model.threshold[t, first + j], edge[t, first + j] = f, cuts[f][b], b
+                        ends[j] = [[gf[j, b], hf[j, b]], [ga[j, 0] - gf[j, b], ha[j, 0] - hf[j, b]]]
+            # behind the last level a leaf for each side of its nodes
+            model.leaf[t] = (-rate * ends[..., 0] / (ends[..., 1] + ridge)).ravel()
+    finally:
+        blocks.unpersist()
+    return model
