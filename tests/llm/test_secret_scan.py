@@ -117,3 +117,23 @@ def test_sample_is_bounded_and_keeps_every_kind(documents):
     rows = secret_scan.sampled(counts, 100)
     kinds = [kind for kind, *_ in rows]
     assert 60 < kinds.count("assign") < 150 and "word" in kinds
+
+
+def test_automata_learn_from_every_format(spark):
+    """Far more formats than 2,000 of a kind: the automaton of the table is that of them all."""
+    rng = random.Random(6)
+    forms = sorted({bytes(rng.choice([0, 1, 2]) for _ in range(rng.randrange(9, 14))) for _ in range(9000)})
+    rows = spark.createDataFrame([("word", bytearray(form), 1 + k % 3) for k, form in enumerate(forms)], "kind string, shape binary, n long").repartition(5)
+    found = automata.learned(rows, ["assign", "word"], 4)
+    whole = automata.inferred([(form, 1 + k % 3) for k, form in enumerate(forms)], 4)
+    assert list(found) == ["word"] and (found["word"].follow == whole.follow).all() and (found["word"].cost == whole.cost).all()
+
+
+def test_the_fit_counts_every_format(documents, monkeypatch):
+    """The fit gives what all formats give; a sample of 2,000 would not hold them."""
+    rng = random.Random(8)
+    docs = documents([(i, " ".join(f"token={key(rng)} word{'x' * (i % 20)}internationalisation{'y' * (i // 200)}" for _ in range(20))) for i in range(400)])
+    seen = []
+    monkeypatch.setattr(secret_scan, "learned", lambda counts, *rest: seen.append(counts.where("kind = 'assign'").count()) or automata.learned(counts, *rest))
+    secret_scan.fit(docs)
+    assert 5500 < seen[0] < 6500

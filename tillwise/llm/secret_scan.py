@@ -8,7 +8,7 @@ more in all) and hex (16 or more of 0-9a-f).
 The method adds spans. The credentials of the base spans (of an assignment the value) are
 the labelled ones. Their formats are strings over character classes: digits, a-f and g-z in
 either case, and each sign; a token in capitals has the format of its lowercase form. From the formats of each kind a probabilistic automaton is
-inferred by merging the compatible states of their prefix tree (`automata`), and so are two
+inferred by merging compatible states (`automata`), and so are two
 of other tokens, with and without digits. Every run of LEAST or more of the signs that
 credentials consist of, less sentence marks at its ends, is a candidate; its score is the
 log-likelihood of its format in the best kind less that in the better automaton of other
@@ -17,31 +17,31 @@ where it scores above what PASSED of the kind's held-out credentials reach and a
 SPILL of the held-out other tokens. A kind without credentials adds nothing; neither does
 any where there are no other tokens to compare with.
 
-Formats are counted over all documents. An automaton learns from at most SAMPLE of its
-kind's distinct formats, picked by their hash, three quarters of them for the fit and the
-rest for the thresholds; formats over LONGEST characters are scored, but not learned from.
+Formats are counted over all documents. An automaton learns from all of its kind's formats,
+three quarters of them by their hash for the fit and the rest for the thresholds; formats
+over LONGEST characters are scored, but not learned from.
 
 All spans are in code points, end exclusive. Null and empty texts have none. Texts are
 searched whole in time linear in their length. Repeated rows give the same spans each, and
 equal formats the same score. Spans of one start follow in the order of the kinds, then by
 end. Columns other than doc_id and text are not looked at. On an empty table there are no
-rows. Only counts of formats are shuffled.
+rows. Only counts, of formats, of their parts and of scores, are shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.automata import Automaton, inferred
+from tillwise.llm.automata import Automaton, learned
 from tillwise.llm.text import arrow, batch_of, chunks
 
 # The kinds in the order in which they are listed, and their patterns.
@@ -59,9 +59,11 @@ LEAST = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 BEFORE, BEHIND = "+/_.=-", "/_.-"
 
-#: Distinct formats that an automaton learns from, and characters of one.
-SAMPLE, LONGEST = 2000, 256
+#: Characters of a format that an automaton learns from.
+LONGEST = 256
 PASSED, SPILL = 0.95, 0.001
+#: Steps of a score of 1 in which thresholds are looked for.
+STEPS = 1 << 12
 
 OTHERS = ("word", "number")
 SIGNS = "+/_.=-"
@@ -164,8 +166,8 @@ class Model:
 
 
 def sampled(counts: DataFrame, most: int) -> list[tuple[str, bytes, int, int]]:
-    """At most about `most` formats of each kind, whole, by the hash of the format: kind,
-    format, count, and a number from 0 to 3 to split by."""
+    """A look at the formats, which no fit uses: at most about `most` of each kind, whole, by
+    the hash of the format: kind, format, count, and a number from 0 to 3."""
     seen = {kind: n for kind, n in counts.groupBy("kind").count().collect()}
     draw = F.xxhash64(F.lit(11), "shape").cast("double") / float(1 << 63)
     share = F.create_map(*(F.lit(x) for kind in (*KINDS, *OTHERS) for x in (kind, 2.0 * most / max(most, seen.get(kind, 0)) - 1.0)))
@@ -174,35 +176,53 @@ def sampled(counts: DataFrame, most: int) -> list[tuple[str, bytes, int, int]]:
     return [(kind, bytes(form), n, part) for kind, form, n, part in picked.select("kind", "shape", "n", split).collect()]
 
 
-def _reached(scores: list[tuple[float, int]], share: float) -> float:
-    """The highest threshold that `share` of the counted scores are not below."""
+def _reached(scores: list[tuple[int, int]], share: float) -> int:
+    """The highest step that `share` of the counted scores are not below."""
     total, passed = sum(n for _, n in scores), 0
-    for score, n in sorted(scores, reverse=True):
+    for step, n in sorted(scores, reverse=True):
         passed += n
         if passed >= share * total:
-            return score
-    return float("inf")
+            return step
+    raise ValueError("no scores")
 
 
-def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
+SCORES = "kind string, step long, n long"
+
+
+def _scores(held: DataFrame, model: Model) -> dict[str, list[tuple[int, int]]]:
+    """How often formats of each kind, or of other tokens, have a score of each step."""
+    schema = arrow(SCORES)
+
+    def count(batches):
+        for batch in batches:
+            seen: Counter[tuple[str, int]] = Counter()
+            for kind, form, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "shape", "n"))):
+                seen["other" if kind in OTHERS else kind, math.floor(model.score(form)[0] * STEPS)] += n
+            keys = list(seen)
+            yield batch_of(schema, kind=[k for k, _ in keys], step=[s for _, s in keys], n=[seen[k] for k in keys])
+
+    out: dict[str, list[tuple[int, int]]] = {}
+    for kind, step, n in held.mapInArrow(count, SCORES).groupBy("kind", "step").agg(F.sum("n")).collect():
+        out.setdefault(kind, []).append((step, n))
+    return out
+
+
+def fit(docs: DataFrame) -> Model:
+    """Automata and thresholds learned from the formats of all documents."""
     counts = formats(docs).persist()
     try:
-        rows = sampled(counts, most)
+        split = F.pmod(F.xxhash64(F.lit(12), "shape"), F.lit(4))
+        model = Model(learned(counts.where(split != 0), [*KINDS, *OTHERS], CLASSES), {})
+        if not any(kind in model.automata for kind in OTHERS) or not any(kind in model.automata for kind in KINDS):
+            return model
+        held = _scores(counts.where(split == 0), model)
     finally:
         counts.unpersist()
-    learned = {kind: [(form, n) for k, form, n, part in rows if k == kind and part] for kind in (*KINDS, *OTHERS)}
-    model = Model({kind: inferred(forms, CLASSES) for kind, forms in learned.items() if forms}, {})
-    if not any(kind in model.automata for kind in OTHERS) or not any(kind in model.automata for kind in KINDS):
-        return model
-    held: dict[str, list[tuple[float, int]]] = {}
-    for kind, form, n, part in rows:
-        if not part:
-            held.setdefault("other" if kind in OTHERS else kind, []).append((model.score(form)[0], n))
     # above all but a share of the other tokens, and above even for a candidate at all
-    spilled = _reached(held.get("other", [(0.0, 1)]), SPILL)
+    spilled = (_reached(held["other"], SPILL) + 1) / STEPS if "other" in held else 0.0
     for kind in KINDS:
         if kind in held and kind in model.automata:
-            model.thresholds[kind] = max(0.0, float(np.nextafter(spilled, np.inf)), _reached(held[kind], PASSED))
+            model.thresholds[kind] = max(math.ulp(0.0), spilled, _reached(held[kind], PASSED) / STEPS)
     return model
 
 
